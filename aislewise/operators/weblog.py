@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from aislewise.functions.text import CART_MARK, decode_url
 
 # --- fixed values -----------------------------------------------------------
-# Request patterns, tried in this order; the first that is found in a line decides.
-PRODUCT_LINE = (
-    r'([^ ]*) - - \[([^]]*)] "[^ ]* '
-    r"/department/([^/]*)/category/([^/]*)/product/([^ ]*) HTTP[^ ]* (\d{3})"
-)
-CATEGORY_LINE = (
-    r'([^ ]*) - - \[([^]]*)] "[^ ]* '
-    r"/department/([^/]*)/category/([^ ]*) HTTP[^ ]* (\d{3})"
-)
-DEPARTMENT_LINE = (
-    r'([^ ]*) - - \[([^]]*)] "[^ ]* '
-    r"/department/([^ ]*) HTTP[^ ]* (\d{3})"
-)
-PAGE_LINE = r'([^ ]*) - - \[([^]]*)] "[^ ]* /([^ /]*) HTTP[^ ]* (\d{3})'
+# A line is a visit followed by one of four requests.  The requests are tried in this
+# order; the first that is found in a line decides.
+VISIT = r'([^ ]*) - - \[([^]]*)] "[^ ]* '
+PRODUCT_REQUEST = r"/department/([^/]*)/category/([^/]*)/product/([^ ]*) HTTP[^ ]* (\d{3})"
+CATEGORY_REQUEST = r"/department/([^/]*)/category/([^ ]*) HTTP[^ ]* (\d{3})"
+DEPARTMENT_REQUEST = r"/department/([^ ]*) HTTP[^ ]* (\d{3})"
+PAGE_REQUEST = r"/([^ /]*) HTTP[^ ]* (\d{3})"
 
 ADD_TO_CART = "add_to_cart"
 PRODUCT = "product"
@@ -34,8 +27,17 @@ OK_STATUS = "200"
 WEBLOG_COLUMNS = ("ip", "datetime", "dept", "category", "product", "pageType", "respCode")
 # ----------------------------------------------------------------------------
 
-# One-letter tags put before the matched text, so that one string carries both.
-_IS_PRODUCT, _IS_CATEGORY, _IS_DEPARTMENT, _IS_PAGE = "P", "C", "D", "-"
+# Requests and the parts their groups hold.  The status stands in the part that is named
+# after the kind of request.
+_REQUESTS = (
+    (PRODUCT_REQUEST, ("dept", "category", "product_name", PRODUCT)),
+    (CATEGORY_REQUEST, ("dept", "category", CATEGORY)),
+    (DEPARTMENT_REQUEST, ("dept", DEPARTMENT)),
+    (PAGE_REQUEST, ("page", "other")),
+)
+_KINDS = (PRODUCT, CATEGORY, DEPARTMENT, "other")
+_PARTS = (*_KINDS, "ip", "time", "dept", "category", "product_name", "page")
+_VISITOR_MARK = " - - ["
 
 
 def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
@@ -44,84 +46,68 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
     A line that matches a pattern with another status is dropped; later patterns are
     not tried on it.  The stage is a scan, a generator and projections: no exchange.
 
-    Every pattern runs at most once per line and yields its whole match; the fields are
-    then cut out at the delimiters which the pattern has already proved to be there.
-    The one-element ``explode`` keeps the optimizer from copying the pattern matching
-    into the filter above it, where it would run a second time.
+    A line is rewritten to a list of parts in a single pass of one expression.  The
+    one-element ``explode`` keeps the optimizer from copying this work into the filters
+    above it, where it would run a second time.
     """
-    line = F.col(line_column)
-    matched = lines.select(F.explode(F.array(_tagged_match(line))).alias("hit"))
-    matched = matched.where(F.col("hit").isNotNull() & (F.right("hit", F.lit(3)) == OK_STATUS))
-    return matched.select(*_fields(F.col("hit")))
+    parts = F.split(_rewritten(F.col(line_column)), "\n")
+    parsed = lines.select(F.explode(F.array(parts)).alias("part"))
 
+    def part(name: str) -> Column:
+        return F.get("part", F.lit(_PARTS.index(name) + 1))
 
-def _tagged_match(line: Column) -> Column:
-    """Tag and text of the first pattern found in the line, or NULL.
+    # Lines without a match have no parts.
+    status = F.concat(*[part(kind) for kind in _KINDS])
+    parsed = parsed.where(status == OK_STATUS)
 
-    The ``contains`` tests are necessary for the pattern behind them and far cheaper.
-    """
-
-    def attempt(tag: str, pattern: str, *needed: str) -> Column:
-        found = F.nullif(F.regexp_extract(line, pattern, 0), F.lit(""))
-        for text in needed:
-            found = F.when(line.contains(text), found)
-        return F.concat(F.lit(tag), found)
-
-    return F.coalesce(
-        attempt(_IS_PRODUCT, PRODUCT_LINE, "/category/", "/product/"),
-        attempt(_IS_CATEGORY, CATEGORY_LINE, "/category/"),
-        attempt(_IS_DEPARTMENT, DEPARTMENT_LINE, "/department/"),
-        attempt(_IS_PAGE, PAGE_LINE),
+    raw_product = decode_url(part("product_name"))
+    in_cart = F.endswith(raw_product, F.lit(CART_MARK))
+    page_type = F.when(in_cart, ADD_TO_CART)
+    for kind in (PRODUCT, CATEGORY, DEPARTMENT):
+        page_type = page_type.when(part(kind) != "", kind)
+    values = (
+        part("ip"),
+        _readable_time(part("time")),
+        decode_url(part("dept")),
+        decode_url(part("category")),
+        F.when(in_cart, F.replace(raw_product, F.lit(CART_MARK), F.lit(""))).otherwise(raw_product),
+        page_type.otherwise(part("page")),
+        F.lit(OK_STATUS),
     )
+    return parsed.select(*[value.alias(name) for name, value in zip(WEBLOG_COLUMNS, values)])
 
 
-def _fields(hit: Column) -> list[Column]:
-    tag = F.left(hit, F.lit(1))
-    text = F.substring(hit, 2, 2**31 - 1)
+def _rewritten(line: Column) -> Column:
+    """The parts below each other, after a blank line; a line without a match as it is.
 
-    # text is: ip - - [stamp] "METHOD target HTTP... status
-    ip = F.substring_index(text, " ", 1)
-    after_ip = _after(text, " - - [")
-    stamp = F.substring_index(after_ip, "]", 1)
-    target = _after(_after(after_ip, '] "'), " ")
-
-    def segment(position: int, last: bool) -> Column:
-        """A part of the target between slashes; the last one runs to the first space."""
-        if last:
-            rest = F.get(F.split(target, "/", position + 1), F.lit(position))
-            return F.substring_index(rest, " ", 1)
-        return F.get(F.split(target, "/", position + 2), F.lit(position))
+    Where a line has the mark between visitor and time once, as access logs do, a request
+    can only be found behind it, and one alternation of the four in their order decides
+    like the sequence.  Other lines go through the sequence: each request is looked for
+    in the whole line before the next one is tried.
+    """
+    one_record = F.substring_index(line, _VISITOR_MARK, 2) == line
+    one_pass = _rewrite(line, *_REQUESTS)
+    in_sequence = line
+    for request in _REQUESTS:
+        in_sequence = _rewrite(in_sequence, request)
+    return F.when(one_record, one_pass).otherwise(in_sequence)
 
-    raw_product = decode_url(segment(6, last=True))
-    in_cart = F.endswith(raw_product, F.lit(CART_MARK))
-    department = (
-        F.when(tag.isin(_IS_PRODUCT, _IS_CATEGORY), decode_url(segment(2, last=False)))
-        .when(tag == _IS_DEPARTMENT, decode_url(segment(2, last=True)))
-        .otherwise("")
-    )
-    category = (
-        F.when(tag == _IS_PRODUCT, decode_url(segment(4, last=False)))
-        .when(tag == _IS_CATEGORY, decode_url(segment(4, last=True)))
-        .otherwise("")
-    )
-    product = F.when(
-        tag == _IS_PRODUCT,
-        F.when(in_cart, F.replace(raw_product, F.lit(CART_MARK), F.lit(""))).otherwise(raw_product),
-    ).otherwise("")
-    page_type = (
-        F.when(tag == _IS_CATEGORY, CATEGORY)
-        .when(tag == _IS_DEPARTMENT, DEPARTMENT)
-        .when(tag == _IS_PAGE, segment(1, last=True))
-        .otherwise(F.when(in_cart, ADD_TO_CART).otherwise(PRODUCT))
-    )
-    values = (ip, _readable_time(stamp), department, category, product, page_type, F.right(text, F.lit(3)))
-    return [value.alias(name) for name, value in zip(WEBLOG_COLUMNS, values)]
 
+def _rewrite(line: Column, *requests: tuple[str, tuple[str, ...]]) -> Column:
+    """List the parts of the first of some requests; parts it does not have are empty.
 
-def _after(text: Column, delimiter: str) -> Column:
-    """What follows the first ``delimiter``, which must occur in the text."""
-    start = F.instr(text, delimiter) + F.lit(len(delimiter))
-    return F.substring(text, start, F.length(text))
+    Lines hold no line feed, so one at the start marks what is rewritten already.  The
+    visitor group takes all non-blanks it can, so a match begins at a word if anywhere.
+    """
+    groups = dict.fromkeys(_PARTS, "") | {"ip": "$1", "time": "$2"}
+    group = 2
+    for _, parts in requests:
+        for part in parts:
+            group += 1
+            groups[part] += f"${group}"
+    any_request = "|".join(pattern for pattern, _ in requests)
+    whole_line = rf"(?s)^(?!\n)(?:.*? )??{VISIT}(?:{any_request}).*$"
+    return F.regexp_replace(line, whole_line, "".join(f"\n{groups[part]}" for part in _PARTS))
 
 
 def _readable_time(stamp: Column) -> Column:

@@ -16,16 +16,43 @@ access log                one line per event, for the part its ``props.k`` names
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aislewise.operators.weblog import parse_access_log
 from aislewise.sources.relations import RetailTables
 
+_CATEGORY_ID = "concat_ws('|', p_type, p_brand)"
+_CATEGORY_NAME = """
+    if(try_cast(substring_index(p_brand, '#', -1) AS int) % 5 = 0,
+       replace(p_brand, '#', '/'),
+       concat_ws(' ', p_type, p_brand))"""
+_PRODUCT_NAME = "concat(p_name, ' ', p_brand, if(p_partkey % 7 = 0, '+', ''))"
+_LOG_LINE = f"""
+    concat(
+      concat_ws('.', '10', shiftright(user_id, 16) % 256, shiftright(user_id, 8) % 256, user_id % 256),
+      ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "GET ',
+      replace(replace(
+        CASE
+          WHEN event_type = 'signup' THEN
+            CASE event_id % 3 WHEN 0 THEN '/view_cart' WHEN 1 THEN '/checkout' ELSE '/home' END
+          WHEN event_type = 'click' AND event_id % 2 = 1 THEN concat('/department/', p_type)
+          ELSE concat(
+            '/department/', p_type, '/category/', {_CATEGORY_NAME},
+            if(event_type = 'click', '', concat('/product/', {_PRODUCT_NAME})),
+            if(event_type = 'purchase', '/add_to_cart', ''))
+        END, '#', '%23'), ' ', '%20'),
+      ' HTTP/1.1" ', if(event_type = 'error', '500', '200'), ' 1063 "-" "Mozilla/5.0"')"""
+
 
 def storefront_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+    @cache
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        return spark.read.schema(_schema(spark, path)).parquet(path)
 
     return RetailTables(
         {
@@ -40,71 +67,65 @@ def storefront_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
     )
 
 
-def _category_name() -> Column:
-    shared = F.substring_index("p_brand", "#", -1).try_cast("int") % 5 == 0
-    return F.when(shared, F.replace("p_brand", F.lit("#"), F.lit("/"))).otherwise(
-        F.concat_ws(" ", "p_type", "p_brand")
-    )
-
-
-def _product_name() -> Column:
-    suffix = F.when(F.col("p_partkey") % 7 == 0, "+").otherwise("")
-    return F.concat(F.concat_ws(" ", "p_name", "p_brand"), suffix)
+@cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a table; finding it out costs a small job, so once is enough."""
+    return spark.read.parquet(path).schema
 
 
 def departments(part: DataFrame) -> DataFrame:
-    return part.select(F.col("p_type").alias("dept_id"), F.col("p_type").alias("dept_name")).distinct()
+    return part.selectExpr("p_type AS dept_id", "p_type AS dept_name").distinct()
 
 
 def categories(part: DataFrame) -> DataFrame:
-    return part.select("p_type", "p_brand").distinct().select(
-        F.concat_ws("|", "p_type", "p_brand").alias("cat_id"),
-        F.col("p_type").alias("dept_id"),
-        _category_name().alias("cat_name"),
+    return (
+        part.select("p_type", "p_brand")
+        .distinct()
+        .selectExpr(
+            f"{_CATEGORY_ID} AS cat_id", "p_type AS dept_id", f"{_CATEGORY_NAME} AS cat_name"
+        )
     )
 
 
 def products(part: DataFrame) -> DataFrame:
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.concat_ws("|", "p_type", "p_brand").alias("cat_id"),
-        _product_name().alias("product_name"),
-        F.lit(None).cast("string").alias("product_desc"),
-        F.col("p_retailprice").alias("price"),
-        F.lit(None).cast("string").alias("product_url"),
+    return part.selectExpr(
+        "p_partkey AS product_id",
+        f"{_CATEGORY_ID} AS cat_id",
+        f"{_PRODUCT_NAME} AS product_name",
+        "CAST(NULL AS string) AS product_desc",
+        "p_retailprice AS price",
+        "CAST(NULL AS string) AS product_url",
     )
 
 
 def customers(customer: DataFrame) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    return customer.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("fname"),
-        *[nothing.alias(name) for name in ("lname", "email", "password", "street", "city")],
-        F.col("c_nationkey").cast("string").alias("state"),
-        nothing.alias("zipcode"),
+    unknown = ("lname", "email", "password", "street", "city")
+    return customer.selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS fname",
+        *[f"CAST(NULL AS string) AS {name}" for name in unknown],
+        "CAST(c_nationkey AS string) AS state",
+        "CAST(NULL AS string) AS zipcode",
     )
 
 
 def orders(orders_table: DataFrame) -> DataFrame:
-    return orders_table.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
+    return orders_table.selectExpr(
+        "o_orderkey AS order_id",
+        "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS order_date",
+        "o_custkey AS customer_id",
+        "o_orderstatus AS order_status",
     )
 
 
 def order_items(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("l_extendedprice").alias("subtotal"),
-        F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)), 2).alias(
-            "unit_price"
-        ),
+    return lineitem.selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) AS item_id",
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "l_quantity AS quantity",
+        "l_extendedprice AS subtotal",
+        "round(l_extendedprice / nullif(l_quantity, 0), 2) AS unit_price",
     )
 
 
@@ -115,48 +136,13 @@ def access_log(events: DataFrame, part: DataFrame) -> DataFrame:
     from the files, is below its limit; otherwise it shuffles both sides and splits the
     partitions of hot parts at run time.
     """
-    shown = events.select(
-        "event_id", "ts", "user_id", "event_type", F.regexp_extract("props", r"(\d+)", 1).alias("k")
-    )
-    joined = shown.join(
-        part.select("p_partkey", "p_name", "p_brand", "p_type"),
-        F.col("k").try_cast("bigint") == F.col("p_partkey"),
+    shown = events.selectExpr(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "try_cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS shown_part",
     )
-    return joined.select(_log_line().alias("value"))
-
-
-def _log_line() -> Column:
-    kind, number = F.col("event_type"), F.col("event_id")
-    department = F.concat(F.lit("/department/"), _escaped(F.col("p_type")))
-    category = F.concat(department, F.lit("/category/"), _escaped(_category_name()))
-    product = F.concat(category, F.lit("/product/"), _escaped(_product_name()))
-    path = (
-        F.when(kind.isin("view", "error"), product)
-        .when(kind == "purchase", F.concat(product, F.lit("/add_to_cart")))
-        .when((kind == "click") & (number % 2 == 0), category)
-        .when(kind == "click", department)
-        .when(number % 3 == 0, "/view_cart")
-        .when(number % 3 == 1, "/checkout")
-        .otherwise("/home")
-    )
-    user = F.col("user_id")
-    address = F.concat_ws(
-        ".",
-        F.lit("10"),
-        *[(F.shiftright(user, places) % 256).cast("string") for places in (16, 8)],
-        (user % 256).cast("string"),
-    )
-    return F.concat(
-        address,
-        F.lit(" - - ["),
-        F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
-        F.lit(' +0000] "GET '),
-        path,
-        F.lit(" HTTP/1.1\" "),
-        F.when(kind == "error", "500").otherwise("200"),
-        F.lit(' 1063 "-" "Mozilla/5.0"'),
-    )
-
-
-def _escaped(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("#"), F.lit("%23")), F.lit(" "), F.lit("%20"))
+    parts = part.select("p_partkey", "p_name", "p_brand", "p_type")
+    joined = shown.join(parts, F.col("shown_part") == F.col("p_partkey"))
+    return joined.selectExpr(f"{_LOG_LINE} AS value")
