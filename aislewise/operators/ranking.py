@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def total_of(frame: DataFrame, measure: str) -> Column:
+def total_of(frame: DataFrame, measure: str, *also_used: str) -> Column:
     """The sum of a column over a whole frame, as a scalar subquery.
 
     Spark reuses the exchange below the aggregate that made ``frame``, so the facts are
-    read once; partial sums are all that travels.
+    read once; partial sums are all that travels.  For that the subquery has to need the
+    same columns as the query around it: ``also_used`` names those it would not need.
     """
-    return frame.agg(F.sum(measure)).scalar()
+    sums = [F.sum(name).alias(name) for name in (measure, *also_used)]
+    return frame.agg(F.struct(*sums).alias("sums")).scalar()[measure]
 
 
 def rank_descending(frame: DataFrame, measure: str, rank_column: str) -> DataFrame:

@@ -27,16 +27,21 @@ OK_STATUS = "200"
 WEBLOG_COLUMNS = ("ip", "datetime", "dept", "category", "product", "pageType", "respCode")
 # ----------------------------------------------------------------------------
 
-# Requests and the parts their groups hold.  The status stands in the part that is named
-# after the kind of request.
+# Requests and the parts their groups hold.  Each kind of request has a part of its own
+# for the status, which thereby tells the kind.
+_STATUS_OF = {
+    PRODUCT: "product_status",
+    CATEGORY: "category_status",
+    DEPARTMENT: "department_status",
+    None: "page_status",
+}
 _REQUESTS = (
-    (PRODUCT_REQUEST, ("dept", "category", "product_name", PRODUCT)),
-    (CATEGORY_REQUEST, ("dept", "category", CATEGORY)),
-    (DEPARTMENT_REQUEST, ("dept", DEPARTMENT)),
-    (PAGE_REQUEST, ("page", "other")),
+    (PRODUCT_REQUEST, ("dept", "category", "product", _STATUS_OF[PRODUCT])),
+    (CATEGORY_REQUEST, ("dept", "category", _STATUS_OF[CATEGORY])),
+    (DEPARTMENT_REQUEST, ("dept", _STATUS_OF[DEPARTMENT])),
+    (PAGE_REQUEST, ("page", _STATUS_OF[None])),
 )
-_KINDS = (PRODUCT, CATEGORY, DEPARTMENT, "other")
-_PARTS = (*_KINDS, "ip", "time", "dept", "category", "product_name", "page")
+_PARTS = (*_STATUS_OF.values(), "ip", "time", "dept", "category", "product", "page")
 _VISITOR_MARK = " - - ["
 
 
@@ -57,14 +62,14 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
         return F.get("part", F.lit(_PARTS.index(name) + 1))
 
     # Lines without a match have no parts.
-    status = F.concat(*[part(kind) for kind in _KINDS])
+    status = F.concat(*[part(name) for name in _STATUS_OF.values()])
     parsed = parsed.where(status == OK_STATUS)
 
-    raw_product = decode_url(part("product_name"))
+    raw_product = decode_url(part("product"))
     in_cart = F.endswith(raw_product, F.lit(CART_MARK))
     page_type = F.when(in_cart, ADD_TO_CART)
     for kind in (PRODUCT, CATEGORY, DEPARTMENT):
-        page_type = page_type.when(part(kind) != "", kind)
+        page_type = page_type.when(part(_STATUS_OF[kind]) != "", kind)
     values = (
         part("ip"),
         _readable_time(part("time")),

@@ -22,15 +22,15 @@ def _traffic_and_revenue(tables: RetailTables) -> DataFrame:
     store = sales_by_department_name(
         tables.order_items, tables.products, tables.categories, tables.departments
     )
+    all_events = total_of(web, "web_total_events", "web_cart_adds")
+    all_revenue = total_of(store, "revenue", "quantity")
     joined = outer_by_key(
-        web.withColumn(
-            "web_share", percent(F.col("web_total_events"), total_of(web, "web_total_events"))
-        ),
+        web.withColumn("web_share", percent(F.col("web_total_events"), all_events)),
         store.select(
             "name",
             "quantity",
             two_places(F.col("revenue")).alias("store_revenue"),
-            percent(two_places(F.col("revenue")), total_of(store, "revenue")).alias("store_share"),
+            percent(two_places(F.col("revenue")), all_revenue).alias("store_share"),
         ),
     )
     traffic, revenue = zero_if_null(F.col("web_share")), zero_if_null(F.col("store_share"))
