@@ -17,14 +17,12 @@ class Report:
 
     ``saved_as`` is None for reports that are only shown.  ``few_rows`` says that the
     number of rows does not grow with the data, so one output file is in order.
-    ``from_rollup`` says that counts suffice, so the roll-ups can stand in for the facts.
     """
 
     build: Callable[..., DataFrame]
     saved_as: str | None
     preview_rows: int = 20
     few_rows: bool = False
-    from_rollup: bool = True
 
 
 REPORTS: dict[str, Report] = {

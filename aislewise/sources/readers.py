@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aislewise.sources.relations import SCHEMAS
+from aislewise.sources.relations import SCHEMAS, RetailTables
 
 _RAGGED = "_ragged_line"
 
@@ -14,6 +14,16 @@ _RAGGED = "_ragged_line"
 # Fewest fields of a usable line in the two jobs that read lines on their own.
 MIN_FIELDS_PRESENCE = {"weblog": 6, "products": 3, "categories": 3, "order_items": 3}
 MIN_FIELDS_COVERAGE = {"weblog": 7, "products": 3}
+
+FILES = {
+    "weblog": "weblog.csv",
+    "departments": "departments.csv",
+    "categories": "categories.csv",
+    "products": "products.csv",
+    "customers": "customers.csv",
+    "orders": "full_orders.csv",
+    "order_items": "full_order_items.csv",
+}
 # ----------------------------------------------------------------------------
 
 
@@ -48,3 +58,17 @@ def field_count(line: Column) -> Column:
     """Fields of a CSV line: commas outside quotes, and one more."""
     outside_quotes = F.regexp_replace(line, r'"[^"]*"', "")
     return F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
+
+
+def read_retail_folder(spark: SparkSession, folder: str, **paths: str) -> RetailTables:
+    """Tables over a folder of CSV files with the usual names; any path can be given."""
+
+    def opener(name: str, path: str):
+        return lambda: read_relation(spark, path, name)
+
+    return RetailTables(
+        {
+            name: opener(name, paths.get(name, f"{folder.rstrip('/')}/{file}"))
+            for name, file in FILES.items()
+        }
+    )

@@ -85,15 +85,3 @@ class RetailTables:
         """Make every given relation a temporary view of its own name."""
         for name in self._openers:
             getattr(self, name).createOrReplaceTempView(name)
-
-
-def tables_from_files(spark: SparkSession, paths: Mapping[str, str], **options: str) -> RetailTables:
-    """Tables over header-less CSV files, columns named by position."""
-    from aislewise.sources.readers import read_relation
-
-    return RetailTables(
-        {
-            name: (lambda name=name, path=path: read_relation(spark, path, name, **options))
-            for name, path in paths.items()
-        }
-    )
