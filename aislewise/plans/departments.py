@@ -13,8 +13,8 @@ from aislewise.operators.ranking import total_of
 from aislewise.sources.relations import RetailTables
 
 
-def _traffic_and_revenue(tables: RetailTables) -> DataFrame:
-    """Both channels per department, with unrounded shares and their gap.
+def _shares(tables: RetailTables, *volumes: str) -> DataFrame:
+    """Unrounded shares of both channels per department, and the volumes asked for.
 
     A department's revenue is rounded before it is divided by the unrounded total.
     """
@@ -22,48 +22,53 @@ def _traffic_and_revenue(tables: RetailTables) -> DataFrame:
     store = sales_by_department_name(
         tables.order_items, tables.products, tables.categories, tables.departments
     )
-    all_events = total_of(web, "web_total_events", "web_cart_adds")
-    all_revenue = total_of(store, "revenue", "quantity")
+    web_volumes = [name for name in volumes if name in web.columns]
+    store_volumes = [name for name in volumes if name in store.columns]
+    events, revenue = F.col("web_total_events"), two_places(F.col("revenue"))
+    all_events = total_of(web, "web_total_events", *web_volumes)
+    all_revenue = total_of(store, "revenue", *store_volumes)
     joined = outer_by_key(
-        web.withColumn("web_share", percent(F.col("web_total_events"), all_events)),
+        web.select("name", "web_total_events", *web_volumes, percent(events, all_events).alias("traffic")),
         store.select(
             "name",
-            "quantity",
-            two_places(F.col("revenue")).alias("store_revenue"),
-            percent(two_places(F.col("revenue")), all_revenue).alias("store_share"),
+            *store_volumes,
+            revenue.alias("store_revenue"),
+            percent(revenue, all_revenue).alias("sales"),
         ),
     )
-    traffic, revenue = zero_if_null(F.col("web_share")), zero_if_null(F.col("store_share"))
     return joined.select(
         F.col("name").alias("department"),
-        zero_if_null(F.col("web_total_events")).alias("web_total_events"),
-        zero_if_null(F.col("web_cart_adds")).alias("web_cart_adds"),
-        two_places(traffic).alias("web_traffic_pct"),
-        zero_if_null(F.col("quantity")).alias("store_qty_sold"),
-        zero_if_null(F.col("store_revenue")).alias("store_revenue"),
-        two_places(revenue).alias("revenue_pct"),
-        (revenue - traffic).alias("exact_gap"),
+        *[
+            zero_if_null(F.col(name)).alias(name)
+            for name in ("web_total_events", "store_revenue", "traffic", "sales", *volumes)
+        ],
     )
 
 
 def dept_traffic_revenue(tables: RetailTables) -> DataFrame:
     """Traffic and revenue per department, and how far their shares are apart."""
+    traffic, sales = F.col("traffic"), F.col("sales")
     return (
-        _traffic_and_revenue(tables)
-        .withColumn("revenue_vs_traffic_gap", two_places(F.col("exact_gap")))
-        .drop("exact_gap")
+        _shares(tables, "web_cart_adds", "quantity")
+        .select(
+            "department",
+            "web_total_events",
+            "web_cart_adds",
+            two_places(traffic).alias("web_traffic_pct"),
+            F.col("quantity").alias("store_qty_sold"),
+            "store_revenue",
+            two_places(sales).alias("revenue_pct"),
+            two_places(sales - traffic).alias("revenue_vs_traffic_gap"),
+        )
         .orderBy(F.desc("store_revenue"), "department")
     )
 
 
 def dept_efficiency(tables: RetailTables) -> DataFrame:
     """Departments by the gap, which is classified before it is rounded."""
+    gap = F.col("sales") - F.col("traffic")
     return (
-        _traffic_and_revenue(tables)
-        .select(
-            "department",
-            two_places(F.col("exact_gap")).alias("gap"),
-            efficiency(F.col("exact_gap")).alias("classification"),
-        )
+        _shares(tables)
+        .select("department", two_places(gap).alias("gap"), efficiency(gap).alias("classification"))
         .orderBy(F.desc("gap"), "department")
     )

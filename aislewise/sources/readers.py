@@ -44,9 +44,10 @@ def read_relation(
     if min_fields is None:
         return spark.read.schema(schema).options(**options).csv(path, header=False)
     with_ragged = T.StructType([*schema.fields, T.StructField(_RAGGED, T.StringType())])
+    # A parser that skips columns would not notice how many there are.
     rows = (
         spark.read.schema(with_ragged)
-        .options(**options)
+        .options(columnPruning=False, **options)
         .csv(path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAGGED)
     )
     # Only lines of an unexpected width carry their text, so only these are counted.

@@ -1,0 +1,175 @@
+"""Readers, sinks, roll-ups and the command line."""
+
+from __future__ import annotations
+
+import glob
+import os
+from types import SimpleNamespace
+
+import pytest
+from conftest import by_key, rows
+from test_weblog import PRODUCT_URL, line
+
+from aislewise.__main__ import main
+from aislewise.plans import jobs
+from aislewise.plans.registry import REPORTS
+from aislewise.sources.readers import field_count, read_relation, read_retail_folder
+from aislewise.sources.sinks import write_presence_lines, write_report, write_weblog_csv
+
+LOG = [
+    line(PRODUCT_URL + "/add_to_cart"),
+    line(PRODUCT_URL),
+    line("/department/golf/category/golf%20balls"),
+    line("/home"),
+    line("/home", status=500),
+]
+
+FILES = {
+    "departments.csv": "2,Fitness\r\n7,Fan Shop",
+    "categories.csv": "46,7,Golf Balls\r\n48,7,Water Sports\r\n9,2,Cardio Equipment\r\n\r\n",
+    "products.csv": '1,48,"Kayak",,129.99,http://x\n2,9,"Bike, big","a ""good"" one",399.98,http://y\n3,46\n',
+    "customers.csv": "1,A,B,x,x,1 Street,Town,TX,00000\n",
+    "full_orders.csv": "1,2014-07-25 00:00:00,1,COMPLETE\n2,2014-07-25 11:10:00,1,CLOSED\n",
+    "full_order_items.csv": "1,1,1,2,259.98,129.99\n2,1,2,1,399.98,399.98\n3,2,2,1,399.98,399.98\n",
+}
+
+
+def text_of(folder):
+    parts = sorted(glob.glob(os.path.join(folder, "part-*")))
+    return [row for part in parts for row in open(part, encoding="utf-8").read().splitlines()]
+
+
+@pytest.fixture
+def data(tmp_path):
+    folder = tmp_path / "data"
+    folder.mkdir()
+    for name, content in FILES.items():
+        (folder / name).write_bytes(content.encode())
+    (tmp_path / "access.log").write_text("\n".join(LOG) + "\n")
+    return folder
+
+
+def test_command_line_from_log_to_reports(spark, tmp_path, data, capsys):
+    main(["etl", str(tmp_path / "access.log"), str(data / "weblog.csv")])
+    assert sorted(text_of(data / "weblog.csv"))[0] == (
+        '"1.2.3.4","14/Jun/2014 23:30:13","","","","home","200"'
+    )
+    output = tmp_path / "results"
+    main(["reports", str(data), str(output), "--show", "--single-files"])
+    saved = {report.saved_as for report in REPORTS.values() if report.saved_as}
+    assert saved == {name for name in os.listdir(output) if name.startswith("analysis")}
+    assert all(len(glob.glob(f"{output}/{name}/part-*.csv")) == 1 for name in saved)
+    assert text_of(output / "analysis1a_web_vs_store_sales") == [
+        "category,presence",
+        "water sports,Both (Web & Store)",
+        "cardio equipment,Store Only",
+        "golf balls,Web Only",
+    ]
+    assert text_of(output / "analysis7_peak_hours") == [
+        "hour_of_day,web_events,web_cart_adds,store_orders,order_vs_cart_gap",
+        "0,0,0,1,1",
+        "11,0,0,1,1",
+        "23,4,1,0,-1",
+    ]
+    shown = capsys.readouterr().out
+    assert shown.count("+\n|") >= len(REPORTS) and "peak_web_hour" in shown
+
+
+def test_line_jobs(spark, tmp_path, data):
+    main(["etl", str(tmp_path / "access.log"), str(tmp_path / "weblog")])
+    paths = [str(data / name) for name in ("full_order_items.csv", "products.csv", "categories.csv")]
+    main(["presence", str(tmp_path / "weblog"), *paths, str(tmp_path / "presence")])
+    assert text_of(tmp_path / "presence") == [
+        "Cardio Equipment,Store Only",
+        "Golf Balls,Web Only",
+        "Water Sports,Both (Web & Store)",
+    ]
+    main(["coverage", str(tmp_path / "weblog"), paths[1], str(tmp_path / "coverage")])
+    assert text_of(tmp_path / "coverage") == [
+        "both,web_only,store_only,total_web_products,total_db_products,catalog_coverage_pct",
+        "1,0,1,1,2,50.00",
+    ]
+    main(["clean-presence", str(data), str(tmp_path / "clean"), "--weblog", str(tmp_path / "weblog")])
+    assert text_of(tmp_path / "clean")[-1] == "Golf Balls,Web Only"
+
+
+def test_log_as_table(spark, tmp_path, data):
+    jobs.convert_log(spark, str(tmp_path / "access.log"), str(tmp_path / "table"), as_table=True)
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert by_key(table.where("pageType = 'add_to_cart'"), "product", "dept") == {"kayak": ("fan shop",)}
+
+
+def test_retail_folder_views(spark, data):
+    tables = read_retail_folder(spark, str(data), weblog=str(data / "departments.csv"))
+    tables.register_views()
+    found = spark.sql(
+        "SELECT d.dept_name, count(*) AS n FROM order_items i JOIN products p USING (product_id) "
+        "JOIN categories c USING (cat_id) JOIN departments d ON c.dept_id = d.dept_id GROUP BY 1"
+    )
+    assert by_key(found, "dept_name", "n") == {"Fitness": (2,), "Fan Shop": (1,)}
+    assert tables.customers.count() == 1
+    product = tables.products.where("product_id = 2").first()
+    assert product["product_name"] == "Bike, big"
+
+
+def test_narrow_lines_are_left_out(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text('1,10,"a, b",,5,u\n2,11\n3,12,c\n4,13,"d",x,6,u,extra\n"5,14",15\n')
+    ids = rows(read_relation(spark, str(path), "products", min_fields=3), "product_id", "product_name")
+    assert sorted(ids) == [("1", "a, b"), ("3", "c"), ("4", "d")]
+    everything = read_relation(spark, str(path), "products")
+    assert everything.count() == 5
+
+
+def test_field_count(spark):
+    frame = spark.createDataFrame([("a,b",), ('"a,b"',), ('1,"x,y",2',), (",,",)], "line string")
+    assert rows(frame.select(field_count(frame.line))) == [(2,), (1,), (3,), (3,)]
+
+
+def test_empty_fields_are_null_after_csv(spark, tmp_path, make_tables):
+    frame = spark.createDataFrame(
+        [("i", "t", "", 'say "hi"', "a,b", "home", "200")],
+        "ip string, datetime string, dept string, category string, product string, pageType string, "
+        "respCode string",
+    )
+    write_weblog_csv(frame, str(tmp_path / "w"))
+    assert rows(read_relation(spark, str(tmp_path / "w"), "weblog")) == [
+        ("i", "t", None, 'say "hi"', "a,b", "home", "200")
+    ]
+
+
+def test_report_nulls_order_and_files(spark, tmp_path):
+    frame = spark.range(2000).selectExpr("id", "nullif(id, 1) AS x").orderBy("id")
+    write_report(frame, str(tmp_path / "many"))
+    write_report(frame, str(tmp_path / "one"), single_file=True)
+    many = [row for row in text_of(tmp_path / "many") if row != "id,x"]
+    assert text_of(tmp_path / "one")[1:] == many and many[:2] == ["0,0", '1,""']
+    write_report(frame, str(tmp_path / "plain"), single_file=True, quoted_nulls=False)
+    assert text_of(tmp_path / "plain")[2] == "1,"
+    assert spark.conf.get("spark.sql.legacy.nullValueWrittenAsQuotedEmptyStringCsv") == "false"
+
+
+def test_presence_lines_quote_commas(spark, tmp_path):
+    frame = spark.createDataFrame([("A, b", "Web Only"), ("C", "Web Only")], "category string, presence string")
+    write_presence_lines(frame.coalesce(1), str(tmp_path / "p"))
+    assert text_of(tmp_path / "p") == ['"A, b",Web Only', "C,Web Only"]
+
+
+@pytest.mark.parametrize("name", list(REPORTS))
+def test_rollups_change_no_report(spark, storefront, rolled, name):
+    expected, actual = REPORTS[name].build(storefront), REPORTS[name].build(rolled)
+    assert actual.dtypes == expected.dtypes
+    assert sorted(rows(actual), key=repr) == sorted(rows(expected), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rolled(spark, storefront, tmp_path_factory):
+    return jobs.rolled_up(spark, storefront, str(tmp_path_factory.mktemp("work")))
+
+
+def test_working_folder_is_the_clusters(spark):
+    """The session's own setting counts; another place only where there is none."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert jobs.working_folder(spark, "mine") == (configured or "mine")
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert jobs.working_folder(unset, "mine") == "mine"
