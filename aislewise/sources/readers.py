@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from aislewise.sources.relations import SCHEMAS, RetailTables
 
 _RAGGED = "_ragged_line"
+_MOST_PER_PARTITION = 32
 
 # --- fixed values -----------------------------------------------------------
 # Fewest fields of a usable line in the two jobs that read lines on their own.
@@ -29,7 +30,21 @@ FILES = {
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
     """value: one log line per row."""
-    return spark.read.text(path)
+    return spread(spark.read.text(path))
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Give a source with fewer partitions than the cluster has cores more of them.
+
+    Lines are costly to parse compared with moving them, and some files cannot be split:
+    a compressed log is one partition whatever its size.  A source that already has
+    enough partitions, as any large splittable one has, is left alone and not shuffled.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    partitions = source.rdd.getNumPartitions()
+    if partitions == 0 or partitions >= cores:
+        return source
+    return source.repartition(min(cores, partitions * _MOST_PER_PARTITION))
 
 
 def read_relation(

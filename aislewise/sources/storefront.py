@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aislewise.operators.weblog import parse_access_log
+from aislewise.sources.readers import spread
 from aislewise.sources.relations import RetailTables
 
 _CATEGORY_ID = "concat_ws('|', p_type, p_brand)"
@@ -31,16 +32,20 @@ _CATEGORY_NAME = """
        replace(p_brand, '#', '/'),
        concat_ws(' ', p_type, p_brand))"""
 _PRODUCT_NAME = "concat(p_name, ' ', p_brand, if(p_partkey % 7 = 0, '+', ''))"
-_PATH = "replace(replace({}, '#', '%23'), ' ', '%20')".format
-_LOG_LINE = """
+_LOG_LINE = f"""
     concat(
       '10.', shiftright(user_id, 16) % 256, '.', shiftright(user_id, 8) % 256, '.', user_id % 256,
       ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "GET ',
       CASE
-        WHEN event_type IN ('view', 'error') THEN product_path
-        WHEN event_type = 'purchase' THEN concat(product_path, '/add_to_cart')
-        WHEN event_type = 'click' THEN if(event_id % 2 = 0, category_path, department_path)
-        ELSE CASE event_id % 3 WHEN 0 THEN '/view_cart' WHEN 1 THEN '/checkout' ELSE '/home' END
+        WHEN event_type = 'signup' THEN
+          CASE event_id % 3 WHEN 0 THEN '/view_cart' WHEN 1 THEN '/checkout' ELSE '/home' END
+        ELSE replace(replace(
+          concat(
+            '/department/', p_type,
+            if(event_type = 'click' AND event_id % 2 = 1, '', concat('/category/', {_CATEGORY_NAME})),
+            if(event_type = 'click', '', concat('/product/', {_PRODUCT_NAME})),
+            if(event_type = 'purchase', '/add_to_cart', '')),
+          '#', '%23'), ' ', '%20')
       END,
       if(event_type = 'error', ' HTTP/1.1" 500', ' HTTP/1.1" 200'), ' 1063 "-" "Mozilla/5.0"')"""
 
@@ -53,7 +58,7 @@ def storefront_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
 
     return RetailTables(
         {
-            "weblog": lambda: parse_access_log(access_log(table("events"), table("part"))),
+            "weblog": lambda: parse_access_log(access_log(spread(table("events")), table("part"))),
             "departments": lambda: departments(table("part")),
             "categories": lambda: categories(table("part")),
             "products": lambda: products(table("part")),
@@ -140,13 +145,6 @@ def access_log(events: DataFrame, part: DataFrame) -> DataFrame:
         "event_type",
         "try_cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS shown_part",
     )
-    department = "concat('/department/', p_type)"
-    category = f"concat({department}, '/category/', {_CATEGORY_NAME})"
-    paths = part.selectExpr(
-        "p_partkey",
-        f"{_PATH(department)} AS department_path",
-        f"{_PATH(category)} AS category_path",
-        _PATH(f"concat({category}, '/product/', {_PRODUCT_NAME})") + " AS product_path",
-    )
-    joined = shown.join(paths, F.col("shown_part") == F.col("p_partkey"))
+    parts = part.select("p_partkey", "p_name", "p_brand", "p_type")
+    joined = shown.join(parts, F.col("shown_part") == F.col("p_partkey"))
     return joined.selectExpr(f"{_LOG_LINE} AS value")

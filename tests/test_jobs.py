@@ -13,7 +13,13 @@ from test_weblog import PRODUCT_URL, line
 from aislewise.__main__ import main
 from aislewise.plans import jobs
 from aislewise.plans.registry import REPORTS
-from aislewise.sources.readers import field_count, read_relation, read_retail_folder
+from aislewise.sources.readers import (
+    field_count,
+    read_access_log,
+    read_relation,
+    read_retail_folder,
+    spread,
+)
 from aislewise.sources.sinks import write_presence_lines, write_report, write_weblog_csv
 
 LOG = [
@@ -112,6 +118,16 @@ def test_retail_folder_views(spark, data):
     assert product["product_name"] == "Bike, big"
 
 
+def test_unsplittable_logs_are_spread(spark, tmp_path):
+    spark.range(50).selectExpr("'x' AS value").coalesce(1).write.text(
+        str(tmp_path / "log"), compression="gzip"
+    )
+    lines = read_access_log(spark, str(tmp_path / "log"))
+    assert lines.rdd.getNumPartitions() == 8 and lines.count() == 50
+    enough = spark.range(0, 50, 1, 8)
+    assert spread(enough) is enough
+
+
 def test_narrow_lines_are_left_out(spark, tmp_path):
     path = tmp_path / "products.csv"
     path.write_text('1,10,"a, b",,5,u\n2,11\n3,12,c\n4,13,"d",x,6,u,extra\n"5,14",15\n')
