@@ -24,6 +24,15 @@ def to_double(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def to_exact(value: Column) -> Column:
+    """A double as a decimal with six places, for sums.
+
+    A sum of doubles depends on the order of addition, which differs from run to run; on
+    large data the cents are lost.  A sum of decimals is exact and always the same.
+    """
+    return to_double(value).try_cast("decimal(24,6)")
+
+
 def nonzero(value: Column) -> Column:
     return F.nullif(value, F.lit(0))
 

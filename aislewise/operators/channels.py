@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.functions.numeric import to_double, to_int
+from aislewise.functions.numeric import to_exact, to_int
 from aislewise.functions.text import is_given, line_key, name_key
 from aislewise.operators.weblog import ADD_TO_CART, CATEGORY, PRODUCT
 
@@ -110,7 +110,10 @@ def web_hours(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:
 
 
 def sales_by_product(order_items: DataFrame) -> DataFrame:
-    """Order items summed per product id; sums stay NULL where no value was readable."""
+    """Order items summed per product id; sums stay NULL where no value was readable.
+
+    Revenue is an exact decimal here and becomes a double in the reports.
+    """
     if "order_rows" in order_items.columns:
         return order_items
     quantity = to_int(F.col("quantity"))
@@ -119,7 +122,7 @@ def sales_by_product(order_items: DataFrame) -> DataFrame:
         F.count("item_id").alias("order_lines"),
         F.sum(quantity).alias("quantity"),
         F.count(quantity).alias("quantity_rows"),
-        F.sum(to_double(F.col("subtotal"))).alias("revenue"),
+        F.sum(to_exact(F.col("subtotal"))).alias("revenue"),
     )
 
 

@@ -24,7 +24,7 @@ def _shares(tables: RetailTables, *volumes: str) -> DataFrame:
     )
     web_volumes = [name for name in volumes if name in web.columns]
     store_volumes = [name for name in volumes if name in store.columns]
-    events, revenue = F.col("web_total_events"), two_places(F.col("revenue"))
+    events, revenue = F.col("web_total_events"), two_places(F.col("revenue").cast("double"))
     all_events = total_of(web, "web_total_events", *web_volumes)
     all_revenue = total_of(store, "revenue", *store_volumes)
     joined = outer_by_key(

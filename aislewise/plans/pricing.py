@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.labels import PRICE_CUTS, price_range, verdict
-from aislewise.functions.numeric import ratio, to_double, two_places, zero_if_null
+from aislewise.functions.numeric import ratio, to_double, to_exact, two_places, zero_if_null
 from aislewise.functions.text import name_key
 from aislewise.operators.channels import sales_by_product, web_cart_adds
 from aislewise.sources.relations import RetailTables
@@ -40,7 +40,7 @@ def _tier_totals(
         .groupBy("price_range", "name")
         .agg(
             F.count(F.lit(1)).alias("products"),
-            F.sum("price").alias("price_sum"),
+            F.sum(to_exact(F.col("price"))).alias("price_sum"),
             F.count("price").alias("priced"),
             F.count_if(F.col("sold") & F.col("is_first")).alias("sold_products"),
             F.sum("quantity").alias("quantity"),
@@ -51,7 +51,7 @@ def _tier_totals(
         by_name.join(web_cart_adds(tables.weblog, blank_products=True), "name", "left")
         .groupBy("price_range")
         .agg(
-            two_places(F.sum("price_sum") / F.nullif(F.sum("priced"), F.lit(0))).alias("avg_price"),
+            two_places(ratio(F.sum("price_sum"), F.sum("priced"))).alias("avg_price"),
             F.count("web_cart_adds").alias("web_unique_products"),
             zero_if_null(F.sum(F.col("web_cart_adds") * copies)).alias("web_cart_adds"),
             F.sum("sold_products").alias("store_unique_products"),

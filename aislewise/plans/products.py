@@ -99,7 +99,7 @@ def product_presence(tables: RetailTables) -> DataFrame:
             lines.alias("actual_order_lines"),
             zero_if_null(F.col("quantity")).alias("total_qty_sold"),
             zero_if_null(average).alias("avg_qty_per_order"),
-            zero_if_null(two_places(F.col("revenue"))).alias("total_revenue"),
+            zero_if_null(two_places(F.col("revenue").cast("double"))).alias("total_revenue"),
             two_places(ratio(adds, F.col("quantity"))).alias("web_events_per_unit_sold"),
             two_places(percent(lines, F.col("web_cart_adds"))).alias("cart_to_order_pct"),
             PRODUCT_LABELS.of(F.col("in_web"), F.col("in_store")).alias("presence"),
@@ -116,8 +116,8 @@ def product_presence_summary(tables: RetailTables) -> DataFrame:
         .groupBy(PRODUCT_LABELS.of(F.col("in_web"), F.col("in_store")).alias("presence"))
         .agg(
             F.count(F.lit(1)).alias("product_count"),
-            two_places(F.sum(revenue)).alias("total_revenue"),
-            two_places(F.avg(revenue)).alias("avg_revenue_per_product"),
+            two_places(F.sum(revenue).cast("double")).alias("total_revenue"),
+            two_places(ratio(F.sum(revenue), F.count(F.lit(1)))).alias("avg_revenue_per_product"),
         )
         .orderBy(F.desc("total_revenue"), "presence")
     )
