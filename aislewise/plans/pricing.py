@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.labels import PRICE_CUTS, price_range, verdict
@@ -15,12 +15,12 @@ from aislewise.sources.relations import RetailTables
 def _tier_totals(
     tables: RetailTables, cuts: tuple[int, ...], count_names_once: bool
 ) -> DataFrame:
-    """Sums per tier, made per (tier, name) first.
+    """Both channels per tier: the web side by product name, the store side by product id.
 
-    A name's cart adds count for every product of that name.  Folding the products of a
-    name before the names meet the web keeps one row per (tier, name) in that join, so a
-    name that many products share is no hot key, and the distinct names of a tier are
-    plain rows.
+    Products are folded to (tier, name) and (tier, id) before these meet the web and the
+    sales.  Each join then has one row per key, so neither a name that many products
+    share nor a repeated id is a hot key, and distinct names and ids are plain rows.
+    A name's cart adds count for every product of that name, an id's units for every row.
     """
     price = to_double(F.col("price"))
     shelf = tables.products.where(F.col("price").isNotNull()).select(
@@ -29,39 +29,42 @@ def _tier_totals(
         price.alias("price"),
         price_range(price, cuts).alias("price_range"),
     )
-    # Of rows that repeat an id within a tier only the first counts as a product sold.
-    repeats = Window.partitionBy("product_id", "price_range").orderBy("name")
-    shelf = shelf.withColumn("is_first", F.row_number().over(repeats) == 1)
-    sales = sales_by_product(tables.order_items).select(
-        "product_id", "quantity", F.lit(True).alias("sold")
-    )
-    by_name = (
-        shelf.join(sales, "product_id", "left")
-        .groupBy("price_range", "name")
+    copies = F.lit(1) if count_names_once else F.col("products")
+    web = (
+        shelf.groupBy("price_range", "name")
         .agg(
             F.count(F.lit(1)).alias("products"),
             F.sum(to_exact(F.col("price"))).alias("price_sum"),
             F.count("price").alias("priced"),
-            F.count_if(F.col("sold") & F.col("is_first")).alias("sold_products"),
-            F.sum("quantity").alias("quantity"),
         )
-    )
-    copies = F.lit(1) if count_names_once else F.col("products")
-    return (
-        by_name.join(web_cart_adds(tables.weblog, blank_products=True), "name", "left")
+        .join(web_cart_adds(tables.weblog, blank_products=True), "name", "left")
         .groupBy("price_range")
         .agg(
             two_places(ratio(F.sum("price_sum"), F.sum("priced"))).alias("avg_price"),
             F.count("web_cart_adds").alias("web_unique_products"),
             zero_if_null(F.sum(F.col("web_cart_adds") * copies)).alias("web_cart_adds"),
-            F.sum("sold_products").alias("store_unique_products"),
-            zero_if_null(F.sum("quantity")).alias("store_qty_sold"),
         )
-        .withColumn(
-            "web_events_per_unit",
-            two_places(ratio(F.col("web_cart_adds"), F.col("store_qty_sold"))),
+    )
+    store = (
+        shelf.groupBy("price_range", "product_id")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .join(sales_by_product(tables.order_items).select("product_id", "quantity"), "product_id")
+        .groupBy("price_range")
+        .agg(
+            F.count(F.lit(1)).alias("store_unique_products"),
+            F.sum(F.col("quantity") * F.col("copies")).alias("store_qty_sold"),
         )
     )
+    sold = zero_if_null(F.col("store_qty_sold"))
+    return web.join(store, "price_range", "left").select(
+        "price_range",
+        "avg_price",
+        "web_unique_products",
+        "web_cart_adds",
+        zero_if_null(F.col("store_unique_products")).alias("store_unique_products"),
+        sold.alias("store_qty_sold"),
+        two_places(ratio(F.col("web_cart_adds"), sold)).alias("web_events_per_unit"),
+    )
 
 
 def price_tiers(tables: RetailTables, cuts: tuple[int, ...] = PRICE_CUTS) -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from aislewise.plans import categories, departments, funnel, hours, pricing, products
-from aislewise.sources.relations import RetailTables
 
 
 @dataclass(frozen=True)

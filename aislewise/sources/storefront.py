@@ -32,7 +32,7 @@ _CATEGORY_NAME = """
        replace(p_brand, '#', '/'),
        concat_ws(' ', p_type, p_brand))"""
 _PRODUCT_NAME = "concat(p_name, ' ', p_brand, if(p_partkey % 7 = 0, '+', ''))"
-_LOG_LINE = f"""
+_LOG_LINE = """
     concat(
       '10.', shiftright(user_id, 16) % 256, '.', shiftright(user_id, 8) % 256, '.', user_id % 256,
       ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "GET ',
@@ -42,8 +42,8 @@ _LOG_LINE = f"""
         ELSE replace(replace(
           concat(
             '/department/', p_type,
-            if(event_type = 'click' AND event_id % 2 = 1, '', concat('/category/', {_CATEGORY_NAME})),
-            if(event_type = 'click', '', concat('/product/', {_PRODUCT_NAME})),
+            if(event_type = 'click' AND event_id % 2 = 1, '', concat('/category/', cat_name)),
+            if(event_type = 'click', '', concat('/product/', product_name)),
             if(event_type = 'purchase', '/add_to_cart', '')),
           '#', '%23'), ' ', '%20')
       END,
@@ -145,6 +145,8 @@ def access_log(events: DataFrame, part: DataFrame) -> DataFrame:
         "event_type",
         "try_cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS shown_part",
     )
-    parts = part.select("p_partkey", "p_name", "p_brand", "p_type")
+    parts = part.selectExpr(
+        "p_partkey", "p_type", f"{_CATEGORY_NAME} AS cat_name", f"{_PRODUCT_NAME} AS product_name"
+    )
     joined = shown.join(parts, F.col("shown_part") == F.col("p_partkey"))
     return joined.selectExpr(f"{_LOG_LINE} AS value")
