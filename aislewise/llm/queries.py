@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_files, top_k
+from . import (
+    exact_dedup,
+    finite_state_count,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    streaming_bpe,
+    token_files,
+    top_k,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,21 +31,61 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_round_trip(documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is a document's host, and its language the path within it."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_quality(documents(spark, sf_dir), labels, host=F.col("source"), path=F.col("lang"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finite_state_count.count_tokens(documents(spark, sf_dir), BYTE_BPE, limit=512)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     vectors = top_k.scaled(top_k.usable_vectors(table, "vec_id", "embedding"))
     return top_k.exact_top_k(vectors.where(F.col("id") % 100 == 0), vectors, k=10)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op9_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming_bpe.encode_and_decode(documents(spark, sf_dir), WORD_BPE)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_top_k, op7_exact_dedup, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_language_id,
+        op3_quality,
+        op4_token_counts,
+        op5_top_k,
+        op6_line_dedup,
+        op7_exact_dedup,
+        op8_near_dedup,
+        op9_streaming_bpe,
+        op10_packing,
+    )
+}
 
 ORACLE_SQL = {
     "op5_top_k": """
