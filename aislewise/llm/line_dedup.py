@@ -3,15 +3,15 @@
 A line is the set of its words, as 58-bit hashes whose order is that of rarity: the words' frequencies, counted
 over all lines in ``FREQUENCY_BUCKETS`` buckets, come first in the bits.  Two lines with a Jaccard similarity of
 4/5 share a word among the rarest n - ceil(4n/5) + 1 of each (the prefix).  Lines that share one are compared
-by length, by the positions of the shared word, and by the parities of their words in 64 groups; what is left
-is verified on the whole sets.
+by length, by the positions of the shared word, and by the parities of their words in 64 groups (128 for long
+lines); what is left is verified on the whole sets.
 
 Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  A prefix
 word that stands in fewer than ``HOT_LINES`` lines is joined with itself: no line gets more partners than that
 from it.  Under a more frequent word, every line meets only the earliest lines of ``PIVOTS`` parts first, and
 lines that these do not remove meet all earlier ones.
 
-All of it is DataFrame functions.  What reaches the driver are three tables of fixed size, one byte an entry,
+All of it is DataFrame functions.  What reaches the driver are tables of fixed size, one small number an entry,
 which come back to the tasks as literals: frequencies, frequent prefix words, and lines to be verified.  The
 last two only sort rows beforehand; joins on the exact values follow.
 """
@@ -27,6 +27,8 @@ FREQUENCY_BUCKETS = 1 << 17
 FLAG_BUCKETS = 1 << 19
 HOT_LINES = 64
 PIVOTS = 8
+#: Words from which a line has the parities of 128 groups.
+LONG_LINE = 48
 #: Jaccard similarity of at least 4/5.  With both sizes known, that is an overlap of 4/9 of their sum.
 _SIMILAR, _OF = 4, 5
 _PLACE = ["doc_id", "line"]
@@ -36,10 +38,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return with_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
 
 
+def _split(line: Column) -> Column:
+    """Words of a line, with empty ones; white space separates them and case does not count."""
+    return F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " ")
+
+
 def _words(line: Column) -> Column:
-    """Distinct words of a line as 64-bit hashes; white space separates them and case does not count."""
-    plain = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
-    hashes = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    """Distinct words of a line as 64-bit hashes."""
+    hashes = F.transform(_split(line), lambda w: F.xxhash64(w))
     return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
@@ -47,19 +53,16 @@ def _bucket(value: Column, buckets: int) -> Column:
     return value.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
 
 
-def _entry(table: bytes, bucket: Column) -> Column:
-    return F.substring(F.lit(table), bucket + 1, F.lit(1))
-
-
-def _frequencies(docs: DataFrame) -> bytes:
-    """For each bucket of words a byte below 64 that grows with the logarithm of its count."""
-    word = F.explode(_words(F.col("words"))).alias("word")
-    counts = _lines(docs).select(word).groupBy(_bucket(F.col("word"), FREQUENCY_BUCKETS).alias("bucket")).count()
+def _frequencies(docs: DataFrame) -> list[int]:
+    """For each bucket of words a number below 64 that grows with the logarithm of its count."""
+    words = _lines(docs).select(F.explode(_split(F.col("words"))).alias("word"))
+    bucket = _bucket(F.xxhash64("word"), FREQUENCY_BUCKETS).alias("bucket")
+    counts = words.groupBy(bucket).count()
     level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("count"))) + 1).cast("int")
-    table = bytearray(FREQUENCY_BUCKETS)
-    for bucket, value in counts.select("bucket", level).collect():
-        table[bucket] = value
-    return bytes(table)
+    table = [0] * FREQUENCY_BUCKETS
+    for at, value in counts.select("bucket", level).collect():
+        table[at] = value
+    return table
 
 
 def _flags(rows: DataFrame, key: Column) -> bytes:
@@ -71,12 +74,16 @@ def _flags(rows: DataFrame, key: Column) -> bytes:
 
 
 def _flagged(table: bytes, key: Column) -> Column:
-    return _entry(table, _bucket(key, FLAG_BUCKETS)) == F.lit(b"\x01")
+    entry = F.substring(F.lit(table), _bucket(key, FLAG_BUCKETS) + 1, F.lit(1))
+    return entry == F.lit(b"\x01")
+
 
+def _by_rarity(words: Column, frequencies: list[int]) -> Column:
+    # The optimizer turns this into one array, which the tasks share.
+    levels = F.split(F.lit(",".join(map(str, frequencies))), ",").cast("array<bigint>")
 
-def _by_rarity(words: Column, frequencies: bytes) -> Column:
     def ordered(word: Column) -> Column:
-        level = F.ascii(_entry(frequencies, _bucket(word, FREQUENCY_BUCKETS)).cast("string")).cast("long")
+        level = F.get(levels, _bucket(word, FREQUENCY_BUCKETS))
         return F.shiftleft(level - 32, 58).bitwiseOR(F.shiftrightunsigned(word, 6))
 
     return F.sort_array(F.transform(words, ordered))
@@ -98,8 +105,13 @@ def _candidate(a: str, b: str) -> Column:
     # The first shared word has its place in both prefixes, and no more overlap than what follows it.
     left = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
     position = (_OF + _SIMILAR) * left >= _SIMILAR * (na + nb)
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return _earlier(a, b) & length & position & ((_OF + _SIMILAR) * differ <= (_OF - _SIMILAR) * (na + nb))
+    # Sets that differ in d words differ in the parities of d groups at most.
+    low, high = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("low", "high"))
+    most = (_OF - _SIMILAR) * (na + nb)
+    few = (_OF + _SIMILAR) * F.bit_count(low.bitwiseXOR(high)) <= most
+    in_all = (_OF + _SIMILAR) * (F.bit_count(low) + F.bit_count(high)) <= most
+    short = (na <= LONG_LINE) | (nb <= LONG_LINE)
+    return length & position & few & (short | in_all) & _earlier(a, b)
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -114,17 +126,17 @@ def _place_key(place: Column) -> Column:
     return F.xxhash64(place["doc_id"], place["line"])
 
 
-def _sets(docs: DataFrame, places: DataFrame, frequencies: bytes) -> DataFrame:
-    """(place, set) of the lines named; the texts are read again, and few of them pass the flags."""
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The later places of the pairs that are similar.
+
+    The texts are read again, and of their lines few pass the flags.
+    """
+    places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
     table = _flags(places, _place_key(F.col("place")))
     here = F.struct("doc_id", "line").alias("place")
     maybe = _lines(docs).select(here, "words").where(_flagged(table, _place_key(F.col("place"))))
     named = maybe.join(places, "place", "left_semi")
-    return written(named.select("place", _by_rarity(_words(F.col("words")), frequencies).alias("set")), "line-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later places of the pairs that are similar."""
+    sets = written(named.select("place", _words(F.col("words")).alias("set")), "line-sets")
     left = sets.select(F.col("place").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("place").alias("b"), F.col("set").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -144,17 +156,23 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     # n - ceil(4n / 5) + 1; sets of up to four words are similar only when equal, and need no prefix.
     prefix = F.when(n > _SIMILAR, F.slice(ordered, F.lit(1), n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1))
     one = F.lit(1).cast("long")
-    parity = F.aggregate(
-        ordered,
-        F.lit(0).cast("long"),
-        lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63).cast("long")).cast("int"))),
-    )
+
+    def parity(words: Column) -> Column:
+        def flipped(acc: Column, word: Column) -> Column:
+            group = word.bitwiseAND(F.lit(63).cast("long")).cast("int")
+            return acc.bitwiseXOR(F.call_function("shiftleft", one, group))
+
+        return F.aggregate(words, F.lit(0).cast("long"), flipped)
+
+    # Of a long line, the words with a certain bit are in groups of their own.
+    upper = F.filter(ordered, lambda w: w.bitwiseAND(F.lit(64).cast("long")) != 0)
+    high = F.when(n > LONG_LINE, parity(upper)).otherwise(F.lit(0).cast("long"))
     sets = _lines(docs).select("doc_id", "line", _by_rarity(_words(F.col("words")), frequencies).alias("set"))
     lines = written(
         sets.where(n > 0).select(
             "doc_id", "line", F.xxhash64("set", n).alias("same"), F.hash("set").alias("check"),
-            n.alias("n"), parity.alias("parity"), prefix.alias("prefix"),
-        ),
+            n.alias("n"), parity(ordered).alias("every"), high.alias("high"), prefix.alias("prefix"),
+        ).withColumn("low", F.col("every").bitwiseXOR(F.col("high"))).drop("every"),
         "lines",
     )
     place = F.struct("doc_id", "line").alias("place")
@@ -163,7 +181,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     copies = lines.select(place, *equal).join(firsts, equal).where("place <> first").select("place")
 
     posted = lines.where("prefix IS NOT NULL").select(
-        "doc_id", "line", "n", "parity", F.posexplode("prefix").alias("place", "token")
+        "doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("place", "token")
     )
     spread = F.xxhash64("token")
     frequent = posted.groupBy("token").count().where(F.col("count") >= HOT_LINES)
@@ -176,18 +194,15 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     hot = posted.where(_flagged(table, spread)).alias("p").join(only_firsts.alias("f"), at, "left_semi")
     hot = written(hot, "frequent-words")
     part = F.pmod(F.xxhash64("doc_id", "line"), F.lit(PIVOTS)).alias("part")
-    pivots = hot.groupBy("token", part).agg(F.min(F.struct("doc_id", "line", "n", "parity", "place")).alias("pivot"))
+    pivots = hot.groupBy("token", part).agg(F.min(F.struct("doc_id", "line", "n", "low", "high", "place")).alias("pivot"))
     pivots = pivots.select("token", "pivot.*")
     first_pairs = written(_pairs(pivots, hot), "pivot-pairs")
 
-    named = pairs.unionByName(first_pairs).select(F.explode(F.array("a", "b")).alias("place"))
-    named = named.unionByName(hot.select(place)).distinct()
-    whole = _sets(docs, written(named, "places"), frequencies)
-    removed = written(_verified(pairs.unionByName(first_pairs).distinct(), whole), "matched").select("place")
+    removed = written(_verified(docs, written(pairs.unionByName(first_pairs).distinct(), "line-pairs")), "matched")
 
-    settled = removed.select("place.*")
-    open_rows = hot.alias("p").join(settled.alias("f"), at, "left_anti")
-    more = _verified(_pairs(hot, open_rows).join(first_pairs, ["a", "b"], "left_anti"), whole)
+    open_rows = hot.alias("p").join(removed.select("place.*").alias("f"), at, "left_anti")
+    rest = _pairs(hot, open_rows).join(first_pairs, ["a", "b"], "left_anti")
+    more = _verified(docs, written(rest, "line-pairs"))
     return copies.unionByName(removed).unionByName(more).distinct().select("place.*")
 
 

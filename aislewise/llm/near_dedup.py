@@ -7,9 +7,10 @@
 3. Each member of a bucket is compared with the bucket's smallest member on the full sets, and the links give
    components.  A bucket whose members are then in one component is done.
 4. In the others, members of different components are compared: first by the collision-corrected estimate from
-   the registers, which passes everything that is not five standard errors below the threshold, then on the
+   1,024 registers, which passes everything that is not five standard errors below the threshold, then on the
    full sets.  Large buckets are cut into blocks, and every two blocks meet, so no task holds a whole bucket.
-   Only pairs across components leave a task, each from the first band that both share.
+   In a first round each member sends on its best partner alone, which joins most of what is one component;
+   in a second one all pairs that are still across components go on, each from the first band they share.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .work import with_text, written
 
 BAND_ROWS = 6
 BLOCK = 512
+#: Bits of the bucket number in the registers that estimates are made from.
+FINE_BITS = 10
 #: Standard errors below the threshold at which an estimate rules a pair out.
 ERRORS = 5.0
 
@@ -98,8 +101,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose estimates do not rule them out."""
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = (np.frombuffer(own.as_buffer(), np.uint64) for own in batch.column("shingles"))
+        fine = pa.array([S.registers(own, FINE_BITS).tobytes() for own in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fine], ["doc_id", "fine"])
+
+
+def _least_estimate(used: np.ndarray, n: int, m: np.ndarray, threshold: float) -> np.ndarray:
+    """What an estimate from ``used`` registers is at least, for sets of ``n`` and ``m`` at the threshold.
+
+    Each register that is filled draws one element of the union, none twice: a hypergeometric sample.
+    """
+    union = np.maximum((n + m) / (1 + threshold), used)
+    undrawn = (union - used) / np.maximum(union - 1, 1)
+    error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * undrawn)
+    return threshold - ERRORS * error - 1 / np.maximum(used, 1)
+
+
+def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose estimates do not rule them out.
+
+    With ``best_only``, each row's best partner in another component alone.
+    """
     threshold = percent / 100
 
     def run(own: pa.Table) -> pa.RecordBatch:
@@ -109,8 +133,12 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         ids, groups, sizes = ids[unique], groups[unique], own["n_shingles"].to_numpy()
         blocks, pivot = own["block"].to_numpy(), own["pivot"].to_numpy()[0]
         (low,), (high,), (band,) = (own[c].unique().to_pylist() for c in ("low", "high", "band"))
-        sketches = np.stack([np.frombuffer(r.as_buffer(), np.uint16) for r in own["registers"].combine_chunks()])
-        values = np.stack([S.filled(r) for r in sketches])[:, : S.BUCKETS // BAND_ROWS * BAND_ROWS]
+        coarse, sketches = (
+            np.stack([np.frombuffer(r.as_buffer(), np.uint16) for r in own[c].combine_chunks()])
+            for c in ("registers", "fine")
+        )
+        values = np.stack([S.filled(r) for r in coarse])[:, : S.BUCKETS // BAND_ROWS * BAND_ROWS]
+        best, partner = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
         a, b = [], []
         for i in range(len(ids) - 1):
             # Pairs within a block belong to the run of that block alone, those with the pivot are settled.
@@ -123,13 +151,21 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             if ids[i] == pivot or not len(at):
                 continue
             estimate, used = S.jaccard_estimates(sketches[i], sizes[i], sketches[at], sizes[at])
-            error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-            at = at[estimate >= threshold - ERRORS * error]
-            if len(at):
+            likely = estimate >= _least_estimate(used, sizes[i], sizes[at], threshold)
+            at, estimate = at[likely], estimate[likely]
+            if best_only and len(at):
+                better = estimate > best[at]
+                best[at[better]], partner[at[better]] = estimate[better], i
+                if estimate.max() > best[i]:
+                    best[i], partner[i] = estimate.max(), at[estimate.argmax()]
+            elif len(at):
                 equal = (values[at] == values[i]).reshape(len(at), -1, BAND_ROWS).all(axis=2)
                 at = at[equal.argmax(axis=1) == band]
                 a.append(np.full(len(at), ids[i]))
                 b.append(ids[at])
+        if best_only:
+            found = np.flatnonzero(best >= 0)
+            a, b = [np.minimum(ids[found], ids[partner[found]])], [np.maximum(ids[found], ids[partner[found]])]
         columns = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in (a, b)]
         return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
@@ -164,6 +200,19 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(walk, "a long, b long")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) with further links; ids that had no component yet come in with them."""
+    left = labels.select(F.col("id").alias("a"), F.col("component").alias("left"))
+    right = labels.select(F.col("id").alias("b"), F.col("component").alias("right"))
+    between = links.join(left, "a", "left").join(right, "b", "left")
+    between = between.select(F.coalesce("left", "a").alias("a"), F.coalesce("right", "b").alias("b"))
+    over = components(written(between, "links"))
+    known = labels.join(over.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "left")
+    known = known.select("id", F.coalesce("over", "component").alias("component"))
+    new = over.join(labels, "id", "left_anti")
+    return written(known.unionByName(new), "labels")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -185,28 +234,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = _sets(docs, buckets.select("doc_id").distinct(), words)
 
     with_pivot = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    first = components(written(_confirmed(with_pivot.distinct(), sets, percent), "links"))
-
-    grouped = buckets.where("members > 2").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_buckets = grouped.join(mixed.where("least < most").select("key"), "key")
-    open_rows = open_buckets.join(one_of_each.select("doc_id", "n_shingles", "registers"), "doc_id")
-    across = written(_across(open_rows, percent), "across")
-    more = _confirmed(across.distinct(), sets, percent)
-    label = first.select(F.col("id").alias("a"), F.col("component").alias("left"))
-    other = first.select(F.col("id").alias("b"), F.col("component").alias("right"))
-    joined = more.join(label, "a", "left").join(other, "b", "left")
-    second = components(
-        written(joined.select(F.coalesce("left", "a").alias("a"), F.coalesce("right", "b").alias("b")), "links")
-    )
-
-    of_class = (
-        classes.join(first.withColumnRenamed("id", "representative"), "representative", "left")
-        .withColumn("component", F.coalesce("component", "representative"))
-        .join(second.select(F.col("id").alias("component"), F.col("component").alias("joined")), "component", "left")
-        .select("set_key", F.coalesce("joined", "component").alias("component"))
-    )
+    labels = components(written(_confirmed(with_pivot.distinct(), sets, percent), "links"))
+
+    fine = sets.mapInArrow(_fine, "doc_id long, fine binary")
+    coarse = one_of_each.select("doc_id", "n_shingles", "registers")
+    for best_only in (True, False):
+        grouped = buckets.where("members > 2").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        grouped = grouped.withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        open_buckets = grouped.join(mixed.where("least < most").select("key"), "key")
+        rows = open_buckets.join(coarse, "doc_id").join(fine, "doc_id")
+        across = written(_across(rows, percent, best_only).distinct(), "across")
+        labels = _joined(labels, written(_confirmed(across, sets, percent), "links"))
+
+    of_class = classes.join(labels.withColumnRenamed("id", "representative"), "representative", "left")
+    of_class = of_class.select("set_key", F.coalesce("component", "representative").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
         sketches.join(of_class, "set_key", "left")

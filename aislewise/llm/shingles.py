@@ -96,16 +96,16 @@ EMPTY = np.uint16(0xFFFF)
 _LENDERS = np.argsort(mixed(np.arange(BUCKETS * BUCKETS, dtype=_U) + _STEP).reshape(BUCKETS, BUCKETS), axis=1)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     """Of each bucket's smallest hash, the count of leading zeros and the ten bits after the first one bit.
 
-    The top bits of a hash choose its bucket, so a sorted set has each bucket's smallest hash first.
+    The top ``bits`` of a hash choose its bucket, so a sorted set has each bucket's smallest hash first.
     """
-    out = np.full(BUCKETS, EMPTY)
-    bucket = (shingles >> _U(64 - BUCKET_BITS)).astype(np.int64)
+    out = np.full(1 << bits, EMPTY)
+    bucket = (shingles >> _U(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
     # 52 bits are whole numbers to a double, whose exponent and mantissa are then the parts wanted.
-    rest = (((shingles[first] << _U(BUCKET_BITS)) >> _U(12)).astype(np.float64)).view(np.int64)
+    rest = (((shingles[first] << _U(bits)) >> _U(12)).astype(np.float64)).view(np.int64)
     zeros = np.minimum(1074 - (rest >> 52), 52)
     mantissa = (rest >> (52 - MANTISSA_BITS)) & ((1 << MANTISSA_BITS) - 1)
     out[bucket[first]] = (zeros << MANTISSA_BITS | mantissa).astype(np.uint16)
@@ -134,10 +134,10 @@ def band_keys(own: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def expected_collisions(n: np.ndarray, m: np.ndarray, buckets: int) -> np.ndarray:
     """Registers of two sets of ``n`` and ``m`` that agree by chance (after Yu and Weber, HyperMinHash)."""
     ratio = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
-    return 0.169919487 * 2.0 ** (BUCKET_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+    return 0.169919487 * buckets / 2.0**MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
 
 
 def jaccard_estimates(one: np.ndarray, n: int, others: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,4 +145,5 @@ def jaccard_estimates(one: np.ndarray, n: int, others: np.ndarray, m: np.ndarray
     either = (one != EMPTY) | (others != EMPTY)
     used = either.sum(axis=1)
     equal = ((one == others) & (one != EMPTY)).sum(axis=1)
-    return np.maximum(equal - expected_collisions(np.full(len(m), n), m), 0) / np.maximum(used, 1), used
+    by_chance = expected_collisions(np.full(len(m), n), m, len(one))
+    return np.maximum(equal - by_chance, 0) / np.maximum(used, 1), used

@@ -26,7 +26,7 @@ def awkward_documents(seed: int = 1, n: int = 120) -> list[tuple]:
         cut = len(words) // lines
         texts.append("\n".join(" ".join(words[i : i + cut]) for i in range(0, len(words), cut)))
     rows = [
-        (i * 3 % n, text, rnd.choice(["en", "de", None]), rnd.choice(["a", "b", None]), None)
+        (i * 7 % n, text, rnd.choice(["en", "de", None]), rnd.choice(["a", "b", None]), None)
         for i, text in enumerate(texts)
     ]
     return rows
