@@ -28,8 +28,10 @@ from .work import with_text
 
 CHUNK_BYTES = 1024
 BATCH_CHARS = 2_000_000
-#: States kept before the table is made anew; a table row takes 5 bytes for each byte value.
-MOST_STATES = 60_000
+#: States kept before the table is made anew; a table row takes 4 bytes for each byte value.
+MOST_STATES = 150_000
+#: A transition is the next state above eight bits that hold the tokens added, raised by this.
+_ZERO = 128
 #: A state that no word has begun in: it stays and counts nothing.
 _IDLE, _START = 0, 1
 
@@ -104,9 +106,8 @@ class CountingTransducer:
     def _reset(self) -> None:
         self._states: list[tuple] = [(), ((self._merges.root, None, 0),)]
         self._numbers = {self._states[1]: _START}
-        self._next = np.full((1024, 256), -1, np.int32)
-        self._adds = np.zeros((1024, 256), np.int8)
-        self._next[_IDLE] = _IDLE
+        self._table = np.full(4096 * 256, -1, np.int32)
+        self._table[_IDLE * 256 : _START * 256] = _IDLE << 8 | _ZERO
 
     @property
     def n_states(self) -> int:
@@ -130,19 +131,20 @@ class CountingTransducer:
         if number is None:
             number = self._numbers[goal] = len(self._states)
             self._states.append(goal)
-            if number >= len(self._next):
-                self._next = np.concatenate([self._next, np.full_like(self._next, -1)])
-                self._adds = np.concatenate([self._adds, np.zeros_like(self._adds)])
-        self._next[state, byte], self._adds[state, byte] = number, adds
+            if number * 256 >= len(self._table):
+                more = np.full(len(self._table) // 4 // 256 * 256, -1, np.int32)
+                self._table = np.concatenate([self._table, more])
+        self._table[state << 8 | byte] = number << 8 | adds + _ZERO
 
     def _step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        goal = self._next[states, codes]
-        if (goal < 0).any():
-            new = np.flatnonzero(goal < 0)
-            for key in np.unique(states[new].astype(np.int64) << 8 | codes[new]).tolist():
+        """The next states, and the tokens added with ``_ZERO`` on top."""
+        keys = states << 8 | codes
+        found = self._table.take(keys)
+        if found.min() < 0:
+            for key in np.unique(keys[found < 0]).tolist():
                 self._compile(key >> 8, key & 255)
-            goal = self._next[states, codes]
-        return goal, self._adds[states, codes]
+            found = self._table.take(keys)
+        return found >> 8, found.astype(np.uint8)
 
     def added(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each byte, the tokens that it adds; ``starts`` marks the first bytes of words."""
@@ -159,11 +161,12 @@ class CountingTransducer:
         # One row a place in the chunks, so that a step reads one row.
         grid = np.ascontiguousarray(grid.reshape(chunks, size).T)
         marks = np.ascontiguousarray(marks.reshape(chunks, size).T)
-        adds = np.zeros((size, chunks), np.int8)
+        adds = np.full((size, chunks), _ZERO, np.uint8)
 
         state = np.full(chunks, _IDLE, np.int32)
         for i in range(size):
-            state, adds[i] = self._step(np.where(marks[i], _START, state), grid[i])
+            state[marks[i]] = _START
+            state, adds[i] = self._step(state, grid[i])
 
         # The scan: a constant map hands its state on; a chunk inside one word first applies its own map.
         entry = np.r_[np.int32(_IDLE), state[:-1]]
@@ -184,7 +187,7 @@ class CountingTransducer:
             at += 1
             left = heads[lanes] > at
             lanes, state = lanes[left], state[left]
-        return adds.T.reshape(-1)[:n]
+        return adds.T.reshape(-1)[:n].astype(np.int16) - _ZERO
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
