@@ -80,11 +80,11 @@ def _flagged(table: bytes, key: Column) -> Column:
 
 def _by_rarity(words: Column, frequencies: list[int]) -> Column:
     # The optimizer turns this into one array, which the tasks share.
-    levels = F.split(F.lit(",".join(map(str, frequencies))), ",").cast("array<bigint>")
+    tops = ",".join(str((level - 32) << 58) for level in frequencies)
+    levels = F.split(F.lit(tops), ",").cast("array<bigint>")
 
     def ordered(word: Column) -> Column:
-        level = F.get(levels, _bucket(word, FREQUENCY_BUCKETS))
-        return F.shiftleft(level - 32, 58).bitwiseOR(F.shiftrightunsigned(word, 6))
+        return F.get(levels, _bucket(word, FREQUENCY_BUCKETS)).bitwiseOR(F.shiftrightunsigned(word, 6))
 
     return F.sort_array(F.transform(words, ordered))
 
@@ -167,9 +167,12 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     # Of a long line, the words with a certain bit are in groups of their own.
     upper = F.filter(ordered, lambda w: w.bitwiseAND(F.lit(64).cast("long")) != 0)
     high = F.when(n > LONG_LINE, parity(upper)).otherwise(F.lit(0).cast("long"))
-    sets = _lines(docs).select("doc_id", "line", _by_rarity(_words(F.col("words")), frequencies).alias("set"))
+    # Told from the text, so that the sets are made once.
+    has_words = F.trim(F.translate("words", "\t\x0b\x0c\r", "    ")) != ""
+    sets = _lines(docs).where(has_words)
+    sets = sets.select("doc_id", "line", _by_rarity(_words(F.col("words")), frequencies).alias("set"))
     lines = written(
-        sets.where(n > 0).select(
+        sets.select(
             "doc_id", "line", F.xxhash64("set", n).alias("same"), F.hash("set").alias("check"),
             n.alias("n"), parity(ordered).alias("every"), high.alias("high"), prefix.alias("prefix"),
         ).withColumn("low", F.col("every").bitwiseXOR(F.col("high"))).drop("every"),
