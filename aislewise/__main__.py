@@ -10,6 +10,12 @@ from aislewise.session import build_session
 from aislewise.sources.readers import FILES, read_retail_folder
 
 
+def _columnar(command: argparse.ArgumentParser) -> None:
+    command.add_argument(
+        "--columnar", nargs="+", choices=list(FILES), default=(), help="relations that are Parquet"
+    )
+
+
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="aislewise", description="Web-versus-store retail analytics")
     commands = main.add_subparsers(dest="command", required=True)
@@ -18,22 +24,26 @@ def parser() -> argparse.ArgumentParser:
     etl.add_argument("logs")
     etl.add_argument("output")
     etl.add_argument("--table", action="store_true", help="write a columnar table instead of CSV")
+    etl.add_argument("--tasks", type=int, help="deal the lines out to so many tasks (compressed logs)")
 
     presence = commands.add_parser("presence", help="tagged category presence")
     for name in ("weblog", "order_items", "products", "categories", "output"):
         presence.add_argument(name)
+    _columnar(presence)
 
     coverage = commands.add_parser("coverage", help="product coverage")
     for name in ("weblog", "products", "output"):
         coverage.add_argument(name)
+    _columnar(coverage)
 
     for command, help_text in (
         ("clean-presence", "category presence on cleaned web categories"),
         ("reports", "all reports, or those named"),
     ):
         tables = commands.add_parser(command, help=help_text)
-        tables.add_argument("data", help="folder of the CSV files")
+        tables.add_argument("data", help="folder of the files")
         tables.add_argument("output")
+        _columnar(tables)
         for name, file in FILES.items():
             tables.add_argument(f"--{name.replace('_', '-')}", dest=name, help=f"path instead of {file}")
         if command == "reports":
@@ -47,16 +57,22 @@ def main(arguments: list[str] | None = None) -> None:
     given = parser().parse_args(arguments)
     spark = build_session()
     if given.command == "etl":
-        jobs.convert_log(spark, given.logs, given.output, given.table)
+        jobs.convert_log(spark, given.logs, given.output, given.table, given.tasks)
     elif given.command == "presence":
         jobs.presence_job(
-            spark, given.weblog, given.order_items, given.products, given.categories, given.output
+            spark,
+            given.weblog,
+            given.order_items,
+            given.products,
+            given.categories,
+            given.output,
+            given.columnar,
         )
     elif given.command == "coverage":
-        jobs.coverage_job(spark, given.weblog, given.products, given.output)
+        jobs.coverage_job(spark, given.weblog, given.products, given.output, given.columnar)
     else:
         paths = {name: getattr(given, name) for name in FILES if getattr(given, name)}
-        tables = read_retail_folder(spark, given.data, **paths)
+        tables = read_retail_folder(spark, given.data, given.columnar, **paths)
         if given.command == "clean-presence":
             jobs.clean_presence_job(tables, given.output)
         else:

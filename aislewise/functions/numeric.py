@@ -24,13 +24,32 @@ def to_double(value: Column) -> Column:
     return value.try_cast("double")
 
 
-def to_exact(value: Column) -> Column:
-    """A double as a decimal with six places, for sums.
+def _exact(value: Column) -> Column:
+    """A double as a decimal with six places where that is the same number; else NULL."""
+    exact = value.try_cast("decimal(24,6)")
+    return F.when(exact.cast("double") == value, exact)
+
+
+def money_sums(value: Column, name: str) -> list[Column]:
+    """Aggregates ``name`` and ``name_rest`` that :func:`money` adds up.
 
     A sum of doubles depends on the order of addition, which differs from run to run; on
-    large data the cents are lost.  A sum of decimals is exact and always the same.
+    large data the cents are lost.  A sum of decimals is exact and always the same.  Values
+    that are no such decimal (NaN, infinity, beyond 18 digits, more than six places) are
+    summed as doubles beside it, so that none is left out.
     """
-    return to_double(value).try_cast("decimal(24,6)")
+    number = to_double(value)
+    exact = _exact(number)
+    return [
+        F.sum(exact).alias(name),
+        F.sum(F.when(exact.isNull(), number)).alias(f"{name}_rest"),
+    ]
+
+
+def money(name: str) -> Column:
+    """The whole sum as a double; NULL where there was no value at all."""
+    exact, rest = F.col(name).cast("double"), F.col(f"{name}_rest")
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def nonzero(value: Column) -> Column:

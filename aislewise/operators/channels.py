@@ -1,8 +1,9 @@
 """What each channel did, per category, product, department and hour.
 
-Facts may come in raw or rolled up (see :mod:`aislewise.operators.rollups`): a web frame
-with a ``hits`` column counts that many events per row, and a sales frame that already
-is per product is taken as it is.
+Facts may come in raw or rolled up (see :mod:`aislewise.operators.rollups`).  A roll-up is
+marked as such in its schema, also in the file it is written to; the names of columns say
+nothing.  A rolled-up web frame counts ``hits`` events per row, and a rolled-up sales frame
+is per product already.
 
 Store aggregates climb the star one key at a time: order items are summed per product
 before products are joined, the result per category before categories are joined, and
@@ -12,10 +13,12 @@ no side has to be broadcast; Spark still does so where it finds a side small eno
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.functions.numeric import to_exact, to_int
+from aislewise.functions.numeric import money_sums, to_int
 from aislewise.functions.text import is_given, line_key, name_key
 from aislewise.operators.weblog import ADD_TO_CART, CATEGORY, PRODUCT
 
@@ -24,12 +27,34 @@ CATEGORY_PAGES = (ADD_TO_CART, PRODUCT, CATEGORY)
 WEBLOG_TIME = "dd/MMM/yyyy HH:mm:ss"
 RAW_STAMP_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 ORDER_TIME = "yyyy-MM-dd HH:mm:ss"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# What a time looks like at least, and the places of year, month and day among its fields.
+_CLOCK = r" +\d{1,2}:\d{1,2}:\d{1,2}"
+_MONTH = "(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_LENIENT = {
+    ORDER_TIME: (r"^\d{1,4}-\d{1,2}-\d{1,2}" + _CLOCK, (0, 1, 2)),
+    WEBLOG_TIME: (r"^\d{1,2}/" + _MONTH + r"/\d{1,4}" + _CLOCK, (2, 1, 0)),
+}
 # ----------------------------------------------------------------------------
 
 
+_ROLLUP = "aislewise_rollup"
+
+
+def marked_rollup(column: Column, name: str, made_with: str) -> Column:
+    """A column that marks its frame as a roll-up; ``made_with`` says what cannot be undone."""
+    return column.alias(name, metadata={_ROLLUP: made_with})
+
+
+def rollup_of(frame: DataFrame) -> str | None:
+    """What a roll-up was made with; None for a frame of single facts."""
+    found = [field.metadata[_ROLLUP] for field in frame.schema if _ROLLUP in field.metadata]
+    return found[0] if found else None
+
+
 def hits(weblog: DataFrame, condition: Column | None = None) -> Column:
     """Number of page events, of those that meet the condition; 0 for none."""
-    weight = F.col("hits") if "hits" in weblog.columns else F.lit(1).cast("bigint")
+    weight = F.col("hits") if rollup_of(weblog) is not None else F.lit(1).cast("bigint")
     if condition is not None:
         weight = F.when(condition, weight)
     return F.coalesce(F.sum(weight), F.lit(0).cast("bigint"))
@@ -84,16 +109,34 @@ def web_department_events(weblog: DataFrame) -> DataFrame:
 
 
 def hour_of(text: Column, time_format: str) -> Column:
-    """Hour of day as int; NULL where the text does not have the format."""
-    return F.hour(F.try_to_timestamp(text.cast("string"), F.lit(time_format)))
+    """Hour of day as int, as written; NULL where the text is no time of the format.
+
+    The two formats of the relations are read leniently: fields may have one digit, and
+    text after the seconds, such as a fraction, is ignored.  A date that does not exist is
+    no time.  No time zone is involved.  Any other format has to be met exactly.
+    """
+    text = text.cast("string")
+    if time_format not in _LENIENT:
+        return F.hour(F.try_to_timestamp(text, F.lit(time_format)))
+    shape, (year, month, day) = _LENIENT[time_format]
+    fields = F.split(F.trim(text), "[^0-9A-Za-z]+")
+    named = (F.position(F.lower(F.get(fields, F.lit(month))), F.lit(_MONTHS)) + 2) / 3
+    numbers = [F.get(fields, F.lit(at)).try_cast("int") for at in (year, month, day, 3, 4, 5)]
+    numbers[1] = F.coalesce(numbers[1], named.cast("int"))
+    time = F.try_make_timestamp_ntz(*numbers[:5], numbers[5].cast("decimal(16,6)"))
+    return F.when(F.trim(text).rlike(shape), F.hour(time))
 
 
 def web_hours(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:
     """hour_of_day, web_events, web_cart_adds; unparsable times share a NULL hour.
 
-    A rolled-up frame has its hour already, read with the format given to the roll-up.
+    A rolled-up frame has its hour already; another format than that of the roll-up is an
+    error.
     """
-    rolled_up = "hour_of_day" in weblog.columns
+    made_with = rollup_of(weblog)
+    rolled_up = made_with is not None
+    if rolled_up and made_with != time_format:
+        raise ValueError(f"the roll-up has read times as {made_with!r}, not as {time_format!r}")
     hour = F.col("hour_of_day") if rolled_up else hour_of(F.col("datetime"), time_format)
     timed = F.col("has_datetime") if rolled_up else F.col("datetime").isNotNull()
     return (
@@ -112,9 +155,10 @@ def web_hours(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:
 def sales_by_product(order_items: DataFrame) -> DataFrame:
     """Order items summed per product id; sums stay NULL where no value was readable.
 
-    Revenue is an exact decimal here and becomes a double in the reports.
+    Revenue is an exact decimal here, with what no decimal holds beside it, and becomes a
+    double in the reports.
     """
-    if "order_rows" in order_items.columns:
+    if rollup_of(order_items) is not None:
         return order_items
     quantity = to_int(F.col("quantity"))
     return order_items.groupBy("product_id").agg(
@@ -122,11 +166,11 @@ def sales_by_product(order_items: DataFrame) -> DataFrame:
         F.count("item_id").alias("order_lines"),
         F.sum(quantity).alias("quantity"),
         F.count(quantity).alias("quantity_rows"),
-        F.sum(to_exact(F.col("subtotal"))).alias("revenue"),
+        *money_sums(F.col("subtotal"), "revenue"),
     )
 
 
-_MEASURES = ("order_rows", "order_lines", "quantity", "quantity_rows", "revenue")
+_MEASURES = ("order_rows", "order_lines", "quantity", "quantity_rows", "revenue", "revenue_rest")
 
 
 def _summed(frame: DataFrame, key: Column) -> DataFrame:
@@ -177,8 +221,12 @@ def catalog_category_names(categories: DataFrame) -> DataFrame:
     return categories.select(name_key(F.col("cat_name")).alias("name")).distinct()
 
 
-def order_hours(orders: DataFrame, time_format: str = ORDER_TIME) -> DataFrame:
-    """hour_of_day, store_orders."""
+def order_hours(
+    orders: DataFrame, time_format: str = ORDER_TIME, statuses: Sequence[str] | None = None
+) -> DataFrame:
+    """hour_of_day, store_orders; with ``statuses``, of orders in one of these only."""
+    if statuses is not None:
+        orders = orders.where(F.upper(F.trim("order_status")).isin([s.upper() for s in statuses]))
     return (
         orders.where(F.col("order_date").isNotNull())
         .groupBy(hour_of(F.col("order_date"), time_format).alias("hour_of_day"))

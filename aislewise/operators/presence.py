@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,19 @@ def _tagged(names: DataFrame, from_web: Column) -> DataFrame:
     return names.select("name", from_web.alias("from_web"))
 
 
-def last_row_per_key(relation: DataFrame, key: str, value: str) -> DataFrame:
+def last_row_per_key(relation: DataFrame, key: str, value: str, place: str | None = None) -> DataFrame:
     """key, value: a lookup where a repeated key keeps the value read last.
 
-    Row order is the order within the file; NULL keys and values are no lookup entries.
+    ``place`` is a column to order rows by, as :func:`aislewise.sources.readers.placed` adds
+    it; of rows at one place, or without any, the largest value counts.  NULL keys and values
+    are no lookup entries.  Tasks keep one row per key before the exchange.
     """
-    rows = relation.select(key, value, F.monotonically_increasing_id().alias("_row"))
-    last = rows.groupBy(key).agg(F.max_by(value, "_row").alias(value))
-    return last.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    order = [F.desc(column) for column in (place, value) if column is not None]
+    last = Window.partitionBy(key).orderBy(*order)
+    return (
+        relation.where(F.col(key).isNotNull())
+        .withColumn("_row", F.row_number().over(last))
+        .where("_row = 1")
+        .where(F.col(value).isNotNull())
+        .select(key, value)
+    )

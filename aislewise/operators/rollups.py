@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.operators.channels import WEBLOG_TIME, hits, hour_of, sales_by_product
+from aislewise.operators.channels import WEBLOG_TIME, hits, hour_of, marked_rollup, sales_by_product
 
 
 def web_activity(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:
@@ -22,9 +22,10 @@ def web_activity(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame
         "respCode",
         F.col("datetime").isNotNull().alias("has_datetime"),
         hour_of(F.col("datetime"), time_format).alias("hour_of_day"),
-    ).agg(hits(weblog).alias("hits"))
+    ).agg(marked_rollup(hits(weblog), "hits", time_format))
 
 
 def sales_activity(order_items: DataFrame) -> DataFrame:
     """Order items per product id."""
-    return sales_by_product(order_items)
+    by_product = sales_by_product(order_items)
+    return by_product.withColumn("order_rows", marked_rollup(F.col("order_rows"), "order_rows", "product"))

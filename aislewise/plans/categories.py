@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aislewise.functions.labels import CATALOG_LABELS, SALES_LABELS
 from aislewise.functions.numeric import percent, two_places, zero_if_null
@@ -26,7 +27,7 @@ from aislewise.operators.channels import (
 )
 from aislewise.operators.presence import last_row_per_key, outer_by_key, tagged_presence
 from aislewise.operators.ranking import total_of
-from aislewise.sources.relations import RetailTables
+from aislewise.sources.relations import PLACE, RetailTables
 
 
 def _web_against_sales(tables: RetailTables) -> DataFrame:
@@ -108,41 +109,36 @@ def category_presence_clean(tables: RetailTables) -> DataFrame:
     )
 
 
+def _id(relation: DataFrame, name: str) -> Column:
+    """An id column without control characters around it; numbers have none."""
+    column = F.col(name)
+    if isinstance(relation.schema[name].dataType, T.StringType):
+        column = trim_controls(column)
+    return column.alias(name)
+
+
 def category_presence_tagged(tables: RetailTables) -> DataFrame:
     """The same question by one grouping of tagged names, with two dimension look-ups.
 
     Keys lose control characters at both ends; spaces that a cut fragment leaves behind
-    belong to the key.  A repeated id in a look-up keeps its last row.
+    belong to the key.  A repeated id in a look-up keeps its last row by the relation's place
+    column, if it has one.  Look-ups are cut to the ids sold before they are ordered.
     """
     category, page_type = trim_controls(F.col("category")), line_key(F.col("pageType"))
     web = tables.weblog.where(page_type.isin(*CATEGORY_PAGES) & is_given(category)).select(
         F.lower(strip_url_fragments(category)).alias("name")
     )
-    by_id = {
-        "product_id": trim_controls(F.col("product_id").cast("string")),
-        "cat_id": trim_controls(F.col("cat_id").cast("string")),
-    }
-    products = last_row_per_key(
-        tables.products.select(*[column.alias(name) for name, column in by_id.items()]),
-        "product_id",
-        "cat_id",
-    )
-    categories = last_row_per_key(
-        tables.categories.select(
-            by_id["cat_id"].alias("cat_id"), line_key(F.col("cat_name")).alias("name")
-        ),
-        "cat_id",
-        "name",
-    )
-    sold = (
-        sales_by_product(tables.order_items)
-        .select(by_id["product_id"].alias("product_id"))
-        .join(products, "product_id")
-        .select("cat_id")
-        .distinct()
-        .join(categories, "cat_id")
-        .select("name")
-    )
+
+    def look_up(ids: DataFrame, relation: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        place = PLACE if PLACE in relation.columns else None
+        entries = relation.select(_id(relation, key), value.alias(name), *([place] if place else []))
+        sold_entries = entries.join(ids, key, "left_semi")
+        return ids.join(last_row_per_key(sold_entries, key, name, place), key).select(name).distinct()
+
+    order_items, products = sales_by_product(tables.order_items), tables.products
+    product_ids = order_items.select(_id(order_items, "product_id")).distinct()
+    category_ids = look_up(product_ids, products, "product_id", _id(products, "cat_id"), "cat_id")
+    sold = look_up(category_ids, tables.categories, "cat_id", line_key(F.col("cat_name")), "name")
     presence = SALES_LABELS.of(F.col("in_web"), F.col("in_store"))
     return (
         tagged_presence(web, sold)

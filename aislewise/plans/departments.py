@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.labels import efficiency
-from aislewise.functions.numeric import percent, two_places, zero_if_null
+from aislewise.functions.numeric import money, percent, two_places, zero_if_null
 from aislewise.operators.channels import sales_by_department_name, web_department_events
 from aislewise.operators.presence import outer_by_key
-from aislewise.operators.ranking import total_of
+from aislewise.operators.ranking import total_of, totals_of
 from aislewise.sources.relations import RetailTables
 
 
@@ -24,9 +24,12 @@ def _shares(tables: RetailTables, *volumes: str) -> DataFrame:
     )
     web_volumes = [name for name in volumes if name in web.columns]
     store_volumes = [name for name in volumes if name in store.columns]
-    events, revenue = F.col("web_total_events"), two_places(F.col("revenue").cast("double"))
+    events, revenue = F.col("web_total_events"), two_places(money("revenue"))
     all_events = total_of(web, "web_total_events", *web_volumes)
-    all_revenue = total_of(store, "revenue", *store_volumes)
+    totals = totals_of(store, "revenue", "revenue_rest", *store_volumes)
+    all_revenue = F.coalesce(totals["revenue"].cast("double"), F.lit(0.0)) + F.coalesce(
+        totals["revenue_rest"], F.lit(0.0)
+    )
     joined = outer_by_key(
         web.select("name", "web_total_events", *web_volumes, percent(events, all_events).alias("traffic")),
         store.select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +17,7 @@ from aislewise.sources.readers import (
     MIN_FIELDS_PRESENCE,
     read_access_log,
     read_relation,
+    read_table,
 )
 from aislewise.sources.relations import RetailTables
 from aislewise.sources.sinks import (
@@ -29,9 +30,11 @@ from aislewise.sources.sinks import (
 )
 
 
-def convert_log(spark: SparkSession, logs: str, output: str, as_table: bool = False) -> None:
+def convert_log(
+    spark: SparkSession, logs: str, output: str, as_table: bool = False, tasks: int | None = None
+) -> None:
     """Access log to structured rows, as header-less CSV or as a columnar table."""
-    weblog = parse_access_log(read_access_log(spark, logs))
+    weblog = parse_access_log(read_access_log(spark, logs, tasks))
     if as_table:
         write_weblog_table(weblog, output)
     else:
@@ -39,7 +42,13 @@ def convert_log(spark: SparkSession, logs: str, output: str, as_table: bool = Fa
 
 
 def presence_job(
-    spark: SparkSession, weblog: str, order_items: str, products: str, categories: str, output: str
+    spark: SparkSession,
+    weblog: str,
+    order_items: str,
+    products: str,
+    categories: str,
+    output: str,
+    columnar: Collection[str] = (),
 ) -> None:
     """Tagged category presence over CSV lines of sufficient width, without a header."""
     paths = {
@@ -48,14 +57,17 @@ def presence_job(
         "products": products,
         "categories": categories,
     }
-    tables = _line_tables(spark, paths, MIN_FIELDS_PRESENCE)
+    tables = _line_tables(spark, paths, MIN_FIELDS_PRESENCE, columnar)
     write_presence_lines(category_presence_tagged(tables), output)
 
 
-def coverage_job(spark: SparkSession, weblog: str, products: str, output: str) -> None:
+def coverage_job(
+    spark: SparkSession, weblog: str, products: str, output: str, columnar: Collection[str] = ()
+) -> None:
     """Product coverage over CSV lines of sufficient width."""
     paths = {"weblog": weblog, "products": products}
-    write_coverage(product_coverage(_line_tables(spark, paths, MIN_FIELDS_COVERAGE)), output)
+    tables = _line_tables(spark, paths, MIN_FIELDS_COVERAGE, columnar)
+    write_coverage(product_coverage(tables), output)
 
 
 def clean_presence_job(tables: RetailTables, output: str) -> None:
@@ -64,26 +76,42 @@ def clean_presence_job(tables: RetailTables, output: str) -> None:
 
 
 def _line_tables(
-    spark: SparkSession, paths: dict[str, str], min_fields: dict[str, int]
+    spark: SparkSession,
+    paths: dict[str, str],
+    min_fields: dict[str, int],
+    columnar: Collection[str],
 ) -> RetailTables:
+    """CSV relations with the places of their rows, so that the last of a repeated id counts.
+
+    Relations named in ``columnar`` are Parquet, which has no lines and no width.
+    """
+
     def opener(name: str, path: str):
-        return lambda: read_relation(spark, path, name, min_fields[name])
+        if name in columnar:
+            return lambda: read_table(spark, path, name)
+        return lambda: read_relation(spark, path, name, min_fields[name], placed=True)
 
     return RetailTables({name: opener(name, path) for name, path in paths.items()})
 
 
-def rolled_up(spark: SparkSession, tables: RetailTables, folder: str) -> RetailTables:
-    """The tables with web events and order items replaced by written roll-ups.
+def rolled_up(
+    spark: SparkSession,
+    tables: RetailTables,
+    folder: str,
+    facts: Collection[str] = ("weblog", "order_items"),
+) -> RetailTables:
+    """The tables with the facts named replaced by roll-ups, written below ``folder``.
 
     The facts are read once for any number of reports.  The roll-ups are files, so the
     loss of an executor costs nothing but the tasks that ran on it.
     """
-    run = f"{folder.rstrip('/')}/rollups-{uuid.uuid4().hex}"
-    web_activity(tables.weblog).write.parquet(f"{run}/web")
-    sales_activity(tables.order_items).write.parquet(f"{run}/sales")
-    return tables.replaced(
-        weblog=spark.read.parquet(f"{run}/web"), order_items=spark.read.parquet(f"{run}/sales")
-    )
+    make = {"weblog": web_activity, "order_items": sales_activity}
+    replaced = {}
+    for name in facts:
+        path = f"{folder.rstrip('/')}/{name}"
+        make[name](getattr(tables, name)).write.parquet(path)
+        replaced[name] = spark.read.parquet(path)
+    return tables.replaced(**replaced)
 
 
 def working_folder(spark: SparkSession, otherwise: str) -> str:
@@ -91,6 +119,11 @@ def working_folder(spark: SparkSession, otherwise: str) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or otherwise
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_reports(
     spark: SparkSession,
     tables: RetailTables,
@@ -99,17 +132,29 @@ def run_reports(
     show: bool = False,
     single_files: bool = False,
 ) -> None:
-    """Save every report that has a file name, below ``output``; print them if asked to.
+    """Save every report below ``output``; print them as well if asked to.
 
-    Reports whose size may grow with the data are saved as a sequence of part files,
-    unless ``single_files`` asks for one file each.
+    Only the facts that the reports named read are rolled up, and the roll-ups go when the
+    reports are written.  Reports whose size may grow with the data are saved as a sequence
+    of part files, unless ``single_files`` asks for one file each.
     """
-    source = rolled_up(spark, tables, working_folder(spark, f"{output.rstrip('/')}/_work"))
-    for name in REPORTS if names is None else names:
-        report = REPORTS[name]
-        frame = report.build(source)
-        if report.saved_as is not None:
-            folder = f"{output.rstrip('/')}/{report.saved_as}"
-            write_report(frame, folder, single_file=single_files or report.few_rows)
-        if show:
-            preview(frame, report.preview_rows)
+    chosen = [REPORTS[name] for name in (REPORTS if names is None else names)]
+    facts = [name for name in ("weblog", "order_items") if any(name in r.reads for r in chosen)]
+    work = working_folder(spark, f"{output.rstrip('/')}/_work").rstrip("/")
+    run = f"{work}/rollups-{uuid.uuid4().hex}"
+    try:
+        source = rolled_up(spark, tables, run, facts)
+        for report in chosen:
+            # Both uses of a report that is shown share one run of it.
+            frame = report.build(source).persist() if show else report.build(source)
+            write_report(
+                frame,
+                f"{output.rstrip('/')}/{report.saved_as}",
+                single_file=single_files or report.few_rows,
+                two_decimals=report.two_decimals,
+            )
+            if show:
+                preview(frame, report.preview_rows)
+                frame.unpersist()
+    finally:
+        _delete(spark, run)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.labels import PRICE_CUTS, price_range, verdict
-from aislewise.functions.numeric import ratio, to_double, to_exact, two_places, zero_if_null
+from aislewise.functions.numeric import money, money_sums, ratio, to_double, two_places, zero_if_null
 from aislewise.functions.text import name_key
 from aislewise.operators.channels import sales_by_product, web_cart_adds
 from aislewise.sources.relations import RetailTables
@@ -34,16 +34,17 @@ def _tier_totals(
         shelf.groupBy("price_range", "name")
         .agg(
             F.count(F.lit(1)).alias("products"),
-            F.sum(to_exact(F.col("price"))).alias("price_sum"),
+            *money_sums(F.col("price"), "price_sum"),
             F.count("price").alias("priced"),
         )
         .join(web_cart_adds(tables.weblog, blank_products=True), "name", "left")
         .groupBy("price_range")
         .agg(
-            two_places(ratio(F.sum("price_sum"), F.sum("priced"))).alias("avg_price"),
+            *[F.sum(name).alias(name) for name in ("price_sum", "price_sum_rest", "priced")],
             F.count("web_cart_adds").alias("web_unique_products"),
             zero_if_null(F.sum(F.col("web_cart_adds") * copies)).alias("web_cart_adds"),
         )
+        .withColumn("avg_price", two_places(ratio(money("price_sum"), F.col("priced"))))
     )
     store = (
         shelf.groupBy("price_range", "product_id")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.labels import MISSING_RANK, PRODUCT_LABELS
-from aislewise.functions.numeric import percent, ratio, two_places, zero_if_null
+from aislewise.functions.numeric import money, percent, ratio, two_places, zero_if_null
 from aislewise.functions.text import is_given, line_key
 from aislewise.operators.channels import sales_by_product_name, web_cart_adds, web_product_keys
 from aislewise.operators.presence import outer_by_key, tagged_presence
@@ -36,7 +36,14 @@ def product_coverage(tables: RetailTables) -> DataFrame:
     )
 
 
-def _ranked(tables: RetailTables, missing_rank: int) -> DataFrame:
+def _ranked(tables: RetailTables, missing_rank: int | None) -> DataFrame:
+    """``missing_rank`` is given to products that a channel lacks; None is one past its last row."""
+
+    def missing(channel: DataFrame) -> Column:
+        if missing_rank is not None:
+            return F.lit(missing_rank)
+        return channel.agg(F.count(F.lit(1)) + 1).scalar()
+
     web = web_cart_adds(tables.weblog)
     store = sales_by_product_name(tables.order_items, tables.products).select(
         "name", F.col("quantity").alias("store_qty_sold")
@@ -48,14 +55,14 @@ def _ranked(tables: RetailTables, missing_rank: int) -> DataFrame:
     return joined.select(
         F.col("name").alias("product"),
         zero_if_null(F.col("web_cart_adds")).alias("web_cart_adds"),
-        F.coalesce("web_rank", F.lit(missing_rank)).alias("web_rank"),
+        F.coalesce("web_rank", missing(web)).alias("web_rank"),
         zero_if_null(F.col("store_qty_sold")).alias("store_qty_sold"),
-        F.coalesce("store_rank", F.lit(missing_rank)).alias("store_rank"),
+        F.coalesce("store_rank", missing(store)).alias("store_rank"),
         "in_web",
     )
 
 
-def product_rank_gap(tables: RetailTables, missing_rank: int = MISSING_RANK) -> DataFrame:
+def product_rank_gap(tables: RetailTables, missing_rank: int | None = MISSING_RANK) -> DataFrame:
     """Rank by cart adds against rank by units sold."""
     return (
         _ranked(tables, missing_rank)
@@ -65,7 +72,7 @@ def product_rank_gap(tables: RetailTables, missing_rank: int = MISSING_RANK) ->
     )
 
 
-def product_rank_gap_top5(tables: RetailTables, missing_rank: int = MISSING_RANK) -> DataFrame:
+def product_rank_gap_top5(tables: RetailTables, missing_rank: int | None = MISSING_RANK) -> DataFrame:
     """The five products on the web whose ranks differ most; ties go by name."""
     return (
         _ranked(tables, missing_rank)
@@ -99,7 +106,7 @@ def product_presence(tables: RetailTables) -> DataFrame:
             lines.alias("actual_order_lines"),
             zero_if_null(F.col("quantity")).alias("total_qty_sold"),
             zero_if_null(average).alias("avg_qty_per_order"),
-            zero_if_null(two_places(F.col("revenue").cast("double"))).alias("total_revenue"),
+            zero_if_null(two_places(money("revenue"))).alias("total_revenue"),
             two_places(ratio(adds, F.col("quantity"))).alias("web_events_per_unit_sold"),
             two_places(percent(lines, F.col("web_cart_adds"))).alias("cart_to_order_pct"),
             PRODUCT_LABELS.of(F.col("in_web"), F.col("in_store")).alias("presence"),
@@ -110,14 +117,19 @@ def product_presence(tables: RetailTables) -> DataFrame:
 
 def product_presence_summary(tables: RetailTables) -> DataFrame:
     """Products and revenue per presence."""
-    revenue = zero_if_null(F.col("revenue"))
+    sums = [F.sum(name).alias(name) for name in ("revenue", "revenue_rest")]
+    revenue = zero_if_null(money("revenue"))
     return (
         _web_and_sales(tables)
         .groupBy(PRODUCT_LABELS.of(F.col("in_web"), F.col("in_store")).alias("presence"))
         .agg(
-            F.count(F.lit(1)).alias("product_count"),
-            two_places(F.sum(revenue).cast("double")).alias("total_revenue"),
-            two_places(ratio(F.sum(revenue), F.count(F.lit(1)))).alias("avg_revenue_per_product"),
+            F.count(F.lit(1)).alias("product_count"), *sums
+        )
+        .select(
+            "presence",
+            "product_count",
+            two_places(revenue).alias("total_revenue"),
+            two_places(ratio(revenue, F.col("product_count"))).alias("avg_revenue_per_product"),
         )
         .orderBy(F.desc("total_revenue"), "presence")
     )

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aislewise.sources.relations import SCHEMAS, RetailTables
+from aislewise.sources.relations import PLACE, SCHEMAS, RetailTables
 
 _RAGGED = "_ragged_line"
-_MOST_PER_PARTITION = 32
 
 # --- fixed values -----------------------------------------------------------
 # Fewest fields of a usable line in the two jobs that read lines on their own.
@@ -28,63 +29,85 @@ FILES = {
 # ----------------------------------------------------------------------------
 
 
-def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """value: one log line per row."""
-    return spread(spark.read.text(path))
+def read_access_log(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """value: one log line per row.
 
+    Files that cannot be split, as compressed ones, are one task each.  ``tasks`` deals the
+    lines out to that many, which costs an exchange of the text.
+    """
+    return spread(spark.read.text(path), tasks)
 
-def spread(source: DataFrame) -> DataFrame:
-    """Give a source with fewer partitions than the cluster has cores more of them.
 
-    Lines are costly to parse compared with moving them, and some files cannot be split:
-    a compressed log is one partition whatever its size.  A source that already has
-    enough partitions, as any large splittable one has, is left alone and not shuffled.
-    """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    partitions = source.rdd.getNumPartitions()
-    if partitions == 0 or partitions >= cores:
-        return source
-    return source.repartition(min(cores, partitions * _MOST_PER_PARTITION))
+def spread(source: DataFrame, tasks: int | None) -> DataFrame:
+    """The rows dealt out to so many tasks; as they are for None."""
+    return source if tasks is None else source.repartition(tasks)
 
 
 def read_relation(
-    spark: SparkSession, path: str, relation: str, min_fields: int | None = None, **options: str
+    spark: SparkSession,
+    path: str,
+    relation: str,
+    min_fields: int | None = None,
+    placed: bool = False,
+    **options: str,
 ) -> DataFrame:
     """A header-less CSV relation; empty fields, quoted or not, are NULL.
 
-    With ``min_fields``, lines with fewer fields are left out; a longer or shorter line
-    that has enough of them stays, its missing fields NULL.
+    With ``min_fields``, lines with fewer fields are left out, empty ones at the end not
+    counted; a longer or shorter line that has enough of them stays, its missing fields
+    NULL.  With ``placed``, a further column orders rows as they stand in the files, by the
+    file's path, the block's start and the row within it.
     """
     schema = SCHEMAS[relation]
+    more = []
+    if placed:
+        of_file = [F.col(f"_metadata.{name}") for name in ("file_path", "file_block_start")]
+        # Within a block rows are read in order, so a number that grows with them orders them.
+        more = [F.struct(*of_file, F.monotonically_increasing_id().alias("row")).alias(PLACE)]
     if min_fields is None:
-        return spark.read.schema(schema).options(**options).csv(path, header=False)
+        return spark.read.schema(schema).options(**options).csv(path, header=False).select("*", *more)
     with_ragged = T.StructType([*schema.fields, T.StructField(_RAGGED, T.StringType())])
     # A parser that skips columns would not notice how many there are.
     rows = (
         spark.read.schema(with_ragged)
         .options(columnPruning=False, **options)
         .csv(path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAGGED)
+        .select("*", *more)
     )
     # Only lines of an unexpected width carry their text, so only these are counted.
-    enough = F.col(_RAGGED).isNull() | (field_count(F.col(_RAGGED)) >= min_fields)
-    return rows.where(enough).select(*schema.names)
+    given = [F.when(F.col(name).isNotNull(), i) for i, name in enumerate(schema.names, 1)]
+    width = F.coalesce(field_count(F.col(_RAGGED)), F.greatest(*given))
+    return rows.where(width >= min_fields).drop(_RAGGED)
 
 
 def field_count(line: Column) -> Column:
-    """Fields of a CSV line: commas outside quotes, and one more."""
-    outside_quotes = F.regexp_replace(line, r'"[^"]*"', "")
-    return F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
+    """Fields of a CSV line: commas outside quotes, and one more; none for empty fields at the end."""
+    outside_quotes = F.regexp_replace(line, r'"[^"]*"', "_")
+    given = F.regexp_replace(outside_quotes, r"[,\r]+$", "")
+    return F.length(given) - F.length(F.replace(given, F.lit(","), F.lit(""))) + 1
+
 
+def read_table(spark: SparkSession, path: str, relation: str) -> DataFrame:
+    """A relation in columnar form, its columns found by name; types may be other than text."""
+    return spark.read.parquet(path).select(*SCHEMAS[relation].names)
 
-def read_retail_folder(spark: SparkSession, folder: str, **paths: str) -> RetailTables:
-    """Tables over a folder of CSV files with the usual names; any path can be given."""
+
+def read_retail_folder(
+    spark: SparkSession, folder: str, columnar: Collection[str] = (), **paths: str
+) -> RetailTables:
+    """Tables over a folder with the usual names; any path can be given.
+
+    Relations named in ``columnar`` are Parquet, by default in a folder of the relation's
+    name; the others are CSV files.
+    """
 
     def opener(name: str, path: str):
-        return lambda: read_relation(spark, path, name)
+        read = read_table if name in columnar else read_relation
+        return lambda: read(spark, path, name)
 
     return RetailTables(
         {
-            name: opener(name, paths.get(name, f"{folder.rstrip('/')}/{file}"))
+            name: opener(name, paths.get(name, f"{folder.rstrip('/')}/{name if name in columnar else file}"))
             for name, file in FILES.items()
         }
     )

@@ -33,6 +33,10 @@ SCHEMAS: dict[str, T.StructType] = {
 # ----------------------------------------------------------------------------
 
 
+#: Where a row stood in its files, in a relation that was read with that.
+PLACE = "_place"
+
+
 class RetailTables:
     """The seven relations, each opened when a report first asks for it."""
 

@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_QUOTED_NULLS = "spark.sql.legacy.nullValueWrittenAsQuotedEmptyStringCsv"
 
 
 def write_report(
-    report: DataFrame, path: str, single_file: bool = False, quoted_nulls: bool = True
+    report: DataFrame,
+    path: str,
+    single_file: bool = False,
+    quoted_nulls: bool = True,
+    two_decimals: Collection[str] = (),
 ) -> None:
     """CSV with a header, replacing what was there.
 
     ``single_file`` sends the rows through one task and is meant for reports whose size
     does not grow with the data.  Without it, a sorted report is a sequence of part
-    files whose names follow the order.  NULL is written as ``""`` by default.
+    files whose names follow the order.  NULL is written as ``""`` by default.  Columns in
+    ``two_decimals`` always have two places, other doubles as many as they need.
     """
-    session = report.sparkSession
-    before = session.conf.get(_QUOTED_NULLS, "false")
-    session.conf.set(_QUOTED_NULLS, str(quoted_nulls).lower())
-    try:
-        rows = report.coalesce(1) if single_file else report
-        rows.write.mode("overwrite").csv(path, header=True)
-    finally:
-        session.conf.set(_QUOTED_NULLS, before)
+    rows = report_text(report, quoted_nulls, two_decimals)
+    rows = rows.coalesce(1) if single_file else rows
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def report_text(
+    report: DataFrame, quoted_nulls: bool = True, two_decimals: Collection[str] = ()
+) -> DataFrame:
+    """The fields of a report's lines, as text."""
+
+    def text(name: str) -> Column:
+        column = F.col(name)
+        if name in two_decimals:
+            column = F.when(column.isNotNull(), F.format_string("%.2f", column))
+        # The writer quotes an empty text, and leaves a NULL out.
+        column = column.cast("string")
+        return (F.coalesce(column, F.lit("")) if quoted_nulls else column).alias(name)
+
+    return report.select(*[text(name) for name in report.columns])
 
 
 def write_presence_lines(presence: DataFrame, path: str) -> None:
@@ -33,8 +50,13 @@ def write_presence_lines(presence: DataFrame, path: str) -> None:
 
 
 def write_weblog_csv(weblog: DataFrame, path: str) -> None:
-    """Header-less CSV, every field quoted, one file per task; quotes inside are escaped."""
-    weblog.write.mode("overwrite").csv(path, header=False, quoteAll=True)
+    """Header-less CSV, every field quoted, one file per task; quotes inside are escaped.
+
+    A line break inside a field, as a decoded URL may have one, is written as a space: the
+    readers take a line for a row, so that files can be split.  The columnar form keeps it.
+    """
+    one_line = [F.translate(name, "\r\n", "  ").alias(name) for name in weblog.columns]
+    weblog.select(*one_line).write.mode("overwrite").csv(path, header=False, quoteAll=True)
 
 
 def write_weblog_table(weblog: DataFrame, path: str) -> None:
@@ -44,10 +66,7 @@ def write_weblog_table(weblog: DataFrame, path: str) -> None:
 
 def write_coverage(coverage: DataFrame, path: str) -> None:
     """One header and one row, the percentage always with two decimals."""
-    shown = F.format_string("%.2f", F.col("catalog_coverage_pct"))
-    coverage.withColumn("catalog_coverage_pct", shown).coalesce(1).write.mode("overwrite").csv(
-        path, header=True
-    )
+    write_report(coverage, path, single_file=True, two_decimals=("catalog_coverage_pct",))
 
 
 def preview(report: DataFrame, rows: int = 20) -> None:

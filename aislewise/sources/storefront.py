@@ -20,7 +20,6 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from aislewise.operators.weblog import parse_access_log
 from aislewise.sources.readers import spread
@@ -50,15 +49,16 @@ _LOG_LINE = """
       if(event_type = 'error', ' HTTP/1.1" 500', ' HTTP/1.1" 200'), ' 1063 "-" "Mozilla/5.0"')"""
 
 
-def storefront_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+def storefront_tables(spark: SparkSession, sf_dir: str, log_tasks: int | None = None) -> RetailTables:
+    """The relations over a folder of tables; ``log_tasks`` deals the log's lines out."""
+
     @cache
     def table(name: str) -> DataFrame:
-        path = f"{sf_dir}/{name}.parquet"
-        return spark.read.schema(_schema(spark, path)).parquet(path)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     return RetailTables(
         {
-            "weblog": lambda: parse_access_log(access_log(spread(table("events")), table("part"))),
+            "weblog": lambda: parse_access_log(access_log(spread(table("events"), log_tasks), table("part"))),
             "departments": lambda: departments(table("part")),
             "categories": lambda: categories(table("part")),
             "products": lambda: products(table("part")),
@@ -69,12 +69,6 @@ def storefront_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
     )
 
 
-@cache
-def _schema(spark: SparkSession, path: str) -> StructType:
-    """Schema of a table; finding it out costs a small job, so once is enough."""
-    return spark.read.parquet(path).schema
-
-
 def departments(part: DataFrame) -> DataFrame:
     return part.selectExpr("p_type AS dept_id", "p_type AS dept_name").distinct()
 
@@ -132,7 +126,7 @@ def order_items(lineitem: DataFrame) -> DataFrame:
 
 
 def access_log(events: DataFrame, part: DataFrame) -> DataFrame:
-    """value: an access-log line per event.
+    """value: an access-log line per event; a page of a part that is missing has none.
 
     Parts have one row per key.  Spark broadcasts them when their size, which it knows
     from the files, is below its limit; otherwise it shuffles both sides and splits the
@@ -148,5 +142,5 @@ def access_log(events: DataFrame, part: DataFrame) -> DataFrame:
     parts = part.selectExpr(
         "p_partkey", "p_type", f"{_CATEGORY_NAME} AS cat_name", f"{_PRODUCT_NAME} AS product_name"
     )
-    joined = shown.join(parts, F.col("shown_part") == F.col("p_partkey"))
-    return joined.selectExpr(f"{_LOG_LINE} AS value")
+    joined = shown.join(parts, F.col("shown_part") == F.col("p_partkey"), "left")
+    return joined.selectExpr(f"{_LOG_LINE} AS value").where("value IS NOT NULL")

@@ -12,11 +12,15 @@ def _r2(value: str) -> str:
     return f"CAST(ROUND(CAST({value} AS DECIMAL(38,8)), 2) AS DOUBLE)"
 
 
+# --- fixed values -----------------------------------------------------------
+# The four request patterns; labels and output names below are fixed as well.
 _PRODUCT = r"""([^ ]*) - - \[([^]]*)] "[^ ]* /department/([^/]*)/category/([^/]*)/product/([^ ]*) HTTP[^ ]* (\d{3})"""
 _CATEGORY = r"""([^ ]*) - - \[([^]]*)] "[^ ]* /department/([^/]*)/category/([^ ]*) HTTP[^ ]* (\d{3})"""
 _DEPARTMENT = r"""([^ ]*) - - \[([^]]*)] "[^ ]* /department/([^ ]*) HTTP[^ ]* (\d{3})"""
 _PAGE = r"""([^ ]*) - - \[([^]]*)] "[^ ]* /([^ /]*) HTTP[^ ]* (\d{3})"""
 
+# ----------------------------------------------------------------------------
+
 
 def _group(kind_groups: dict[str, tuple[str, int]]) -> str:
     """CASE that takes a regex group, which one depending on the matched kind."""
@@ -64,7 +68,7 @@ order_items AS (
 _WEB = f"""
 visited AS (
   SELECT e.event_id, e.ts, e.user_id, e.event_type, c.dept_id, c.cat_name, c.product_name
-  FROM events e JOIN catalog c ON CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) = c.product_id),
+  FROM events e LEFT JOIN catalog c ON CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) = c.product_id),
 paths AS (
   SELECT *, replace(replace(concat('/department/', dept_id), '#', '%23'), ' ', '%20') AS dept_path,
          replace(replace(concat('/category/', cat_name), '#', '%23'), ' ', '%20') AS cat_path,
@@ -82,7 +86,7 @@ weblog_raw AS (
                 END,
                 ' HTTP/1.1" ', CASE WHEN event_type = 'error' THEN '500' ELSE '200' END,
                 ' 1063 "-" "Mozilla/5.0"') AS value
-  FROM paths),
+  FROM paths WHERE dept_id IS NOT NULL OR event_type = 'signup'),
 kinds AS (SELECT value, {_KIND} AS kind FROM weblog_raw),
 pieces AS (
   SELECT kind, {_IP} AS ip, {_STAMP} AS stamp, {_DEPT} AS dept, {_CAT} AS category, {_PROD} AS raw_product,
@@ -237,7 +241,40 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(tables) + query
 
 
+def _as_text(query: str, plain: tuple[str, ...], two_decimals: tuple[str, ...]) -> str:
+    """The fields of a report's file: nothing for NULL, percentages with two places."""
+    fields = [f"COALESCE(CAST({name} AS VARCHAR), '') AS {name}" for name in plain]
+    fields += [f"COALESCE(printf('%.2f', {name}), '') AS {name}" for name in two_decimals]
+    return f"SELECT {', '.join(fields)} FROM ({query})"
+
+
 def statements() -> dict[str, str]:
+    found = _reports()
+    found["channel_share_text"] = _as_text(
+        found["channel_share"],
+        ("category", "web_events", "store_sales"),
+        ("web_pct", "store_pct", "pct_difference"),
+    )
+    found["catalog_coverage_text"] = _as_text(
+        found["catalog_coverage"],
+        ('"both"', "web_only", "catalog_only", "total_web_categories", "total_catalog_categories"),
+        ("catalog_coverage_pct",),
+    )
+    # The last row of a repeated id: some products moved away, some categories renamed.
+    again = found["category_presence_tagged"]
+    for before, after in (
+        ("products AS (SELECT product_id, cat_id,",
+         "products AS (SELECT product_id, CASE WHEN product_id % 3 = 0 THEN 'none' ELSE cat_id END AS cat_id,"),
+        ("categories AS (SELECT DISTINCT cat_id, dept_id, cat_name",
+         "categories AS (SELECT DISTINCT cat_id, dept_id,"
+         " CASE WHEN length(cat_id) % 2 = 0 THEN concat('New ', cat_name) ELSE cat_name END AS cat_name"),
+    ):
+        again = again.replace(before, after)
+    found["category_presence_tagged_repeats"] = again
+    return found
+
+
+def _reports() -> dict[str, str]:
     base = (_STORE, _WEB)
     cuts = (925, 950, 975)
     outer = f"{_OUTER}"
@@ -412,6 +449,17 @@ FROM tiers""",
         ),
         "peak_hours": _with(*base, _hours(_READABLE_TIME), _HOUR_REPORT),
         "peak_hours_summary": _with(*base, _hours(_READABLE_TIME), _HOUR_PEAKS),
+        "peak_hours_untidy": _with(
+            *base,
+            _hours(_READABLE_TIME).replace(
+                f"try_strptime(order_date, '%Y-%m-%d %H:%M:%S')", "CAST(order_date AS TIMESTAMP)"
+            ),
+            _HOUR_REPORT,
+        ),
+        "products_from_lines": """
+SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_brand AS cat_id,
+       CASE p_partkey % 6 WHEN 2 THEN concat(p_name, ', boxed') ELSE p_name END AS product_name
+FROM part WHERE p_partkey % 6 IN (0, 2, 4)""",
         "peak_hours_literal": _with(*base, _hours(_LITERAL_TIME), _HOUR_REPORT),
         "peak_hours_summary_literal": _with(*base, _hours(_LITERAL_TIME), _HOUR_PEAKS),
     }

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 import pytest
@@ -8,10 +9,16 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import __spark_entry__ as contract  # noqa: E402
 from aislewise.session import build_session  # noqa: E402
 from aislewise.sources.relations import SCHEMAS, RetailTables  # noqa: E402
 
 
+def retail_queries():
+    """Names of the queries of the retail reports; those of subpackages have tests of their own."""
+    return [name for name in contract.queries() if name != "pipeline" and not re.match(r"op\d+_", name)]
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", master="local[8]", shuffle_partitions=8)

@@ -8,18 +8,23 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import by_key, rows
+from pyspark.sql import functions as F
 from test_weblog import PRODUCT_URL, line
 
 from aislewise.__main__ import main
-from aislewise.plans import jobs
+from aislewise.operators.channels import RAW_STAMP_TIME
+from aislewise.operators.presence import last_row_per_key
+from aislewise.plans import hours, jobs
 from aislewise.plans.registry import REPORTS
 from aislewise.sources.readers import (
     field_count,
     read_access_log,
     read_relation,
     read_retail_folder,
+    read_table,
     spread,
 )
+from aislewise.sources.relations import PLACE
 from aislewise.sources.sinks import write_presence_lines, write_report, write_weblog_csv
 
 LOG = [
@@ -62,8 +67,9 @@ def test_command_line_from_log_to_reports(spark, tmp_path, data, capsys):
     )
     output = tmp_path / "results"
     main(["reports", str(data), str(output), "--show", "--single-files"])
-    saved = {report.saved_as for report in REPORTS.values() if report.saved_as}
-    assert saved == {name for name in os.listdir(output) if name.startswith("analysis")}
+    saved = {report.saved_as for report in REPORTS.values()}
+    assert len(saved) == len(REPORTS) == 18
+    assert saved == {name for name in os.listdir(output) if not name.startswith((".", "_"))}
     assert all(len(glob.glob(f"{output}/{name}/part-*.csv")) == 1 for name in saved)
     assert text_of(output / "analysis1a_web_vs_store_sales") == [
         "category,presence",
@@ -122,24 +128,89 @@ def test_unsplittable_logs_are_spread(spark, tmp_path):
     spark.range(50).selectExpr("'x' AS value").coalesce(1).write.text(
         str(tmp_path / "log"), compression="gzip"
     )
-    lines = read_access_log(spark, str(tmp_path / "log"))
-    assert lines.rdd.getNumPartitions() == 8 and lines.count() == 50
-    enough = spark.range(0, 50, 1, 8)
-    assert spread(enough) is enough
+    lines = read_access_log(spark, str(tmp_path / "log"), tasks=50)
+    assert lines.rdd.getNumPartitions() == 50 and lines.count() == 50
+    as_is = read_access_log(spark, str(tmp_path / "log"))
+    assert as_is.rdd.getNumPartitions() == 1 and spread(as_is, None) is as_is
 
 
 def test_narrow_lines_are_left_out(spark, tmp_path):
     path = tmp_path / "products.csv"
-    path.write_text('1,10,"a, b",,5,u\n2,11\n3,12,c\n4,13,"d",x,6,u,extra\n"5,14",15\n')
+    path.write_text(
+        '1,10,"a, b",,5,u\n2,11\n3,12,c\n4,13,"d",x,6,u,extra\n"5,14",15\n'
+        "6,10,,,,\n7,10,e,,,\n8,10,,,,,,\n9,10,,f,,\n"
+    )
     ids = rows(read_relation(spark, str(path), "products", min_fields=3), "product_id", "product_name")
-    assert sorted(ids) == [("1", "a, b"), ("3", "c"), ("4", "d")]
+    assert sorted(ids) == [("1", "a, b"), ("3", "c"), ("4", "d"), ("7", "e"), ("9", None)]
     everything = read_relation(spark, str(path), "products")
-    assert everything.count() == 5
+    assert everything.count() == 9
+
+
+def test_last_row_of_several_files_counts(spark, tmp_path):
+    """By path and position, although the larger file is read first."""
+    folder = tmp_path / "categories"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("1,1,old\n2,1,a\n2,1,b\n")
+    (folder / "part-1.csv").write_text("1,1,new\n" + "".join(f"{i},1,n{i}\n" for i in range(10, 3000)))
+    relation = read_relation(spark, str(folder), "categories", min_fields=3, placed=True)
+    found = by_key(last_row_per_key(relation, "cat_id", "cat_name", PLACE), "cat_id", "cat_name")
+    assert found["1"] == ("new",) and found["2"] == ("b",) and len(found) == 2992
+
+
+def test_decoded_text_survives_csv_and_table(spark, tmp_path):
+    """Line breaks become spaces in CSV; quotes, commas and backslashes come back as they were."""
+    odd = {"nl": "a%0Ab", "cr": "a%0Db", "quote": "a%22b", "comma": "a%2Cb", "slash": "a%5Cb", "end": "b%5C"}
+    text = "\n".join(line(f"/department/d/category/c/product/{p}/add_to_cart") for p in odd.values())
+    (tmp_path / "odd.log").write_text(text + "\n")
+    kept = {"a\nb", "a\rb", 'a"b', "a,b", "a\\b", "b\\"}
+    jobs.convert_log(spark, str(tmp_path / "odd.log"), str(tmp_path / "t"), as_table=True)
+    assert {r[0] for r in rows(read_table(spark, str(tmp_path / "t"), "weblog"), "product")} == kept
+    jobs.convert_log(spark, str(tmp_path / "odd.log"), str(tmp_path / "c"))
+    back = rows(read_relation(spark, str(tmp_path / "c"), "weblog"), "product", "pageType")
+    spaced = {p.replace("\n", " ").replace("\r", " ") for p in kept}
+    assert len(back) == 6 and {r[0] for r in back} == spaced and {r[1] for r in back} == {"add_to_cart"}
+
+
+def test_only_some_reports(spark, tmp_path, data):
+    """Saved without --show, from a web log alone, and nothing is left of the roll-ups."""
+    web = tmp_path / "web"
+    web.mkdir()
+    main(["etl", str(tmp_path / "access.log"), str(web / "weblog.csv")])
+    work = jobs.working_folder(spark, str(tmp_path / "none"))
+    before = set(glob.glob(f"{work}/rollups-*"))
+    main(["reports", str(web), str(tmp_path / "out"), "--only", "funnel_total", "funnel_by_category"])
+    assert text_of(tmp_path / "out" / "funnel_total")[1].startswith("1,0,0,1,")
+    assert set(os.listdir(tmp_path / "out")) >= {"funnel_total", "analysis5_funnel_per_category"}
+    assert set(glob.glob(f"{work}/rollups-*")) == before
+
+
+def test_reports_over_columnar_relations(spark, tmp_path, data):
+    main(["etl", str(tmp_path / "access.log"), str(data / "weblog"), "--table"])
+    main(["reports", str(data), str(tmp_path / "out"), "--columnar", "weblog", "--only", "catalog_coverage"])
+    assert text_of(tmp_path / "out" / "analysis1b_summary")[1] == "2,0,1,2,3,66.67"
+    paths = [str(data / name) for name in ("full_order_items.csv", "products.csv", "categories.csv")]
+    main(["presence", str(data / "weblog"), *paths, str(tmp_path / "p"), "--columnar", "weblog"])
+    assert text_of(tmp_path / "p")[0] == "Cardio Equipment,Store Only"
+
+
+def test_percentages_keep_two_decimals(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 60.0, 17107765.88), ("b", None, 16.9)], "k string, pct double, x double")
+    write_report(frame.orderBy("k"), str(tmp_path / "r"), single_file=True, two_decimals=("pct",))
+    assert text_of(tmp_path / "r") == ["k,pct,x", "a,60.00,1.710776588E7", 'b,"",16.9']
+
+
+def test_rollups_are_marked_in_their_schema(spark, storefront, rolled, make_tables):
+    with pytest.raises(ValueError, match="roll-up"):
+        hours.peak_hours(rolled, RAW_STAMP_TIME)
+    # Columns of the same names in a user's table mean nothing.
+    named = storefront.weblog.withColumn("hits", F.lit(5)).withColumn("hour_of_day", F.lit(1))
+    tables = storefront.replaced(weblog=named)
+    assert rows(hours.peak_hours(tables)) == rows(hours.peak_hours(storefront))
 
 
 def test_field_count(spark):
     frame = spark.createDataFrame([("a,b",), ('"a,b"',), ('1,"x,y",2',), (",,",)], "line string")
-    assert rows(frame.select(field_count(frame.line))) == [(2,), (1,), (3,), (3,)]
+    assert rows(frame.select(field_count(frame.line))) == [(2,), (1,), (3,), (1,)]
 
 
 def test_empty_fields_are_null_after_csv(spark, tmp_path, make_tables):
@@ -162,7 +233,6 @@ def test_report_nulls_order_and_files(spark, tmp_path):
     assert text_of(tmp_path / "one")[1:] == many and many[:2] == ["0,0", '1,""']
     write_report(frame, str(tmp_path / "plain"), single_file=True, quoted_nulls=False)
     assert text_of(tmp_path / "plain")[2] == "1,"
-    assert spark.conf.get("spark.sql.legacy.nullValueWrittenAsQuotedEmptyStringCsv") == "false"
 
 
 def test_presence_lines_quote_commas(spark, tmp_path):

@@ -39,6 +39,17 @@ def test_ranks_without_a_broadcast_join(spark):
     assert len(expected) == 9000
 
 
+def test_one_task_only_adds_up_ranges(spark):
+    """However many rows and values there are, a single task sees one row for each range of the measure."""
+    frame = spark.range(200_000).select(F.col("id").alias("name"), (F.col("id") % 90_000).alias("units"))
+    ranked = rank_descending(frame, "units", "place")
+    assert ranked.where("place = 1").count() == 2
+    assert ranked.where("units = 0").first()["place"] == 199_998
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    single = plan[plan.index("Exchange SinglePartition") :].splitlines()
+    assert any("HashAggregate(keys=[_range" in text for text in single[1:3])
+
+
 def test_total_is_a_scalar_subquery(spark):
     frame = spark.createDataFrame([("a", 1, 5), ("b", 3, 6)], "k string, x bigint, y bigint")
     grouped = frame.groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
