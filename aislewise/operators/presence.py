@@ -40,15 +40,14 @@ def _tagged(names: DataFrame, from_web: Column) -> DataFrame:
     return names.select("name", from_web.alias("from_web"))
 
 
-def last_row_per_key(relation: DataFrame, key: str, value: str, place: str | None = None) -> DataFrame:
+def last_row_per_key(relation: DataFrame, key: str, value: str, place: str) -> DataFrame:
     """key, value: a lookup where a repeated key keeps the value read last.
 
-    ``place`` is a column to order rows by, as :func:`aislewise.sources.readers.placed` adds
-    it; of rows at one place, or without any, the largest value counts.  NULL keys and values
-    are no lookup entries.  Tasks keep one row per key before the exchange.
+    ``place`` is the column to order rows by; of rows at one place the largest value counts.
+    NULL keys and values are no lookup entries.  Tasks keep one row per key before the
+    exchange.
     """
-    order = [F.desc(column) for column in (place, value) if column is not None]
-    last = Window.partitionBy(key).orderBy(*order)
+    last = Window.partitionBy(key).orderBy(F.desc(place), F.desc(value))
     return (
         relation.where(F.col(key).isNotNull())
         .withColumn("_row", F.row_number().over(last))

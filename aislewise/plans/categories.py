@@ -121,8 +121,9 @@ def category_presence_tagged(tables: RetailTables) -> DataFrame:
     """The same question by one grouping of tagged names, with two dimension look-ups.
 
     Keys lose control characters at both ends; spaces that a cut fragment leaves behind
-    belong to the key.  A repeated id in a look-up keeps its last row by the relation's place
-    column, if it has one.  Look-ups are cut to the ids sold before they are ordered.
+    belong to the key.  A repeated id in a look-up keeps its last row: by the relation's place
+    column, which readers of files add, or else in the order in which the rows come.
+    Look-ups are cut to the ids sold before they are ordered.
     """
     category, page_type = trim_controls(F.col("category")), line_key(F.col("pageType"))
     web = tables.weblog.where(page_type.isin(*CATEGORY_PAGES) & is_given(category)).select(
@@ -130,10 +131,10 @@ def category_presence_tagged(tables: RetailTables) -> DataFrame:
     )
 
     def look_up(ids: DataFrame, relation: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-        place = PLACE if PLACE in relation.columns else None
-        entries = relation.select(_id(relation, key), value.alias(name), *([place] if place else []))
+        place = F.col(PLACE) if PLACE in relation.columns else F.monotonically_increasing_id()
+        entries = relation.select(_id(relation, key), value.alias(name), place.alias(PLACE))
         sold_entries = entries.join(ids, key, "left_semi")
-        return ids.join(last_row_per_key(sold_entries, key, name, place), key).select(name).distinct()
+        return ids.join(last_row_per_key(sold_entries, key, name, PLACE), key).select(name).distinct()
 
     order_items, products = sales_by_product(tables.order_items), tables.products
     product_ids = order_items.select(_id(order_items, "product_id")).distinct()
