@@ -71,8 +71,10 @@ class _ShardWriter:
         self.n_tokens += len(ids)
         self._held.append(ids.astype(self._dtype))
         self._n_held += len(ids)
-        if self._n_held >= BATCH_SEQUENCES * self._length:
-            self._write(self._n_held // self._length)
+        # Every batch but the last is full, so a sequence's number tells its batch.
+        full = self._n_held // (BATCH_SEQUENCES * self._length)
+        if full:
+            self._write(full * BATCH_SEQUENCES)
         if len(self._rows) >= INDEX_ROWS:
             self._write_index()
 
