@@ -261,7 +261,8 @@ def fit(training: DataFrame) -> Identifier:
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """``docs`` with four more columns: lang_pred, score, cross_entropy and rejected.
 
-    A text that is null or has no letter is ``und`` with score 0, and is rejected.  Without any model every text is.
+    A text that is null or has no letter is ``und`` with score 0, and is rejected.  Without any model every text is
+    ``und`` with score 0, and none is rejected, as nothing is known of any language.
     """
     names = np.array([*identifier.models, UNDETERMINED], object)
 
@@ -270,7 +271,7 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
             parts = []
             for some in _slices(t.as_py() or "" for t in batch.column("text")):
                 if len(names) == 1:
-                    parts.append((names[np.zeros(len(some), int)], np.zeros(len(some)), np.zeros(len(some)), np.ones(len(some), bool)))
+                    parts.append((names[np.zeros(len(some), int)], np.zeros(len(some)), np.zeros(len(some)), np.zeros(len(some), bool)))
                     continue
                 counts, best, entropy, lead = identifier.scored(some)
                 found = np.where(counts > 0, names[best], UNDETERMINED)
