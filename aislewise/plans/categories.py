@@ -134,7 +134,7 @@ def category_presence_tagged(tables: RetailTables) -> DataFrame:
         place = F.col(PLACE) if PLACE in relation.columns else F.monotonically_increasing_id()
         entries = relation.select(_id(relation, key), value.alias(name), place.alias(PLACE))
         sold_entries = entries.join(ids, key, "left_semi")
-        return ids.join(last_row_per_key(sold_entries, key, name, PLACE), key).select(name).distinct()
+        return last_row_per_key(sold_entries, key, name, PLACE).select(name).distinct()
 
     order_items, products = sales_by_product(tables.order_items), tables.products
     product_ids = order_items.select(_id(order_items, "product_id")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewise.plans.jobs import working_folder
@@ -34,15 +34,19 @@ def untidy_order_dates(tables: RetailTables) -> RetailTables:
 def repeated_ids(tables: RetailTables) -> RetailTables:
     """Look-ups in which some ids come twice, the second time with something else."""
 
-    def twice(relation: DataFrame, again: DataFrame) -> DataFrame:
-        return again.withColumn(PLACE, F.lit(2)).unionByName(relation.withColumn(PLACE, F.lit(1)))
-
-    products, categories = tables.products, tables.categories
-    moved = products.where("product_id % 3 = 0").withColumn("cat_id", F.lit("none"))
-    renamed = categories.where(F.length("cat_id") % 2 == 0).withColumn(
-        "cat_name", F.concat(F.lit("New "), "cat_name")
+    def twice(relation: DataFrame, which: Column, column: str, again: Column) -> DataFrame:
+        first = F.struct(F.lit(1).alias(PLACE), F.col(column).alias("value"))
+        second = F.struct(F.lit(2).alias(PLACE), again.alias("value"))
+        entries = F.when(which, F.array(second, first)).otherwise(F.array(first))
+        rows = relation.withColumn("_entry", F.explode(entries))
+        return rows.withColumn(column, F.col("_entry.value")).withColumn(PLACE, F.col(f"_entry.{PLACE}")).drop("_entry")
+
+    moved = F.col("product_id") % 3 == 0
+    renamed = F.length("cat_id") % 2 == 0
+    return tables.replaced(
+        products=twice(tables.products, moved, "cat_id", F.lit("none")),
+        categories=twice(tables.categories, renamed, "cat_name", F.concat(F.lit("New "), "cat_name")),
     )
-    return tables.replaced(products=twice(products, moved), categories=twice(categories, renamed))
 
 
 def products_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
