@@ -13,7 +13,7 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
-DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE"}
+DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
