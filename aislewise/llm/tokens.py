@@ -12,10 +12,9 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
-#: Pieces kept between batches (some 200 bytes each), and the length up to which one is kept.
-MEMO_PIECES = 800_000
+#: Pieces kept between batches, and the length up to which one is kept.
+MEMO_PIECES = 400_000
 MEMO_PIECE_CHARS = 64
 #: Characters of text that are cut into pieces at a time.
 SLICE_CHARS = 1_000_000
@@ -67,9 +66,7 @@ class PieceEncoder:
             if len(piece) > MEMO_PIECE_CHARS:
                 del memo[piece]
         if len(memo) > MEMO_PIECES:
-            # The older half goes; what is frequent comes back at once.
-            for piece in list(islice(memo, len(memo) // 2)):
-                del memo[piece]
+            memo.clear()
         return ids
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
