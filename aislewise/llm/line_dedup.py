@@ -153,8 +153,8 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     """
     frequencies = _frequencies(docs)
     n, ordered = F.size("set"), F.col("set")
-    # n - ceil(4n / 5) + 1; sets of up to four words are similar only when equal, and need no prefix.
-    prefix = F.when(n > _SIMILAR, F.slice(ordered, F.lit(1), n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1))
+    # n - ceil(4n / 5) + 1; sets of up to three words are similar only when equal, and need no prefix.
+    prefix = F.when(n >= _SIMILAR, F.slice(ordered, F.lit(1), n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1))
     one = F.lit(1).cast("long")
 
     def parity(words: Column) -> Column:

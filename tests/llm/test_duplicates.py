@@ -155,6 +155,28 @@ def test_line_matches_under_frequent_words(make_docs, monkeypatch, hot):
     assert line_rows(line_dedup.line_report(make_docs(rows).repartition(4))) == matched_lines(with_ids(rows))
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_lines_of_four_words_match_those_of_five(make_docs, monkeypatch, hot):
+    """A word left out of five or added to four, at each place of the order of rarity; three of four are too few."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
+    rows = []
+    for k in range(5):
+        five = [f"w{k}_{i}" for i in range(5)]
+        four = five[:k] + five[k + 1 :]
+        other = [w.replace("w", "v") for w in five]
+        fewer = other[:k] + other[k + 1 :]
+        rows.append((10 * k, " ".join(four), None, None, None))
+        rows.append((10 * k + 1, " ".join(five) + "\n" + " ".join(four[:3]), None, None, None))
+        rows.append((10 * k + 2, " ".join(other), None, None, None))
+        rows.append((10 * k + 3, " ".join(fewer) + "\n" + " ".join(fewer[1:]), None, None, None))
+    # One word in more lines than any HOT_LINES.
+    rows += [(100 + i, f"common p{i} q{i} r{i}" + (" s" if i % 2 else ""), None, None, None) for i in range(80)]
+    rows += [(200 + i, f"common p{i} q{i} r{i}" + ("" if i % 2 else " s"), None, None, None) for i in range(80)]
+    wanted = matched_lines(with_ids(rows))
+    assert sum(removed != "" for _, _, removed in wanted) == 10 + 80
+    assert line_rows(line_dedup.line_report(make_docs(rows).repartition(4))) == wanted
+
+
 def test_lines_are_cut_out(make_docs):
     rows = [
         (1, "a b c d e\nkeep me here", "en", None, None),
