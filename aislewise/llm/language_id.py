@@ -10,12 +10,14 @@ contexts beside their back-off weights.  A batch looks up its distinct sequences
 
 The language is that of the lowest cross-entropy a symbol.  Its score is the chance of being right as a
 function of the lead over the second best, fitted on a sample of about ``CALIBRATION_ROWS`` training rows.
-From the same sample comes the rejection: a text whose cross-entropy is further above its language's mean
+The rejection comes from all training rows: a text whose cross-entropy is further above its language's mean
 than those of all but ``REJECTED_SHARE`` of that language's texts, with ``SLACK``, is in none of the languages.
+A few sums and a histogram of fixed width for each language reach the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,12 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .work import removed, written
+
 BITS = 6
 SYMBOLS = 1 << BITS
 ORDER = 3
 CALIBRATION_ROWS = 20_000
 REJECTED_SHARE = 0.001
 SLACK = 1.5
+#: Rows from which a language's own texts tell its limit.
+LIMIT_ROWS = 1_000
+#: Bins of a bit of excess.
+EXCESS_BINS = 256
 UNDETERMINED = "und"
 #: Characters of text that are scored at a time.
 SLICE_CHARS = 2_000_000
@@ -201,45 +209,86 @@ class Identifier:
         return (entropy - means) * np.sqrt(np.minimum(counts, _STEADY_SYMBOLS) / _STEADY_SYMBOLS)
 
 
-def _calibrated(models: dict[str, KneserNey], sample: DataFrame) -> Identifier:
+def _calibrated(models: dict[str, KneserNey], training: DataFrame, drawn: Column) -> Identifier:
     identifier = Identifier(models)
     names = np.array(list(models), object)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = iter(batch.column("lang").to_pylist())
+            langs, picked = iter(batch.column("lang").to_pylist()), iter(batch.column("drawn").to_pylist())
             for some in _slices(t.as_py() for t in batch.column("text")):
                 counts, best, entropy, lead = identifier.scored(some)
                 right = [names[b] == next(langs) for b in best]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[best], pa.string()), pa.array(counts), pa.array(entropy), pa.array(lead), pa.array(right)],
-                    ["lang", "symbols", "entropy", "lead", "right"],
+                    [
+                        pa.array(names[best], pa.string()), pa.array(counts), pa.array(entropy), pa.array(lead),
+                        pa.array(right), pa.array([next(picked) for _ in some], pa.bool_()),
+                    ],
+                    ["lang", "symbols", "entropy", "lead", "right", "drawn"],
                 )
 
-    rows = (
-        sample.select("text", "lang")
-        .mapInArrow(score, "lang string, symbols long, entropy double, lead double, right boolean")
-        .where("symbols > 0")
-        .toPandas()
-    )
-    if not len(rows):
-        return identifier
-    # Logistic regression with one feature; the ridge keeps it finite where every answer is right.
-    x = np.stack([np.ones(len(rows)), np.log1p(np.minimum(rows["lead"], 1e9))], axis=1)
-    y = rows["right"].to_numpy(float)
+    schema = "lang string, symbols long, entropy double, lead double, right boolean, drawn boolean"
+    every = training.select("text", "lang", drawn.alias("drawn")).mapInArrow(score, schema).where("symbols > 0")
+    every = written(every, "language-scores")
+    rows = every.where("drawn").select("lead", "right").toPandas()
+    if len(rows):
+        identifier.certainty = _certainty(rows["lead"].to_numpy(), rows["right"].to_numpy(float))
+    identifier.limits = _limits(every.where("right").select("lang", "symbols", "entropy"))
+    removed(every)
+    return identifier
+
+
+def _certainty(lead: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """Logistic regression with one feature; the ridge keeps it finite where every answer is right."""
+    x = np.stack([np.ones(len(lead)), np.log1p(np.minimum(lead, 1e9))], axis=1)
     w = np.array([0.0, 1.0])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(2), x.T @ (y - p) - (w - [0.0, 1.0]))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(2), x.T @ (right - p) - (w - [0.0, 1.0]))
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    identifier.certainty = float(w[0]), float(max(w[1], 0.0))
-    for name, own in rows[rows["right"]].groupby("lang"):
-        identifier.limits[name] = float(np.average(own["entropy"], weights=own["symbols"])), 0.0
-        above = identifier.excess(np.array([name] * len(own)), own["entropy"].to_numpy(), own["symbols"].to_numpy())
-        identifier.limits[name] = identifier.limits[name][0], SLACK * float(np.quantile(above, 1 - REJECTED_SHARE))
-    return identifier
+    return float(w[0]), float(max(w[1], 0.0))
+
+
+def _limits(right: DataFrame) -> dict[str, tuple[float, float]]:
+    """Each language's mean and limit, from all rows of ``right(lang, symbols, entropy)``.
+
+    A language of fewer than ``LIMIT_ROWS`` rows has the limit of all languages' rows around their own means if
+    that is wider, and wider still as its own mean is uncertain.
+    """
+    steady = F.least("symbols", F.lit(_STEADY_SYMBOLS)) / _STEADY_SYMBOLS
+    means = right.groupBy("lang").agg(
+        (F.sum(F.col("entropy") * F.col("symbols")) / F.sum("symbols")).alias("mean"),
+        F.count("*").alias("n"),
+        F.sum(steady).alias("weight"),
+    ).collect()
+    if not means:
+        return {}
+    table = right.sparkSession.createDataFrame([(r["lang"], r["mean"]) for r in means], "lang string, mean double")
+    above = (F.col("entropy") - F.col("mean")) * F.sqrt(steady)
+    binned = right.join(F.broadcast(table), "lang").groupBy("lang", F.floor(above * EXCESS_BINS).alias("bin")).count()
+    histograms: dict[str, Counter] = defaultdict(Counter)
+    for lang, at, n in binned.collect():
+        histograms[lang][at] += n
+
+    def widest(histogram: Counter) -> float:
+        """The upper end of the bin that the quantile falls in."""
+        allowed = REJECTED_SHARE * sum(histogram.values())
+        beyond = 0
+        for at in sorted(histogram, reverse=True):
+            beyond += histogram[at]
+            if beyond > allowed:
+                return SLACK * (at + 1) / EXCESS_BINS
+
+    pooled = widest(sum(histograms.values(), Counter()))
+    limits = {}
+    for lang, mean, n, weight in means:
+        limit = widest(histograms[lang])
+        if n < LIMIT_ROWS:
+            limit = max(limit, pooled * (1 + 1 / weight) ** 0.5)
+        limits[lang] = mean, limit
+    return limits
 
 
 def fit(training: DataFrame) -> Identifier:
@@ -255,7 +304,7 @@ def fit(training: DataFrame) -> Identifier:
     rows = training.count()
     share = min(1.0, CALIBRATION_ROWS / rows)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    return _calibrated(models, training.where(drawn))
+    return _calibrated(models, training, drawn)
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:

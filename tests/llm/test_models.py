@@ -53,6 +53,28 @@ def test_foreign_text_is_rejected_and_columns_stay(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
 
 
+def test_limits_do_not_depend_on_the_sample(make_docs, monkeypatch):
+    """A rare language of which the sample has a handful of rows at most keeps all of them."""
+    rng = np.random.default_rng(3)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(60))
+
+    rows = [(i, text("etaoinshrdlu"), "en", "s", None) for i in range(600)]
+    rows += [(1000 + i, text("кволмьдщжюя"), "rare", "s", None) for i in range(30)]
+    rows += [(2000, text("αβγδεζηθικ"), "single", "s", None)]
+    table = make_docs(rows).cache()
+    whole = language_id.fit(table)
+    monkeypatch.setattr(language_id, "CALIBRATION_ROWS", 40)
+    few = language_id.fit(table)
+    assert set(few.limits) == set(whole.limits) == {"en", "rare", "single"}
+    for lang, limit in whole.limits.items():
+        assert np.allclose(few.limits[lang], limit)
+    # One row says nothing of the spread: others do.
+    assert few.limits["single"][1] >= few.limits["en"][1] > 0.01
+    assert language_id.drop_rejected(table).count() == len(rows)
+
+
 def test_quality_separates_the_labels(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = queries.op3_quality(spark, sf_dir).collect()
