@@ -26,6 +26,7 @@ from .work import written
 
 FITTED_ROWS = 20_000
 KEPT_FROM = 0.5
+_DIGEST = "_llm_digest"
 _OTHER, _LOWER, _UPPER, _LETTER, _DIGIT, _SPACE, _COMMON = range(7)
 #: Punctuation of ordinary prose; all other characters that are no letter, digit or space are symbols.
 _PROSE = ".,;:'\"?()-’“”«»¿¡"
@@ -157,16 +158,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     doc_prob is 0.5 throughout and all rows are kept.  Rows that repeat are scored each on its own; an empty
     table gives no row; columns other than those named are not read.
     """
-    labels = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.avg("quality").cast("double").alias("good"))
-    )
-    base = docs.select(
+    return _scores(_base(docs, host, path), labels, kept_from)
+
+
+def _base(docs: DataFrame, host: Column, path: Column, *more: str) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),
+        *more,
+    )
+
+
+def _scores(base: DataFrame, labels: DataFrame, kept_from: float, *more: str) -> DataFrame:
+    """``score_quality``, with the binary columns of ``base`` that ``more`` names passed on."""
+    labels = (
+        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.avg("quality").cast("double").alias("good"))
     )
     classifier = _fitted(base, labels)
 
@@ -175,10 +185,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
             found = [np.empty(0)]
             for some in _slices(t.as_py() or "" for t in batch.column("text")):
                 found.append(classifier.probabilities(features(some)) if classifier else np.full(len(some), 0.5))
-            columns = [batch.column("doc_id"), pa.array(np.concatenate(found)), batch.column("host"), batch.column("path")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "p", "host", "path"])
+            columns = [batch.column("doc_id"), pa.array(np.concatenate(found))]
+            columns += [batch.column(c) for c in ("host", "path", *more)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "p", "host", "path", *more])
 
-    scored = base.mapInArrow(score, "doc_id long, p double, host string, path string")
+    schema = ", ".join(["doc_id long, p double, host string, path string", *(f"{c} binary" for c in more)])
+    scored = base.mapInArrow(score, schema)
     evidence = written(
         scored.join(labels, "doc_id", "left").withColumn("e", F.coalesce("good", "p")).drop("good"), "evidence"
     )
@@ -216,12 +228,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
         .withColumnRenamed("p", "doc_prob")
         .withColumn("quality", 1 / (1 + F.exp(-together)))
         .withColumn("kept", kept)
-        .select("doc_id", "doc_prob", "host_posterior", "path_posterior", "quality", "kept")
+        .select("doc_id", "doc_prob", "host_posterior", "path_posterior", "quality", "kept", *more)
     )
 
 
+def _row_digest(host: Column, path: Column) -> Column:
+    """Of all that a row's score depends on but the doc_id; null counts as empty, as in the score."""
+    text, host, path = (F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("text"), host, path))
+    return F.unhex(F.md5(F.concat(F.md5(text), F.md5(host), path)))
+
+
 def drop_poor(docs: DataFrame, labels: DataFrame, host: Column, path: Column, kept_from: float = KEPT_FROM) -> DataFrame:
-    """``docs`` without the rows whose quality is below ``kept_from``; all columns stay as they are."""
-    poor = score_quality(docs, labels, host, path, kept_from).where("NOT kept")
-    poor = poor.select(F.col("doc_id").alias("_llm_poor")).distinct()
-    return docs.join(poor, F.col("doc_id").cast("long") == F.col("_llm_poor"), "left_anti")
+    """``docs`` without the rows whose quality is below ``kept_from``; all columns stay as they are.
+
+    Rows that repeat a doc_id, or have a null one, stay or go each on its own.
+    """
+    base = _base(docs.withColumn(_DIGEST, _row_digest(host, path)), host, path, _DIGEST)
+    poor = _scores(base, labels, kept_from, _DIGEST).where("NOT kept")
+    poor = poor.select(F.col("doc_id").alias("_llm_poor"), F.col(_DIGEST).alias("_llm_poor_row")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_poor")) & (_row_digest(host, path) == F.col("_llm_poor_row"))
+    return docs.join(poor, same, "left_anti")

@@ -114,6 +114,18 @@ def test_quality_of_awkward_rows(spark, make_docs, awkward, awkward_rows):
     assert kept.count() == len(awkward_rows) and kept.schema == awkward.schema
 
 
+def test_poor_rows_go_each_on_its_own(spark, make_docs):
+    """A good and a poor row share a doc_id, and others have none."""
+    good = "The people of the town came to the house, and they were glad of it. "
+    poor = "$$ @@ ## 77 || ~~ ^^ BUY >> << {} [] 99 "
+    rows = [(i, (good if i % 2 else poor) * (5 + i % 7), "en", "s", None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    odd = [(d, text * 6, "en", "s", None) for d in (900, None) for text in (good, poor)]
+    kept = quality.drop_poor(make_docs([*rows, *odd]), labels, F.col("source"), F.col("lang"))
+    found = sorted(((r.doc_id, r.text) for r in kept.collect() if r.doc_id is None or r.doc_id >= 400), key=str)
+    assert found == sorted([(900, good * 6), (None, good * 6)], key=str)
+
+
 def brute_force_top(vectors, queries_, k):
     out = set()
     for query_id, query in queries_.items():
