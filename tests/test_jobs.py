@@ -7,7 +7,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
-from conftest import by_key, rows
+from retail_rows import by_key, rows
 from pyspark.sql import functions as F
 from test_weblog import PRODUCT_URL, line
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import retail_queries
+from retail_rows import retail_queries
 from parity import compare, duck
 
 import __spark_entry__ as contract

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import by_key, category, item, page, product, retail_queries, rows
+from retail_rows import by_key, category, item, page, product, retail_queries, rows
 from parity import compare, duck
 from pyspark.sql import functions as F
 

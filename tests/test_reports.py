@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import by_key, category, item, page, product, rows
+from retail_rows import by_key, category, item, page, product, rows
 
 from aislewise.plans import categories, departments, funnel, hours, pricing, products
 from aislewise.plans.registry import REPORTS

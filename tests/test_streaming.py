@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import rows
+from retail_rows import rows
 from test_weblog import CASES
 
 from aislewise.operators.weblog import parse_access_log

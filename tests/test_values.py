@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import by_key, category, item, page, product, rows
+from retail_rows import by_key, category, item, page, product, rows
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import money, money_sums
