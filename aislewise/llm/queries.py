@@ -10,6 +10,7 @@ from . import (
     exact_dedup,
     finite_state_count,
     language_id,
+    lexical_search,
     line_dedup,
     near_dedup,
     packing,
@@ -71,6 +72,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=0)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.rank_documents(documents(spark, sf_dir), items, k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +90,7 @@ QUERIES = {
         op8_near_dedup,
         op9_streaming_bpe,
         op10_packing,
+        op13_lexical_search,
     )
 }
 
@@ -116,4 +123,43 @@ ORACLE_SQL = {
         SELECT h.doc_id, g.keep_id, g.group_size, h.doc_id = g.keep_id AS kept, h.text_sha256
         FROM hashed h JOIN grouped g USING (text_sha256)
     """,
+    "op13_lexical_search": r"""
+        WITH counted AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), held AS (
+            SELECT row_number() OVER () AS place, doc_id, terms, CAST(len(terms) AS BIGINT) AS n
+            FROM counted WHERE len(terms) > 0
+        ), whole AS (
+            SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM held
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY item_id, term
+        ), postings AS (
+            SELECT place, doc_id, n, term, count(*) AS tf
+            FROM (SELECT place, doc_id, n, unnest(terms) AS term FROM held)
+            WHERE term IN (SELECT term FROM asked)
+            GROUP BY place, doc_id, n, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings, whole GROUP BY term
+        ), impacts AS (
+            SELECT place, doc_id, term,
+                   w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length))) AS impact
+            FROM postings JOIN weights USING (term), whole
+        ), scored AS (
+            SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+            FROM asked JOIN impacts USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, place, doc_id
+        ), ranked AS (
+            SELECT item_id, doc_id, score,
+                   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
