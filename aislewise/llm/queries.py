@@ -16,12 +16,14 @@ from . import (
     packing,
     quality,
     streaming_bpe,
+    token_alignment,
     token_files,
     top_k,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, capacity=1024, end_id=0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return lexical_search.rank_documents(documents(spark, sf_dir), items, k=10)
@@ -90,6 +96,7 @@ QUERIES = {
         op8_near_dedup,
         op9_streaming_bpe,
         op10_packing,
+        op11_token_alignment,
         op13_lexical_search,
     )
 }
