@@ -19,6 +19,7 @@ from . import (
     token_alignment,
     token_files,
     top_k,
+    toxicity,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +79,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.predict_toxicity(documents(spark, sf_dir), labels)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return lexical_search.rank_documents(documents(spark, sf_dir), items, k=10)
@@ -97,6 +103,7 @@ QUERIES = {
         op9_streaming_bpe,
         op10_packing,
         op11_token_alignment,
+        op12_toxicity,
         op13_lexical_search,
     )
 }
