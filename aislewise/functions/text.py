@@ -45,7 +45,8 @@ def strip_url_fragments(category: Column) -> Column:
 
 def decode_url(text: Column) -> Column:
     """Percent-decode (``+`` is a space); text that does not decode stays as it is."""
-    return F.coalesce(F.try_url_decode(text), text)
+    encoded = F.contains(text, F.lit("%")) | F.contains(text, F.lit("+"))
+    return F.when(encoded, F.coalesce(F.try_url_decode(text), text)).otherwise(text)
 
 
 def title_words(name: Column) -> Column:

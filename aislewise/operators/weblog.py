@@ -41,9 +41,27 @@ _REQUESTS = (
     (DEPARTMENT_REQUEST, ("dept", _STATUS_OF[DEPARTMENT])),
     (PAGE_REQUEST, ("page", _STATUS_OF[None])),
 )
-_PARTS = (*_STATUS_OF.values(), "ip", "time", "dept", "category", "product", "page")
+# A time comes as the log has it or, from a line of the usual shape, as it is reported.
+_PARTS = (*_STATUS_OF.values(), "ip", "time", "datetime", "dept", "category", "product", "page")
 _VISITOR_MARK = " - - ["
 
+# The same requests in a line of the usual shape, each part up to the delimiter that ends it.  A part never
+# gives a character back (``*+``), so a line is read once.  No blank stands in a path, and the digit behind
+# ``HTTP/`` keeps a department or category from going on behind it, so the patterns find the same parts.
+_TO_BLANK, _TO_STEP = "([^ ]*+)", "([^/ ]*+)"
+# Its time has a day, three numbers of a clock and a zone, which is not reported.
+_USUAL_VISIT = r'([^ ]*+) - - \[([^]:]*+):([^]: ]*+:[^]: ]*+:[^]: ]*+)(?: [^]:]*+)?+] "[^ ]*+ '
+_USUAL_PATHS = (
+    f"/department/{_TO_STEP}/category/{_TO_STEP}/product/{_TO_BLANK}",
+    f"/department/{_TO_STEP}/category/{_TO_BLANK}",
+    f"/department/{_TO_BLANK}",
+    f"/{_TO_STEP}",
+)
+_USUAL_REQUESTS = tuple(
+    (rf"{path} HTTP/\d[^ ]*+ (\d{{3}})", parts)
+    for path, (_, parts) in zip(_USUAL_PATHS, _REQUESTS, strict=True)
+)
+
 
 def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
     """One row per line whose request matches and whose status is 200.
@@ -51,12 +69,17 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
     A line that matches a pattern with another status is dropped; later patterns are
     not tried on it.  The stage is a scan, a generator and projections: no exchange.
 
-    A line is rewritten to a list of parts in a single pass of one expression.  The
-    one-element ``explode`` keeps the optimizer from copying this work into the filters
+    A line of the usual shape is cut at its delimiters from left to right, without a step
+    back; only what is left over is searched by the patterns.  Both give a list of parts.
+    The one-element ``explode`` keeps the optimizer from copying this work into the filters
     above it, where it would run a second time.
     """
-    parts = F.split(_rewritten(F.col(line_column)), "\n")
-    parsed = lines.select(F.explode(F.array(parts)).alias("part"))
+    line, cut = F.col("line"), F.col("cut")
+    both = lines.select(F.col(line_column).alias("line"), _cut(F.col(line_column)).alias("cut"))
+    # A second mark has come through as part of the rest of a line.
+    usual = F.startswith(cut, F.lit("\n")) & ~F.contains(cut, F.lit(_VISITOR_MARK))
+    parts = F.split(F.when(usual, cut).otherwise(_rewritten(line)), "\n")
+    parsed = both.select(F.explode(F.array(parts)).alias("part"))
 
     def part(name: str) -> Column:
         return F.get("part", F.lit(_PARTS.index(name) + 1))
@@ -72,7 +95,7 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
         page_type = page_type.when(part(_STATUS_OF[kind]) != "", kind)
     values = (
         part("ip"),
-        _readable_time(part("time")),
+        F.when(part("datetime") != "", part("datetime")).otherwise(_readable_time(part("time"))),
         decode_url(part("dept")),
         decode_url(part("category")),
         F.when(in_cart, F.replace(raw_product, F.lit(CART_MARK), F.lit(""))).otherwise(raw_product),
@@ -98,21 +121,33 @@ def _rewritten(line: Column) -> Column:
     return F.when(one_record, one_pass).otherwise(in_sequence)
 
 
+def _cut(line: Column) -> Column:
+    """The parts of a line of the usual shape, and the rest of the line behind them; other lines as they are."""
+    any_request, parts = _listed({"ip": "$1", "datetime": "$2 $3"}, _USUAL_REQUESTS)
+    rest = 4 + sum(len(own) for _, own in _USUAL_REQUESTS)
+    return F.regexp_replace(line, rf"(?s)^{_USUAL_VISIT}(?:{any_request})(.*+)$", f"{parts}\n${rest}")
+
+
 def _rewrite(line: Column, *requests: tuple[str, tuple[str, ...]]) -> Column:
     """List the parts of the first of some requests; parts it does not have are empty.
 
     Lines hold no line feed, so one at the start marks what is rewritten already.  The
     visitor group takes all non-blanks it can, so a match begins at a word if anywhere.
     """
-    groups = dict.fromkeys(_PARTS, "") | {"ip": "$1", "time": "$2"}
-    group = 2
+    any_request, parts = _listed({"ip": "$1", "time": "$2"}, requests)
+    return F.regexp_replace(line, rf"(?s)^(?!\n)(?:.*? )??{VISIT}(?:{any_request}).*$", parts)
+
+
+def _listed(visit: dict[str, str], requests: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, str]:
+    """One expression for any of some requests, and the list of parts in terms of the groups before and in it."""
+    groups = dict.fromkeys(_PARTS, "") | visit
+    group = "".join(visit.values()).count("$")
     for _, parts in requests:
         for part in parts:
             group += 1
             groups[part] += f"${group}"
     any_request = "|".join(pattern for pattern, _ in requests)
-    whole_line = rf"(?s)^(?!\n)(?:.*? )??{VISIT}(?:{any_request}).*$"
-    return F.regexp_replace(line, whole_line, "".join(f"\n{groups[part]}" for part in _PARTS))
+    return any_request, "".join(f"\n{groups[part]}" for part in _PARTS)
 
 
 def _readable_time(stamp: Column) -> Column:
