@@ -35,6 +35,17 @@ _LENIENT = {
     ORDER_TIME: (r"^\d{1,4}-\d{1,2}-\d{1,2}" + _CLOCK, (0, 1, 2)),
     WEBLOG_TIME: (r"^\d{1,2}/" + _MONTH + r"/\d{1,4}" + _CLOCK, (2, 1, 0)),
 }
+# Exact times, each field at its full width; the last day of February in a leap year is left to the lenient way.
+_EXACT_CLOCK = r" (?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+_EXACT = {
+    ORDER_TIME: r"^\d{4}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+    + _EXACT_CLOCK,
+    WEBLOG_TIME: r"^(?:(?:0[1-9]|1\d|2[0-8])/(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+    r"|(?:29|30)/(?:Jan|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)|31/(?:Jan|Mar|May|Jul|Aug|Oct|Dec))/\d{4}"
+    + _EXACT_CLOCK,
+}
+# Where the hour begins in an exact time.
+_HOUR_AT = {ORDER_TIME: 12, WEBLOG_TIME: 13}
 # ----------------------------------------------------------------------------
 
 
@@ -114,6 +125,9 @@ def hour_of(text: Column, time_format: str) -> Column:
     The two formats of the relations are read leniently: fields may have one digit, and
     text after the seconds, such as a fraction, is ignored.  A date that does not exist is
     no time.  No time zone is involved.  Any other format has to be met exactly.
+
+    A time whose fields all have their full width is only checked, and its hour cut out; the
+    lenient reading is the other branch of the same expression and runs for the rest.
     """
     text = text.cast("string")
     if time_format not in _LENIENT:
@@ -124,7 +138,9 @@ def hour_of(text: Column, time_format: str) -> Column:
     numbers = [F.get(fields, F.lit(at)).try_cast("int") for at in (year, month, day, 3, 4, 5)]
     numbers[1] = F.coalesce(numbers[1], named.cast("int"))
     time = F.try_make_timestamp_ntz(*numbers[:5], numbers[5].cast("decimal(16,6)"))
-    return F.when(F.trim(text).rlike(shape), F.hour(time))
+    lenient = F.when(F.trim(text).rlike(shape), F.hour(time))
+    exact = F.substring(text, _HOUR_AT[time_format], 2).cast("int")
+    return F.when(text.rlike(_EXACT[time_format]), exact).otherwise(lenient)
 
 
 def web_hours(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:

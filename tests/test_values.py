@@ -92,3 +92,31 @@ def test_missing_rank_may_follow_the_last_row(make_tables):
     )
     ranks = by_key(products.product_rank_gap(tables, missing_rank=None), "product", "web_rank", "store_rank")
     assert ranks == {"a": (2, 1), "b": (2, 2), "c": (1, 3)}
+
+
+@pytest.mark.parametrize("time_format", [ORDER_TIME, WEBLOG_TIME])
+def test_exact_times_have_the_hour_of_the_lenient_reading(spark, time_format):
+    """Every day of four years, days that do not exist, and clocks at and beyond their limits."""
+    months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec Foo".split()
+    clocks = ["00:00:00", "23:59:59", "24:00:00", "12:60:00", "12:59:60", "09:05:61", "1:02:03", "10:11"]
+    texts = []
+    for number, month in enumerate(months, 1):
+        for year in ("2012", "2014", "0000", "9999", "14"):
+            for day in range(0, 33):
+                clock = clocks[(day + number + len(year)) % len(clocks)]
+                date = f"{year}-{number:02}-{day:02}" if time_format == ORDER_TIME else f"{day:02}/{month}/{year}"
+                texts.append(f"{date} {clock}")
+    frame = spark.createDataFrame([(text,) for text in texts], "t string")
+    # A blank before the time calls for the lenient reading.
+    hours = frame.select("t", hour_of(F.col("t"), time_format), hour_of(F.concat(F.lit(" "), F.col("t")), time_format))
+    found = rows(hours)
+    assert [exact for _, exact, _ in found] == [lenient for _, _, lenient in found]
+    assert sum(hour is not None for _, hour, _ in found) > 300
+
+
+def test_exact_times_take_no_lenient_step(spark):
+    """The lenient reading is a branch of its own, and never in a common subexpression."""
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = frame.select(hour_of(F.col("t"), ORDER_TIME).alias("h"))._jdf.queryExecution().executedPlan().toString()
+    case = plan[plan.index("CASE WHEN") :]
+    assert case.index("THEN cast(substring(") < case.index("ELSE") < case.index("split(")
