@@ -4,22 +4,92 @@ A byte-level pre-tokenizer never joins characters across a single space or a sin
 the space belongs to the word after it.  Where a text's white space is of that kind only, its ids are those
 of its pieces, one after the other, and each piece meets the library once per memo.  Every other text goes
 to the library whole.  Both ways give the library's ids; the tests compare them on random texts.
+
+New pieces are learnt many at a time, as one text that is cut at the pieces' ends in bytes; where a token
+crosses one, they are learnt one by one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-#: Pieces kept between batches, and the length up to which one is kept.
-MEMO_PIECES = 400_000
+import numpy as np
+
+from .bpe import byte_characters
+
+#: Pieces of a generation of the memo (there are two), and the length up to which one is kept.
+MEMO_PIECES = 250_000
 MEMO_PIECE_CHARS = 64
-#: Characters of text that are cut into pieces at a time.
+#: Characters of text that are cut into pieces at a time, and pieces that are learnt as one text.
 SLICE_CHARS = 1_000_000
+LEARNT_TOGETHER = 500
 
 _LINE_BREAK = (198).to_bytes(4, "little")
+#: White space that pieces do not know: more than one in a row, or another than a space or a line break.
+IRREGULAR = r"\s\s|[^\S \n]"
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a regular text behind a line break: each behind a space, or with its line break."""
+    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+
+def piece_texts(pieces: Iterable[str]) -> list[str]:
+    return [p if p[:1] == "\n" else " " + p for p in pieces]
+
+
+class Memo:
+    """What is known of pieces, in two generations: the older half goes when the younger one is full."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable]) -> None:
+        self._learn = learn
+        self.young: dict = {}
+        self._old: dict = {}
+
+    def know(self, pieces: set[str]) -> dict:
+        """A mapping that has all of these pieces, until the next call."""
+        if len(self.young) > MEMO_PIECES:
+            self._old, self.young = self.young, {}
+        young, old = self.young, self._old
+        new = []
+        for piece in pieces.difference(young):
+            found = old.get(piece)
+            if found is None:
+                new.append(piece)
+            else:
+                young[piece] = found
+        young.update(zip(new, self._learn(new), strict=True))
+        return young
+
+    def forget_long(self, pieces: set[str]) -> None:
+        for piece in [p for p in pieces if len(p) > MEMO_PIECE_CHARS]:
+            self.young.pop(piece, None)
+
+
+def cut_ids(ids: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> list[bytes] | None:
+    """The ids up to each of the ends, which count bytes of text; None where a token crosses one."""
+    reached = np.cumsum(lengths[ids])
+    at = np.searchsorted(reached, ends)
+    if not len(reached) or at[-1] + 1 != len(ids) or not np.array_equal(reached[at], ends):
+        return None
+    data, until = ids.tobytes(), ((at + 1) * ids.itemsize).tolist()
+    return [data[start:end] for start, end in zip([0, *until], until)]
+
+
+def entry_bytes(path: str, entries: dict[str, int]) -> list[bytes]:
+    """The bytes of each token of a byte-level file; those of added tokens are their text."""
+    byte_of = {c: bytes([i]) for i, c in enumerate(byte_characters())}
+    with open(path, encoding="utf-8") as file:
+        added = {t["content"] for t in json.load(file)["added_tokens"]}
+    found = [b""] * (max(entries.values(), default=-1) + 1)
+    for entry, token in entries.items():
+        plain = entry in added or any(c not in byte_of for c in entry)
+        found[token] = entry.encode() if plain else b"".join(map(byte_of.__getitem__, entry))
+    return found
 
 
 class PieceEncoder:
@@ -32,41 +102,43 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._memo: dict[str, bytes] = {}
+        self._memo = Memo(self._learn)
         special = "|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())
-        self._irregular = re.compile(r"\s\s|[^\S \n]" + (f"|{special}" if special else ""))
+        self._irregular = re.compile(IRREGULAR + (f"|{special}" if special else ""))
+        self._lengths = np.array([len(b) for b in entry_bytes(path, self._tokenizer.get_vocab())])
         self._by_pieces = self._whole(["\n"]) == [_LINE_BREAK]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in one.ids) for one in found]
+        return [np.array(one.ids, "<u4") for one in found]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self._ids(texts)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self._memo]
-        ids = self._whole([p[1:] if p[:1] == "\n" else " " + p for p in new])
-        self._memo.update((p, _LINE_BREAK + i if p[:1] == "\n" else i) for p, i in zip(new, ids, strict=True))
+    def _learn(self, pieces: list[str]) -> Iterator[bytes]:
+        texts = piece_texts(pieces)
+        groups = [texts[at : at + LEARNT_TOGETHER] for at in range(0, len(texts), LEARNT_TOGETHER)]
+        # White space alone would run together with that of the next piece.
+        together = [all(len(t) > 1 for t in group) for group in groups]
+        joined = iter(self._ids(["".join(g) for g, fits in zip(groups, together, strict=True) if fits]))
+        for group, fits in zip(groups, together, strict=True):
+            ends = np.cumsum([len(t.encode()) for t in group])
+            found = cut_ids(next(joined), self._lengths, ends) if fits else None
+            yield from self._whole(group) if found is None else found
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         if not self._by_pieces:
             return self._whole(texts)
         # The line break put before a text marks its first piece, and is cut off again.
-        pieces = [
-            None if self._irregular.search(text) else ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            for text in texts
-        ]
-        memo = self._memo
-        missing: set[str] = set()
+        pieces = [None if self._irregular.search(text) else pieces_of(text) for text in texts]
+        distinct: set[str] = set()
         for own in pieces:
             if own is not None:
-                missing.update(own)
-        self._learn(missing)
+                distinct.update(own)
+        known = self._memo.know(distinct)
         rest = iter(self._whole([text for text, own in zip(texts, pieces, strict=True) if own is None]))
-        ids = [next(rest) if own is None else b"".join(map(memo.__getitem__, own))[4:] for own in pieces]
-        for piece in missing:
-            if len(piece) > MEMO_PIECE_CHARS:
-                del memo[piece]
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
+        ids = [next(rest) if own is None else b"".join(map(known.__getitem__, own))[4:] for own in pieces]
+        self._memo.forget_long(distinct)
         return ids
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
