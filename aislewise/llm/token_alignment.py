@@ -5,8 +5,8 @@ byte are linked, and a pair of ids is counted over all links of the corpus.  The
 perfect hash, so their counts are dense vectors: each part of the corpus sums its own vector, and the vectors
 are added up in a tree.  A second pass aligns the documents again and looks the counts up.
 
-* Documents are taken in blocks of ``BLOCK_CHARS`` characters.  The first pass writes each document's ids, and
-  each block's distinct pairs with the number of their links; all later steps read this table.
+* Documents are taken in blocks of ``BLOCK_CHARS`` characters.  The first pass writes each block's ids, and
+  its distinct pairs with the number of their links; all later steps read this table.
 * Pairs are dealt by hash into cells of some ``CELL_PAIRS``, each with a hash of its own: a level places the
   pairs that meet no other one in a bit array, and leaves the rest to the next level; the slot is the rank of
   the bit.  The pairs lie beside it in the order of their slots, so every use verifies its key.
@@ -17,19 +17,20 @@ are added up in a tree.  A second pass aligns the documents again and looks the
 from __future__ import annotations
 
 import hashlib
-import json
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters
+from .tokens import IRREGULAR, LEARNT_TOGETHER, Memo, cut_ids, entry_bytes, piece_texts, pieces_of
 from .work import with_text, written
 
 BLOCK_CHARS = 2_000_000
@@ -39,14 +40,21 @@ FAN = 16
 #: Bits of a level of the hash for each pair that is left.
 _ROOM = 2
 
-_ALIGNED = "block long, doc_id long, a binary, b binary, pair array<long>, links array<long>"
+_ALIGNED = (
+    "block long, doc_id array<long>, n_a array<long>, n_b array<long>, a binary, b binary, "
+    "pair array<long>, links array<long>"
+)
 _REPORT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
 
 
 class Tokenizers:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, and the bytes of their tokens.
+
+    A regular text, in the sense of ``tokens``, is encoded by its pieces, as A's pre-tokenizer and B's pieces
+    never join characters across a space or a line break; every other text meets both tokenizers whole.
+    """
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,37 +66,75 @@ class Tokenizers:
         self._a.no_padding()
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte_of = {c: bytes([i]) for i, c in enumerate(byte_characters())}
-        with open(a_path, encoding="utf-8") as file:
-            added = {t["content"] for t in json.load(file)["added_tokens"]}
-        self.a_bytes = [b""] * self._a.get_vocab_size()
-        for entry, token in self._a.get_vocab().items():
-            self.a_bytes[token] = entry.encode() if entry in added else b"".join(map(byte_of.__getitem__, entry))
+        self.a_bytes = entry_bytes(a_path, self._a.get_vocab())
+        entries = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.b_bytes = [
-            bytes([int(self._b.id_to_piece(i)[3:-1], 16)])
-            if self._b.is_byte(i)
-            else self._b.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(self._b.get_piece_size())
+            bytes([int(entry[3:-1], 16)]) if self._b.is_byte(i) else entry.replace("▁", " ").encode()
+            for i, entry in enumerate(entries)
         ]
         self.a_lengths = np.array([len(b) for b in self.a_bytes])
         self.b_lengths = np.array([len(b) for b in self.b_bytes])
         #: Numbers of both fit in this type, in the table of the first pass.
-        self.stored = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+        self.stored = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
+        crossing = any("▁" in e.lstrip("▁") or "\n" in e for i, e in enumerate(entries) if not self._b.is_control(i))
+        self._by_pieces = not crossing and self._whole(["\n"])[0] is not None
+        self._irregular = re.compile(IRREGULAR + r"|^\s|\s$|▁|^$")
+        self._memo = Memo(self._learn)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for each text; none where the bytes of either differ from a space and the text."""
+    def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         a = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self._b.encode(texts, num_threads=1)
-        out = []
-        for text, own_a, own_b in zip(texts, a, b, strict=True):
-            whole, ids = b" " + text.encode(), own_a.ids
+        return [(np.array(x.ids, self.stored), np.array(y, self.stored)) for x, y in zip(a, b, strict=True)]
+
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both for each text; none where the bytes of either differ from a space and the text."""
+        found: list[tuple[bytes, bytes] | None] = []
+        for text, (a, b) in zip(texts, self._ids(texts), strict=True):
+            whole = b" " + text.encode()
             same = (
                 text != ""
-                and b"".join(map(self.a_bytes.__getitem__, ids)) == whole
-                and b"".join(map(self.b_bytes.__getitem__, own_b)) == whole
+                and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole
+                and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole
             )
-            out.append((np.array(ids if same else [], self.stored), np.array(own_b if same else [], self.stored)))
-        return out
+            found.append((a.tobytes(), b.tobytes()) if same else None)
+        return found
+
+    def _learn(self, pieces: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Ids of both for each piece behind another one; none where the bytes of either differ from its own."""
+        for at in range(0, len(pieces), LEARNT_TOGETHER):
+            texts = piece_texts(pieces[at : at + LEARNT_TOGETHER])
+            known = self._cut(texts) if all(len(t) > 1 for t in texts) else None
+            yield from known or [(self._cut([t]) or [None])[0] for t in texts]
+
+    def _cut(self, texts: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of texts one behind the other, and behind a word; none where a token crosses an end of one."""
+        ((a, b),) = self._ids(["a" + "".join(texts)])
+        whole = b" a" + "".join(texts).encode()
+        for ids, entries in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join(map(entries.__getitem__, ids.tolist())) != whole:
+                return None
+        ends = 2 + np.cumsum([0, *(len(t.encode()) for t in texts)])
+        of_a, of_b = cut_ids(a, self.a_lengths, ends), cut_ids(b, self.b_lengths, ends)
+        return None if of_a is None or of_b is None else list(zip(of_a, of_b))[1:]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text, none at all where their bytes are not those of a space and the text."""
+        pieces = [None if not self._by_pieces or self._irregular.search(t) else pieces_of(t) for t in texts]
+        distinct: set[str] = set()
+        for own in pieces:
+            if own:
+                own[0] = own[0][1:]  # behind the space put before the text, not a line break
+                distinct.update(own)
+        known = self._memo.know(distinct)
+        found: list[tuple[bytes, bytes] | None] = []
+        for own in pieces:
+            parts = [known[p] for p in own] if own else [None]
+            found.append(None if None in parts else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
+        left = [i for i, own in enumerate(found) if own is None]
+        for i, own in zip(left, self._whole([texts[i] for i in left]), strict=True):
+            found[i] = own
+        self._memo.forget_long(distinct)
+        return [tuple(np.frombuffer(x, self.stored) for x in own or (b"", b"")) for own in found]
 
 
 @lru_cache(maxsize=1)
@@ -201,8 +247,18 @@ def _rows(schema: str, **columns: Iterable) -> pa.Table:
     return pa.table({name: pa.array(values, types[kinds[name]]) for name, values in columns.items()})
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Compressed with like bytes of all ids side by side."""
+    return zstandard.compress(ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes(), 3)
+
+
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+
 def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row for each document; the last one of a block has the block's distinct pairs."""
+    """A row for each block: its documents' tokens one after the other, and its distinct pairs."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(a_path, b_path)
@@ -212,18 +268,12 @@ def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found = both.encode(texts)
             a, b = (np.concatenate(ids) for ids in zip(*found, strict=True))
             pairs, links = np.unique(Alignment(a, b, both.a_lengths, both.b_lengths).pairs(), return_counts=True)
-            none = [None] * (len(texts) - 1)
-            of_longs = pa.list_(pa.int64())
+            longs = [doc_ids, [len(ids) for ids, _ in found], [len(ids) for _, ids in found], pairs, links]
+            doc_id, n_a, n_b, pair, of_pair = (pa.array([values], pa.list_(pa.int64())) for values in longs)
+            packed = [pa.array([_packed(ids)], pa.binary()) for ids in (a, b)]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + number] * len(texts), pa.int64()),
-                    pa.array(doc_ids, pa.int64()),
-                    pa.array([ids.tobytes() for ids, _ in found]),
-                    pa.array([ids.tobytes() for _, ids in found]),
-                    pa.array([*none, pairs], of_longs),
-                    pa.array([*none, links], of_longs),
-                ],
-                ["block", "doc_id", "a", "b", "pair", "links"],
+                [pa.array([first + number], pa.int64()), doc_id, n_a, n_b, *packed, pair, of_pair],
+                ["block", "doc_id", "n_a", "n_b", "a", "b", "pair", "links"],
             )
 
         number, chars = 0, 0
@@ -314,8 +364,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     other columns are not read.
     """
     aligned = written(_first_pass(docs, a_path, b_path), "aligned")
-    blocks = aligned.where("pair IS NOT NULL").count()
-    linked = aligned.where("pair IS NOT NULL").select("block", F.explode(F.arrays_zip("pair", "links")).alias("of"))
+    blocks = aligned.count()
+    linked = aligned.select("block", F.explode(F.arrays_zip("pair", "links")).alias("of"))
     linked = linked.select("block", "of.pair", "of.links")
     pairs = written(linked.select("pair").distinct(), "pairs")
     n_cells, parts = max(1, -(-pairs.count() // CELL_PAIRS)), max(1, -(-blocks // BLOCKS_TOGETHER))
@@ -349,7 +399,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         both = _tokenizers(a_path, b_path)
         return _report(both, own, counted["pair"].to_numpy(), counted["count"].to_numpy(), most)
 
-    documents = aligned.select("block", "doc_id", "a", "b")
+    documents = aligned.drop("pair", "links")
     return documents.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(report, _REPORT)
 
 
@@ -360,10 +410,9 @@ def _decimals(n: int) -> list[bytes]:
 
 def _report(both: Tokenizers, own: pa.Table, pairs: np.ndarray, counts: np.ndarray, most: dict[int, int]) -> pa.Table:
     """The rows of one block, with the counts of its pairs."""
-    a = [np.frombuffer(v.as_buffer(), both.stored) for v in own["a"]]
-    b = [np.frombuffer(v.as_buffer(), both.stored) for v in own["b"]]
-    n_a, n_b = (np.array([len(ids) for ids in side], np.int64) for side in (a, b))
-    found = Alignment(np.concatenate(a), np.concatenate(b), both.a_lengths, both.b_lengths)
+    n_a, n_b = (own[name].combine_chunks().flatten().to_numpy() for name in ("n_a", "n_b"))
+    a, b = (_unpacked(own[name][0].as_py(), both.stored) for name in ("a", "b"))
+    found = Alignment(a, b, both.a_lengths, both.b_lengths)
     order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order]
     keys = found.pairs()
@@ -391,7 +440,7 @@ def _report(both: Tokenizers, own: pa.Table, pairs: np.ndarray, counts: np.ndarr
         start = end
     return pa.table(
         {
-            "doc_id": own["doc_id"],
+            "doc_id": own["doc_id"].combine_chunks().flatten(),
             "n_a": n_a,
             "n_b": n_b,
             "n_groups": np.diff(group_ends, prepend=0),
