@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from aislewise.plans import jobs
 from aislewise.plans.registry import REPORTS
+from aislewise.plans.store import RollupStore
 from aislewise.session import build_session
-from aislewise.sources.readers import FILES, read_retail_folder
+from aislewise.sources.readers import FILES, read_relation, read_retail_folder
 
 
 def _columnar(command: argparse.ArgumentParser) -> None:
@@ -50,6 +52,16 @@ def parser() -> argparse.ArgumentParser:
             tables.add_argument("--only", nargs="+", choices=list(REPORTS), metavar="REPORT")
             tables.add_argument("--show", action="store_true", help="print the first rows")
             tables.add_argument("--single-files", action="store_true", help="one CSV file per report")
+            tables.add_argument("--store", help="roll-ups to report on, in place of the facts")
+            for end in ("first", "last"):
+                tables.add_argument(f"--{end}-day", type=date.fromisoformat, help="with --store: web events of some days")
+
+    update = commands.add_parser("update", help="count new log and order-item files into a store of roll-ups")
+    update.add_argument("store", help="folder of the roll-ups")
+    update.add_argument("--logs", nargs="+", default=(), metavar="PATH")
+    update.add_argument("--order-items", nargs="+", default=(), metavar="PATH")
+    update.add_argument("--products", metavar="PATH", help="the products as they are now")
+    update.add_argument("--buckets", type=int, default=64, help="buckets of sales and products, when the store is made")
     return main
 
 
@@ -70,9 +82,16 @@ def main(arguments: list[str] | None = None) -> None:
         )
     elif given.command == "coverage":
         jobs.coverage_job(spark, given.weblog, given.products, given.output, given.columnar)
+    elif given.command == "update":
+        store = RollupStore(spark, given.store, given.buckets)
+        products = read_relation(spark, given.products, "products") if given.products else None
+        for relation, files in store.update(given.logs, given.order_items, products).items():
+            print(f"{relation}: {files} new files")
     else:
         paths = {name: getattr(given, name) for name in FILES if getattr(given, name)}
         tables = read_retail_folder(spark, given.data, given.columnar, **paths)
+        if given.command == "reports" and given.store:
+            tables = RollupStore(spark, given.store).tables(tables, given.first_day, given.last_day)
         if given.command == "clean-presence":
             jobs.clean_presence_job(tables, given.output)
         else:

@@ -143,6 +143,19 @@ def hour_of(text: Column, time_format: str) -> Column:
     return F.when(text.rlike(_EXACT[time_format]), exact).otherwise(lenient)
 
 
+def day_of(text: Column, time_format: str) -> Column:
+    """The date as written; NULL where the text is no time of the format, in the sense of :func:`hour_of`."""
+    text = text.cast("string")
+    if time_format not in _LENIENT:
+        return F.to_date(F.try_to_timestamp(text, F.lit(time_format)))
+    fields = F.split(F.trim(text), "[^0-9A-Za-z]+")
+    numbers = [F.get(fields, F.lit(at)) for at in _LENIENT[time_format][1]]
+    named = (F.position(F.lower(numbers[1]), F.lit(_MONTHS)) + 2) / 3
+    numbers[1] = F.coalesce(numbers[1].try_cast("int"), named.cast("int"))
+    exact = F.concat_ws("-", *[F.lpad(number.cast("string"), width, "0") for number, width in zip(numbers, (4, 2, 2))])
+    return F.when(hour_of(text, time_format).isNotNull(), exact.try_cast("date"))
+
+
 def web_hours(weblog: DataFrame, time_format: str = WEBLOG_TIME) -> DataFrame:
     """hour_of_day, web_events, web_cart_adds; unparsable times share a NULL hour.
 
@@ -189,13 +202,14 @@ def sales_by_product(order_items: DataFrame) -> DataFrame:
 _MEASURES = ("order_rows", "order_lines", "quantity", "quantity_rows", "revenue", "revenue_rest")
 
 
-def _summed(frame: DataFrame, key: Column) -> DataFrame:
+def summed_sales(frame: DataFrame, key: Column) -> DataFrame:
+    """Sales measures of several rows added up by key."""
     return frame.groupBy(key).agg(*[F.sum(measure).alias(measure) for measure in _MEASURES])
 
 
 def _sales_by_category_id(order_items: DataFrame, products: DataFrame) -> DataFrame:
     sold = sales_by_product(order_items).join(products.select("product_id", "cat_id"), "product_id")
-    return _summed(sold, F.col("cat_id"))
+    return summed_sales(sold, F.col("cat_id"))
 
 
 def sales_by_category_name(
@@ -205,7 +219,7 @@ def sales_by_category_name(
     sold = _sales_by_category_id(order_items, products).join(
         categories.select("cat_id", "cat_name"), "cat_id"
     )
-    return _summed(sold, name_key(F.col("cat_name")).alias("name"))
+    return summed_sales(sold, name_key(F.col("cat_name")).alias("name"))
 
 
 def sales_by_product_name(order_items: DataFrame, products: DataFrame) -> DataFrame:
@@ -213,18 +227,18 @@ def sales_by_product_name(order_items: DataFrame, products: DataFrame) -> DataFr
     sold = sales_by_product(order_items).join(
         products.select("product_id", "product_name"), "product_id"
     )
-    return _summed(sold, name_key(F.col("product_name")).alias("name"))
+    return summed_sales(sold, name_key(F.col("product_name")).alias("name"))
 
 
 def sales_by_department_name(
     order_items: DataFrame, products: DataFrame, categories: DataFrame, departments: DataFrame
 ) -> DataFrame:
     by_category = _sales_by_category_id(order_items, products)
-    by_department = _summed(
+    by_department = summed_sales(
         by_category.join(categories.select("cat_id", "dept_id"), "cat_id"), F.col("dept_id")
     )
     sold = by_department.join(departments.select("dept_id", "dept_name"), "dept_id")
-    return _summed(sold, name_key(F.col("dept_name")).alias("name"))
+    return summed_sales(sold, name_key(F.col("dept_name")).alias("name"))
 
 
 def sold_category_names(

@@ -7,6 +7,7 @@ from collections.abc import Collection, Iterable
 
 from pyspark.sql import SparkSession
 
+from aislewise.operators.channels import rollup_of
 from aislewise.operators.rollups import sales_activity, web_activity
 from aislewise.operators.weblog import parse_access_log
 from aislewise.plans.categories import category_presence_clean, category_presence_tagged
@@ -134,12 +135,13 @@ def run_reports(
 ) -> None:
     """Save every report below ``output``; print them as well if asked to.
 
-    Only the facts that the reports named read are rolled up, and the roll-ups go when the
-    reports are written.  Reports whose size may grow with the data are saved as a sequence
+    Only the facts that the reports named read are rolled up, where they are not already,
+    and the roll-ups go when the reports are written.  Reports whose size may grow with the data are saved as a sequence
     of part files, unless ``single_files`` asks for one file each.
     """
     chosen = [REPORTS[name] for name in (REPORTS if names is None else names)]
-    facts = [name for name in ("weblog", "order_items") if any(name in r.reads for r in chosen)]
+    read = [name for name in ("weblog", "order_items") if any(name in r.reads for r in chosen)]
+    facts = [name for name in read if rollup_of(getattr(tables, name)) is None]
     work = working_folder(spark, f"{output.rstrip('/')}/_work").rstrip("/")
     run = f"{work}/rollups-{uuid.uuid4().hex}"
     try:

@@ -29,7 +29,7 @@ FILES = {
 # ----------------------------------------------------------------------------
 
 
-def read_access_log(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+def read_access_log(spark: SparkSession, path: str | list[str], tasks: int | None = None) -> DataFrame:
     """value: one log line per row.
 
     Files that cannot be split, as compressed ones, are one task each.  ``tasks`` deals the
@@ -45,7 +45,7 @@ def spread(source: DataFrame, tasks: int | None) -> DataFrame:
 
 def read_relation(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     relation: str,
     min_fields: int | None = None,
     placed: bool = False,
@@ -87,9 +87,10 @@ def field_count(line: Column) -> Column:
     return F.length(given) - F.length(F.replace(given, F.lit(","), F.lit(""))) + 1
 
 
-def read_table(spark: SparkSession, path: str, relation: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], relation: str) -> DataFrame:
     """A relation in columnar form, its columns found by name; types may be other than text."""
-    return spark.read.parquet(path).select(*SCHEMAS[relation].names)
+    paths = [path] if isinstance(path, str) else path
+    return spark.read.parquet(*paths).select(*SCHEMAS[relation].names)
 
 
 def read_retail_folder(

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewise.plans.jobs import working_folder
+from aislewise.plans.store import RollupStore
 from aislewise.sources.readers import MIN_FIELDS_PRESENCE, read_relation
 from aislewise.sources.relations import PLACE, RetailTables
+from aislewise.sources.storefront import access_log, storefront_tables
 
 # Lines of all widths: full, empty at the end, short, too short, and too long.
 _PRODUCT_LINE = """
@@ -56,3 +58,24 @@ def products_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part.selectExpr(f"{_PRODUCT_LINE} AS value").write.text(folder)
     read = read_relation(spark, folder, "products", MIN_FIELDS_PRESENCE["products"], placed=True)
     return read.select("product_id", "cat_id", "product_name")
+
+
+def stored_rollups(spark: SparkSession, sf_dir: str, buckets: int = 8) -> RetailTables:
+    """The facts as files that arrive over three runs, counted into a store of roll-ups that the reports read."""
+    folder = f"{working_folder(spark, '/tmp')}/store-{uuid.uuid4().hex}"
+    tables = storefront_tables(spark, sf_dir)
+    events, part = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("events", "part"))
+    logs, items = f"{folder}/logs", f"{folder}/order_items"
+    lines = access_log(events, part)
+    lines.withColumn("arrival", F.pmod(F.xxhash64("value"), F.lit(3))).write.partitionBy("arrival").text(logs)
+    arrival = F.pmod(F.xxhash64("order_id"), F.lit(2))
+    tables.order_items.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(items)
+
+    store = RollupStore(spark, f"{folder}/rollups", buckets)
+    all_logs = [f"{logs}/arrival={n}" for n in range(3)]
+    all_items = [f"{items}/arrival={n}" for n in range(2)]
+    store.update(logs=all_logs[:1], products=tables.products)
+    store.update(logs=all_logs[:2], order_items=all_items[:1], columnar=True)
+    # A run is given all there is, and reads what is new.
+    store.update(logs=all_logs, order_items=all_items, columnar=True)
+    return store.tables(tables)
