@@ -27,7 +27,7 @@ from .lexical_search import terms_in_slices
 from .quality import Classifier
 
 WINDOW, STRIDE = 24, 12
-TOXIC_ROWS, CLEAN_ROWS, FITTED_BYTES = 2000, 4000, 32_000
+TOXIC_ROWS, CLEAN_ROWS, FITTED_BYTES = 1500, 3000, 8_000
 PREDICTED_FROM = 0.7
 #: Training: documents a step, passes over them, steps at least, and the step size.
 BATCH, EPOCHS, STEPS, RATE = 128, 5, 200, 0.01
@@ -35,6 +35,9 @@ BATCH, EPOCHS, STEPS, RATE = 128, 5, 200, 0.01
 WORDS_TOGETHER = 200_000
 WINDOWS_TOGETHER = 4096
 
+#: Distinct words that are hashed together.
+HASHED_TOGETHER = 20_000
+
 #: Lengths of character sequences, in bytes of UTF-8; buckets of their rates, of word rates, and of embeddings.
 _SEQUENCES = (3, 4, 5, 6)
 _RATE_BUCKETS = 1 << 18
@@ -52,58 +55,60 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of some words, and of all their character sequences."""
+    """Buckets of some words, and of all their character sequences, as numbers of 32 bits."""
 
     def __init__(self, words: list[bytes]) -> None:
-        marked = b"".join(b"\x02%b\x03" % w for w in words)
-        data = np.frombuffer(marked, np.uint8).astype(np.uint64)
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
+        parts = [_hashed(words[at : at + HASHED_TOGETHER]) for at in range(0, len(words), HASHED_TOGETHER)]
         self.count = len(words)
-        of_byte = np.repeat(np.arange(len(words)), lengths)
-        left = np.cumsum(lengths)[of_byte] - np.arange(len(data))
-        sums = np.zeros(len(data), np.uint64)
-        found, owners, sizes = [], [], []
-        with np.errstate(over="ignore"):
-            for n in range(1, max(_SEQUENCES) + 1):
-                # The sequence of n bytes from each place, of the places that have as many left in their word.
-                reach = len(data) - n + 1
-                if reach <= 0:
-                    break
-                sums = sums[:reach] * np.uint64(0x100000001B3) + data[n - 1 :]
-                if n in _SEQUENCES:
-                    fits = left[:reach] >= n
-                    found.append(_mixed(sums[fits] + np.uint64(n)))
-                    owners.append(of_byte[:reach][fits])
-                    sizes.append(np.full(len(owners[-1]), n))
-            powers = np.cumprod(np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64))
-            place = np.arange(len(data)) - (np.cumsum(lengths) - lengths)[of_byte]
-            whole = data * powers[place]
-        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        self.sequences = (np.concatenate(found) if found else np.empty(0, np.uint64))[order]
-        #: Every word has a sequence: with its marks even a word of one byte has three.
-        self.owner = owner[order]
-        self.first = np.searchsorted(self.owner, np.arange(len(words) + 1))
-        # The shortest sequences have embeddings as well.
-        short = (np.concatenate(sizes) if sizes else owner)[order] == _SEQUENCES[0]
-        self.short, self.short_owner = self.sequences[short], self.owner[short]
-        self.short_first = np.searchsorted(self.short_owner, np.arange(len(words) + 1))
-        self.words = _mixed(np.add.reduceat(whole, np.cumsum(lengths) - lengths) if len(words) else whole)
-
-    def rate_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of words, after those of sequences."""
-        n = np.uint64(_RATE_BUCKETS)
-        return (self.words % n).astype(np.int64) + _RATE_BUCKETS, (self.sequences % n).astype(np.int64)
-
-    def embedding_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        high, n = np.uint64(40), np.uint64(_EMBEDDINGS)
-        return ((self.words >> high) % n).astype(np.int64), ((self.short >> high) % n).astype(np.int64)
+
+        def column(k: int) -> np.ndarray:
+            return np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int32)
+
+        #: Of each word: its rate, behind those of sequences, and its embedding.
+        self.rate_bucket, self.embedding_bucket = column(0) + _RATE_BUCKETS, column(1)
+        #: The rates of all its sequences and the embeddings of the shortest, from ``first[i]`` to ``first[i + 1]``.
+        self.sequences, self.first = column(2), np.append(0, np.cumsum(column(3)))
+        self.short, self.short_first = column(4), np.append(0, np.cumsum(column(5)))
+
+
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(b"".join(b"\x02%b\x03" % w for w in words), np.uint8).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    of_byte = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    place = np.arange(len(data)) - begins[of_byte]
+    left = lengths[of_byte] - place
+    rates, embeddings = np.uint64(_RATE_BUCKETS), np.uint64(_EMBEDDINGS)
+
+    def buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (hashes % rates).astype(np.int32), ((hashes >> np.uint64(40)) % embeddings).astype(np.int32)
+
+    sums = np.zeros(len(data), np.uint64)
+    found, owners, short, short_owner = [], [], np.empty(0, np.int32), np.empty(0, np.int32)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(max(_SEQUENCES), len(data)) + 1):
+            # The sequence of n bytes from each place, of the places that have as many left in their word.
+            reach = len(data) - n + 1
+            sums = sums[:reach] * np.uint64(0x100000001B3) + data[n - 1 :]
+            if n in _SEQUENCES:
+                fits = left[:reach] >= n
+                rate, embedding = buckets(_mixed(sums[fits] + np.uint64(n)))
+                found.append(rate)
+                owners.append(of_byte[:reach][fits])
+                if n == _SEQUENCES[0]:
+                    short, short_owner = embedding, owners[-1]
+        powers = np.cumprod(np.full(lengths.max(), 0x9E3779B97F4A7C15, np.uint64))
+        of_word = buckets(_mixed(np.add.reduceat(data * powers[place], begins)))
+    # Every word has a sequence: with its marks even a word of one byte has three.
+    owner = np.concatenate(owners)
+    sequences = np.concatenate(found)[np.argsort(owner, kind="stable")]
+    counts, short_counts = (np.bincount(own, minlength=len(words)) for own in (owner, short_owner))
+    return *of_word, sequences, counts, short, short_counts
 
 
 def inputs_of(words: Words, rates: np.ndarray, embeddings: dict[str, np.ndarray]) -> np.ndarray:
     """One input vector a word; the last row is the blank word."""
-    word_rate, sequence_rate = (rates[keys] for keys in words.rate_keys())
-    by_word, by_sequence = words.embedding_keys()
+    word_rate, sequence_rate = rates[words.rate_bucket], rates[words.sequences]
     out = np.zeros((words.count + 1, _INPUTS), np.float32)
     if words.count:
         first, short_first = words.first[:-1], words.short_first[:-1]
@@ -111,8 +116,8 @@ def inputs_of(words: Words, rates: np.ndarray, embeddings: dict[str, np.ndarray]
         out[:-1, 1] = np.maximum.reduceat(sequence_rate, first)
         out[:-1, 2] = np.add.reduceat(sequence_rate, first) / np.diff(words.first)
         out[:-1, 3] = 1
-        out[:-1, 4 : 4 + _EMBEDDED] = embeddings["word"][by_word]
-        sums = np.add.reduceat(embeddings["sequence"][by_sequence], short_first, axis=0)
+        out[:-1, 4 : 4 + _EMBEDDED] = embeddings["word"][words.embedding_bucket]
+        sums = np.add.reduceat(embeddings["sequence"][words.short], short_first, axis=0)
         out[:-1, 4 + _EMBEDDED :] = sums / np.diff(words.short_first)[:, None]
     return out
 
@@ -201,11 +206,10 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, folds: np.ndarray, seed:
     number_of: dict[bytes, int] = {}
     ids = [np.array([number_of.setdefault(w, len(number_of)) for w in text], np.int64) for text in texts]
     words = Words(list(number_of))
-    by_word, by_sequence = words.rate_keys()
 
     def keys(own: np.ndarray) -> np.ndarray:
         own = np.unique(own)
-        return np.unique(np.concatenate([by_word[own], by_sequence[_ranges(words.first, own)]]))
+        return np.unique(np.concatenate([words.rate_bucket[own], words.sequences[_ranges(words.first, own)]]))
 
     held = [keys(own) for own in ids]
     by_fold = {fold: _rates(held, toxic, folds == fold) for fold in range(_FOLDS)}
@@ -252,7 +256,7 @@ def _learn(network: Network, words: Words, ids, toxic, folds, by_fold, rng) -> N
         evidence = (base[folds[i], own, :2].max(axis=2) * mask).max(axis=1)
         chosen = np.unique(np.append(np.argsort(-evidence, kind="stable")[:2], rng.integers(len(starts))))
         parts.append((folds[i], i, own[chosen], mask[chosen]))
-    by_word, by_sequence = words.embedding_keys()
+    by_word, by_sequence = words.embedding_bucket, words.short
     embedded = slice(4, 4 + _EMBEDDED), slice(4 + _EMBEDDED, None)
     steps = Adam(network.parameters | {f"embedding_{k}": v for k, v in network.embeddings.items()}, RATE)
     share = np.clip(toxic.mean(), 0.05, 0.95)
