@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import IRREGULAR, LEARNT_TOGETHER, Memo, cut_ids, entry_bytes, piece_texts, pieces_of
+from .tokens import entry_bytes
 from .work import with_text, written
 
 BLOCK_CHARS = 2_000_000
@@ -50,11 +49,7 @@ _REPORT = (
 
 
 class Tokenizers:
-    """Both tokenizers, and the bytes of their tokens.
-
-    A regular text, in the sense of ``tokens``, is encoded by its pieces, as A's pre-tokenizer and B's pieces
-    never join characters across a space or a line break; every other text meets both tokenizers whole.
-    """
+    """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,65 +71,21 @@ class Tokenizers:
         self.b_lengths = np.array([len(b) for b in self.b_bytes])
         #: Numbers of both fit in this type, in the table of the first pass.
         self.stored = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
-        crossing = any("▁" in e.lstrip("▁") or "\n" in e for i, e in enumerate(entries) if not self._b.is_control(i))
-        self._by_pieces = not crossing and self._whole(["\n"])[0] is not None
-        self._irregular = re.compile(IRREGULAR + r"|^\s|\s$|▁|^$")
-        self._memo = Memo(self._learn)
 
-    def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text; none where the bytes of either differ from a space and the text."""
         a = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self._b.encode(texts, num_threads=1)
-        return [(np.array(x.ids, self.stored), np.array(y, self.stored)) for x, y in zip(a, b, strict=True)]
-
-    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both for each text; none where the bytes of either differ from a space and the text."""
-        found: list[tuple[bytes, bytes] | None] = []
-        for text, (a, b) in zip(texts, self._ids(texts), strict=True):
-            whole = b" " + text.encode()
+        out = []
+        for text, own_a, own_b in zip(texts, a, b, strict=True):
+            whole, ids = b" " + text.encode(), own_a.ids
             same = (
                 text != ""
-                and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole
-                and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole
+                and b"".join(map(self.a_bytes.__getitem__, ids)) == whole
+                and b"".join(map(self.b_bytes.__getitem__, own_b)) == whole
             )
-            found.append((a.tobytes(), b.tobytes()) if same else None)
-        return found
-
-    def _learn(self, pieces: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        """Ids of both for each piece behind another one; none where the bytes of either differ from its own."""
-        for at in range(0, len(pieces), LEARNT_TOGETHER):
-            texts = piece_texts(pieces[at : at + LEARNT_TOGETHER])
-            known = self._cut(texts) if all(len(t) > 1 for t in texts) else None
-            yield from known or [(self._cut([t]) or [None])[0] for t in texts]
-
-    def _cut(self, texts: list[str]) -> list[tuple[bytes, bytes]] | None:
-        """Ids of texts one behind the other, and behind a word; none where a token crosses an end of one."""
-        ((a, b),) = self._ids(["a" + "".join(texts)])
-        whole = b" a" + "".join(texts).encode()
-        for ids, entries in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(entries.__getitem__, ids.tolist())) != whole:
-                return None
-        ends = 2 + np.cumsum([0, *(len(t.encode()) for t in texts)])
-        of_a, of_b = cut_ids(a, self.a_lengths, ends), cut_ids(b, self.b_lengths, ends)
-        return None if of_a is None or of_b is None else list(zip(of_a, of_b))[1:]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for each text, none at all where their bytes are not those of a space and the text."""
-        pieces = [None if not self._by_pieces or self._irregular.search(t) else pieces_of(t) for t in texts]
-        distinct: set[str] = set()
-        for own in pieces:
-            if own:
-                own[0] = own[0][1:]  # behind the space put before the text, not a line break
-                distinct.update(own)
-        known = self._memo.know(distinct)
-        found: list[tuple[bytes, bytes] | None] = []
-        for own in pieces:
-            parts = [known[p] for p in own] if own else [None]
-            found.append(None if None in parts else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
-        left = [i for i, own in enumerate(found) if own is None]
-        for i, own in zip(left, self._whole([texts[i] for i in left]), strict=True):
-            found[i] = own
-        self._memo.forget_long(distinct)
-        return [tuple(np.frombuffer(x, self.stored) for x in own or (b"", b"")) for own in found]
+            out.append((np.array(ids if same else [], self.stored), np.array(own_b if same else [], self.stored)))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -148,31 +99,39 @@ class Alignment:
     def __init__(self, a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> None:
         self.a, self.b = a.astype(np.int64), b.astype(np.int64)
         self.a_ends, self.b_ends = np.cumsum(a_lengths[self.a]), np.cumsum(b_lengths[self.b])
-        # Between two neighbouring ends lie the bytes that one token of A and one of B share.
+        # Ends of both in one order, of equal ones A's first; how many of either come before each place.
         both = np.concatenate([self.a_ends, self.b_ends])
-        both.sort(kind="stable")
+        order = np.argsort(both, kind="stable")
+        both, of_a = both[order], order < len(self.a)
+        a_before = np.cumsum(of_a) - of_a
         new = np.ones(len(both), bool)
         new[1:] = both[1:] != both[:-1]
-        self.ends = both[new]
-        self.common = both[~new]
+        # Between two neighbouring ends lie the bytes that one token of A and one of B share.
+        self.ends, self.common = both[new], both[~new]
+        self._link_a = a_before[new]
+        self._link_b = np.flatnonzero(new) - self._link_a
+        # The group of a token is the number of common ends before its own.
+        groups = np.cumsum(~new)
+        self._a_group = groups[of_a]
+        self._b_group = groups[~of_a] - ~new[~of_a]
 
     def pairs(self) -> np.ndarray:
         """One number a link."""
-        own_a = self.a[np.searchsorted(self.a_ends, self.ends)]
-        return own_a << 32 | self.b[np.searchsorted(self.b_ends, self.ends)]
+        return self.a[self._link_a] << 32 | self.b[self._link_b]
 
     def group_codes(self) -> np.ndarray:
         """All ids in the order of their groups, A before B; three times the id, and what follows it:
         0 another of the group, 1 the group's B, 2 the next group."""
-        a_group, b_group = np.searchsorted(self.common, self.a_ends), np.searchsorted(self.common, self.b_ends)
         codes = np.empty(len(self.a) + len(self.b), np.int64)
-        for ids, group, others, side, follows in (
-            (self.a, a_group, b_group, "left", 1),
-            (self.b, b_group, a_group, "right", 2),
+        of_a, of_b = (np.bincount(own, minlength=len(self.common)) for own in (self._a_group, self._b_group))
+        before_a, before_b = np.cumsum(of_b) - of_b, np.cumsum(of_a)
+        for ids, group, before, follows in (
+            (self.a, self._a_group, before_a, 1),
+            (self.b, self._b_group, before_b, 2),
         ):
             last = np.ones(len(ids), bool)
             last[:-1] = group[1:] != group[:-1]
-            codes[np.arange(len(ids)) + np.searchsorted(others, group, side)] = 3 * ids + follows * last
+            codes[np.arange(len(ids)) + before[group]] = 3 * ids + follows * last
         return codes
 
 
