@@ -1,32 +1,43 @@
 """Removal of lines that are near-duplicates of an earlier line, by an exact set-similarity join.
 
-A line is the set of its words, as 58-bit hashes whose order is that of rarity: the words' frequencies, counted
-over all lines in ``FREQUENCY_BUCKETS`` buckets, come first in the bits.  Two lines with a Jaccard similarity of
-4/5 share a word among the rarest n - ceil(4n/5) + 1 of each (the prefix).  Lines that share one are compared
-by length, by the positions of the shared word, and by the parities of their words in 64 groups (128 for long
-lines); what is left is verified on the whole sets.
-
-Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  A prefix
-word that stands in fewer than ``HOT_LINES`` lines is joined with itself: no line gets more partners than that
-from it.  Under a more frequent word, every line meets only the earliest lines of ``PIVOTS`` parts first, and
-lines that these do not remove meet all earlier ones.
-
-All of it is DataFrame functions.  What reaches the driver are tables of fixed size, one small number an entry,
-which come back to the tasks as literals: frequencies, frequent prefix words, and lines to be verified.  The
-last two only sort rows beforehand; joins on the exact values follow.
+A line is the set of its words, as 58-bit hashes whose order is that of rarity: a level made from the words'
+counts over all lines comes first in the bits.  Two lines with a Jaccard similarity of 4/5 share a word among the
+rarest n - ceil(4n/5) + 1 of each (the prefix).  Lines that share one are compared by length, by the positions of
+the shared word, and by the parities of their words in 64 groups (128 for long lines); what is left is verified on
+the whole sets.
+
+Equal lines are settled by one aggregation, and only the first line of each set is posted.  Where a prefix word
+stands in ``HOT_LINES`` lines or more, it is posted together with each later word of a prefix longer by one, since
+similar lines share two words of that; and where such a pair is as frequent, with a third word.  Under three words
+that are frequent still, every line meets the earliest lines of ``PIVOTS`` parts first.
+
+Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  At first a line
+is verified with the one candidate that differs in the fewest parities; only lines which that one does not remove
+meet all their candidates.
+
+All of it is DataFrame functions.  Levels and frequent keys are tables of fixed size, a byte an entry, which come to
+the tasks as the value of a scalar subquery.  They only sort rows beforehand; joins on the exact values follow.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import with_text, written
+from .work import removed, with_text, written
 
-FREQUENCY_BUCKETS = 1 << 17
+FREQUENCY_BUCKETS = 1 << 20
 FLAG_BUCKETS = 1 << 19
 HOT_LINES = 64
 PIVOTS = 8
+#: Words of a prefix that a key may have.
+KEY_WORDS = 3
+#: A set of lines that holds this share of all lines is matched by a broadcast; there are no more of them than this.
+HOT_SETS = 1024
+#: Entries of a table that lie in one array.
+_BLOCK = 1 << 12
 #: Words from which a line has the parities of 128 groups.
 LONG_LINE = 48
 #: Jaccard similarity of at least 4/5.  With both sizes known, that is an overlap of 4/9 of their sum.
@@ -49,44 +60,77 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
-def _bucket(value: Column, buckets: int) -> Column:
-    return value.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+def _bits(value: Column, start: int, count: int) -> Column:
+    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit(count - 1).cast("long")).cast("int")
+
+
+class _Table:
+    """``size`` numbers of one byte, 0 where ``entries`` (bucket, value) has none and the largest where it has several."""
+
+    def __init__(self, entries: DataFrame, size: int):
+        self.size = size
+        spark = entries.sparkSession
+        every = spark.range(size).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("value"))
+        values = entries.select("bucket", F.col("value").cast("int").alias("value")).unionByName(every)
+        values = values.groupBy("bucket").agg(F.max("value").alias("value"))
+        block = F.floor(F.col("bucket") / _BLOCK).alias("block")
+        ordered = F.sort_array(F.collect_list(F.struct("bucket", "value")))
+        numbers = F.transform(ordered, lambda x: x["value"]).cast("array<tinyint>").alias("numbers")
+        self.blocks = written(values.groupBy(block).agg(numbers), "line-table")
+
+    def value(self) -> Column:
+        ordered = F.sort_array(F.collect_list(F.struct("block", "numbers")))
+        return self.blocks.agg(F.transform(ordered, lambda x: x["numbers"])).scalar()
+
+    def at(self, table: Column, value: Column, start: int = 0) -> Column:
+        """The entry for the bits of ``value`` from ``start`` on; ``table`` is what ``value()`` gave."""
+        block = min(_BLOCK, self.size)
+        low = block.bit_length() - 1
+        rows = F.get(table, _bits(value, start + low, self.size // block))
+        return F.get(rows, _bits(value, start, block))
 
 
-def _frequencies(docs: DataFrame) -> list[int]:
-    """For each bucket of words a number below 64 that grows with the logarithm of its count."""
+def _second(size: int) -> int:
+    """The first of the bits that give a word's second place in a table."""
+    return size.bit_length() - 1
+
+
+def _levels(docs: DataFrame) -> _Table:
+    """For words that occur more than once, a number below 64 that grows with the logarithm of the count.
+
+    A word has two places, and its level is the smaller entry: never below its own, and above it only where more
+    frequent words share both places.
+    """
     words = _lines(docs).select(F.explode(_split(F.col("words"))).alias("word"))
-    bucket = _bucket(F.xxhash64("word"), FREQUENCY_BUCKETS).alias("bucket")
-    counts = words.groupBy(bucket).count()
-    level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("count"))) + 1).cast("int")
-    table = [0] * FREQUENCY_BUCKETS
-    for at, value in counts.select("bucket", level).collect():
-        table[at] = value
-    return table
+    counts = words.groupBy(F.xxhash64("word").alias("word")).count().where("count > 1")
+    level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("count"))) + 1).cast("int").alias("value")
+    places = [_bits(F.col("word"), at, FREQUENCY_BUCKETS) for at in (0, _second(FREQUENCY_BUCKETS))]
+    return _Table(counts.select(F.explode(F.array(*places)).alias("bucket"), level), FREQUENCY_BUCKETS)
 
 
-def _flags(rows: DataFrame, key: Column) -> bytes:
+def _flags(keys: DataFrame, key: Column) -> _Table:
     """One where some row's key falls in the bucket."""
-    table = bytearray(FLAG_BUCKETS)
-    for (bucket,) in rows.select(_bucket(key, FLAG_BUCKETS).alias("bucket")).distinct().collect():
-        table[bucket] = 1
-    return bytes(table)
+    return _Table(keys.select(_bits(key, 0, FLAG_BUCKETS).alias("bucket"), F.lit(1).alias("value")), FLAG_BUCKETS)
+
 
+def _flagged(table: _Table, key: Column) -> Column:
+    return table.at(table.value(), key) == 1
 
-def _flagged(table: bytes, key: Column) -> Column:
-    entry = F.substring(F.lit(table), _bucket(key, FLAG_BUCKETS) + 1, F.lit(1))
-    return entry == F.lit(b"\x01")
 
+def _by_rarity(words: Column, levels: _Table, table: Column) -> Column:
+    def ordered(table: Column, word: Column) -> Column:
+        first, second = levels.at(table, word), levels.at(table, word, _second(FREQUENCY_BUCKETS))
+        top = F.call_function("shiftleft", F.least(first, second).cast("long") - 32, F.lit(58))
+        return top.bitwiseOR(F.shiftrightunsigned(word, 6))
 
-def _by_rarity(words: Column, frequencies: list[int]) -> Column:
-    # The optimizer turns this into one array, which the tasks share.
-    tops = ",".join(str((level - 32) << 58) for level in frequencies)
-    levels = F.split(F.lit(tops), ",").cast("array<bigint>")
+    # Bound by an outer function, the table is named once, so its projection becomes one with this one.
+    bound = F.transform(F.array(table), lambda t: F.transform(words, lambda word: ordered(t, word)))
+    return F.sort_array(F.get(bound, F.lit(0)))
 
-    def ordered(word: Column) -> Column:
-        return F.get(levels, _bucket(word, FREQUENCY_BUCKETS)).bitwiseOR(F.shiftrightunsigned(word, 6))
 
-    return F.sort_array(F.transform(words, ordered))
+def _shared(word: Column) -> Column:
+    """Whether the word may stand in a second line: its level is not 0."""
+    return word >= F.lit((1 - 32) << 58).cast("long")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -102,8 +146,8 @@ def _candidate(a: str, b: str) -> Column:
     """Line a is earlier, and length, position and parity filters let the pair pass."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     length = (_OF * na >= _SIMILAR * nb) & (_OF * nb >= _SIMILAR * na)
-    # The first shared word has its place in both prefixes, and no more overlap than what follows it.
-    left = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
+    # The first shared words are those of the key, and no more overlap than what follows them.
+    left = F.least(F.col(f"{a}.room"), F.col(f"{b}.room"))
     position = (_OF + _SIMILAR) * left >= _SIMILAR * (na + nb)
     # Sets that differ in d words differ in the parities of d groups at most.
     low, high = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("low", "high"))
@@ -114,12 +158,44 @@ def _candidate(a: str, b: str) -> Column:
     return length & position & few & (short | in_all) & _earlier(a, b)
 
 
+def _prefix_size(n: Column) -> Column:
+    """n - ceil(4n / 5) + 1."""
+    return n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1
+
+
+def _posted(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings under keys of fewer than ``HOT_LINES`` lines, and those under frequent keys of all words."""
+    own = ["doc_id", "line", "n", "low", "high"]
+    p = _prefix_size(F.col("n"))
+    rows = firsts.select(*own, "prefix", F.posexplode("prefix").alias("at", "key"))
+    rows = rows.where((F.col("at") < p) & _shared(F.col("key")))
+    rare = []
+    for words in range(1, KEY_WORDS + 1):
+        # Keys are spread anew: the upper bits of a word are its level.
+        spread = F.xxhash64("key")
+        frequent = rows.groupBy("key").count().where(F.col("count") >= HOT_LINES)
+        table = _flags(frequent, spread)
+        posting = [*own, (F.col("n") - F.col("at") + (words - 1)).alias("room"), "key"]
+        rare.append(rows.where(~_flagged(table, spread)).select(*posting))
+        hot = rows.where(_flagged(table, spread))
+        if words == KEY_WORDS:
+            break
+        rows = hot.select(*own, "prefix", "at", "key", F.posexplode("prefix").alias("next", "word"))
+        later = (F.col("next") > F.col("at")) & (F.col("next") < p + words) & _shared(F.col("word"))
+        rows = rows.where(later).select(
+            *own, "prefix", F.col("next").alias("at"), F.xxhash64("key", "word").alias("key")
+        )
+        rows = written(rows, "frequent-words")
+    return functools.reduce(DataFrame.unionByName, rare), written(hot.select(*posting), "frequent-keys")
+
+
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidates (a earlier, b later) that share a prefix word."""
-    joined = left.alias("a").join(right.alias("b"), (F.col("a.token") == F.col("b.token")) & _candidate("a", "b"))
+    """Candidates (a earlier, b later) that share a key, and in how many parities they differ; some repeat."""
+    joined = left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & _candidate("a", "b"))
+    odd = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")]
     return joined.select(
-        F.struct("a.doc_id", "a.line").alias("a"), F.struct("b.doc_id", "b.line").alias("b")
-    ).distinct()
+        F.struct("a.doc_id", "a.line").alias("a"), F.struct("b.doc_id", "b.line").alias("b"), (odd[0] + odd[1]).alias("odd")
+    )
 
 
 def _place_key(place: Column) -> Column:
@@ -141,7 +217,22 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     right = sets.select(F.col("place").alias("b"), F.col("set").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     similar = (_OF + _SIMILAR) * both >= _SIMILAR * (F.size("left") + F.size("right"))
-    return pairs.join(left, "a").join(right, "b").where(similar).select(F.col("b").alias("place")).distinct()
+    found = pairs.join(left, "a").join(right, "b").where(similar).select(F.col("b").alias("place")).distinct()
+    found = written(found, "matched")
+    removed(sets)
+    return found
+
+
+def _copies(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Places of lines whose set an earlier line has."""
+    equal = ["same", "check", "n"]
+    repeated = firsts.where("count > 1").select(*equal, F.struct("doc_id", "line").alias("first"), "count")
+    least = max(2, lines.count() // HOT_SETS + 1)
+    hot = F.broadcast(repeated.where(F.col("count") >= least))
+    places = lines.select(*equal, F.struct("doc_id", "line").alias("place"))
+    of_hot = places.join(hot, equal)
+    of_rest = places.join(hot, equal, "left_anti").join(repeated.where(F.col("count") < least), equal)
+    return of_hot.unionByName(of_rest).where("place <> first").select("place")
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
@@ -151,10 +242,10 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     counts whether or not it is removed itself.  Lines without words match nothing.  Rows that repeat a doc_id
     share their places: such a line goes where it goes in one of them.
     """
-    frequencies = _frequencies(docs)
+    levels = _levels(docs)
     n, ordered = F.size("set"), F.col("set")
-    # n - ceil(4n / 5) + 1; sets of up to three words are similar only when equal, and need no prefix.
-    prefix = F.when(n >= _SIMILAR, F.slice(ordered, F.lit(1), n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1))
+    # Sets of up to three words are similar only when equal, and need no prefix.
+    prefix = F.when(n >= _SIMILAR, F.slice(ordered, F.lit(1), _prefix_size(n) + (KEY_WORDS - 1)))
     one = F.lit(1).cast("long")
 
     def parity(words: Column) -> Column:
@@ -170,7 +261,9 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     # Told from the text, so that the sets are made once.
     has_words = F.trim(F.translate("words", "\t\x0b\x0c\r", "    ")) != ""
     sets = _lines(docs).where(has_words)
-    sets = sets.select("doc_id", "line", _by_rarity(_words(F.col("words")), frequencies).alias("set"))
+    # Analysis refuses a subquery as an argument of transform; as a column below it, it is one.
+    sets = sets.select("*", levels.value().alias("table"))
+    sets = sets.select("doc_id", "line", _by_rarity(_words(F.col("words")), levels, F.col("table")).alias("set"))
     lines = written(
         sets.select(
             "doc_id", "line", F.xxhash64("set", n).alias("same"), F.hash("set").alias("check"),
@@ -178,35 +271,29 @@ def matched_lines(docs: DataFrame) -> DataFrame:
         ).withColumn("low", F.col("every").bitwiseXOR(F.col("high"))).drop("every"),
         "lines",
     )
-    place = F.struct("doc_id", "line").alias("place")
-    equal = ["same", "check", "n"]
-    firsts = written(lines.groupBy(*equal).agg(F.min(place).alias("first")), "first-lines")
-    copies = lines.select(place, *equal).join(firsts, equal).where("place <> first").select("place")
+    first = F.min(F.struct("doc_id", "line", "low", "high", "prefix")).alias("first")
+    firsts = lines.groupBy("same", "check", "n").agg(first, F.count("*").alias("count"))
+    firsts = written(firsts.select("same", "check", "n", "count", "first.*"), "first-lines")
+    copies = written(_copies(lines, firsts), "copied-lines")
+    removed(lines)
 
-    posted = lines.where("prefix IS NOT NULL").select(
-        "doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("place", "token")
-    )
-    spread = F.xxhash64("token")
-    frequent = posted.groupBy("token").count().where(F.col("count") >= HOT_LINES)
-    table = _flags(frequent, spread)
-    rare = posted.where(~_flagged(table, spread))
-    pairs = written(_pairs(rare, rare), "line-pairs")
-
-    only_firsts = firsts.select("first.*")
-    at = [F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("p.line") == F.col("f.line")]
-    hot = posted.where(_flagged(table, spread)).alias("p").join(only_firsts.alias("f"), at, "left_semi")
-    hot = written(hot, "frequent-words")
+    rare, hot = _posted(firsts.where("prefix IS NOT NULL"))
     part = F.pmod(F.xxhash64("doc_id", "line"), F.lit(PIVOTS)).alias("part")
-    pivots = hot.groupBy("token", part).agg(F.min(F.struct("doc_id", "line", "n", "low", "high", "place")).alias("pivot"))
-    pivots = pivots.select("token", "pivot.*")
-    first_pairs = written(_pairs(pivots, hot), "pivot-pairs")
-
-    removed = written(_verified(docs, written(pairs.unionByName(first_pairs).distinct(), "line-pairs")), "matched")
-
-    open_rows = hot.alias("p").join(removed.select("place.*").alias("f"), at, "left_anti")
-    rest = _pairs(hot, open_rows).join(first_pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, written(rest, "line-pairs"))
-    return copies.unionByName(removed).unionByName(more).distinct().select("place.*")
+    pivots = hot.groupBy("key", part).agg(F.min(F.struct("doc_id", "line", "n", "low", "high", "room")).alias("pivot"))
+    pivots = pivots.select("key", "pivot.*")
+    met = _pairs(rare, rare).unionByName(_pairs(pivots, hot))
+    best = met.groupBy("b").agg(F.min(F.struct("odd", "a")).alias("best"))
+    best = written(best.select("best.a", "b"), "line-pairs")
+    matched = _verified(docs, best)
+
+    # Of rare keys a line had all its candidates before it, so only those with a candidate are open.
+    open_places = best.select(F.col("b").alias("place")).join(matched, "place", "left_anti").select("place.*")
+    at = [F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("p.line") == F.col("f.line")]
+    open_rare = rare.alias("p").join(open_places.alias("f"), at, "left_semi")
+    open_hot = hot.alias("p").join(matched.select("place.*").alias("f"), at, "left_anti")
+    rest = _pairs(rare, open_rare).unionByName(_pairs(hot, open_hot)).select("a", "b").distinct()
+    more = _verified(docs, written(rest.join(best, ["a", "b"], "left_anti"), "line-pairs"))
+    return copies.unionByName(matched).unionByName(more).distinct().select("place.*")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
