@@ -30,7 +30,8 @@ from .work import removed, with_text, written
 
 FREQUENCY_BUCKETS = 1 << 20
 FLAG_BUCKETS = 1 << 19
-HOT_LINES = 64
+#: Up to here, comparing a line with the others of a word costs less than posting it under pairs of words.
+HOT_LINES = 256
 PIVOTS = 8
 #: Words of a prefix that a key may have.
 KEY_WORDS = 3
@@ -182,10 +183,10 @@ def _posted(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         rows = hot.select(*own, "prefix", "at", "key", F.posexplode("prefix").alias("next", "word"))
         later = (F.col("next") > F.col("at")) & (F.col("next") < p + words) & _shared(F.col("word"))
+        # Made anew from the first lines by each reader: as a table they would be several times the text.
         rows = rows.where(later).select(
             *own, "prefix", F.col("next").alias("at"), F.xxhash64("key", "word").alias("key")
         )
-        rows = written(rows, "frequent-words")
     return functools.reduce(DataFrame.unionByName, rare), written(hot.select(*posting), "frequent-keys")
 
 
