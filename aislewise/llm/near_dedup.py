@@ -1,7 +1,7 @@
 """Near-duplicate groups by HyperMinHash, every link confirmed on the full sets.
 
-1. A text becomes the set of its word shingles, and the set 256 registers.  Texts of one set are one class
-   from here on, with the smallest doc_id as its representative.
+1. A text becomes the set of its word shingles, of 128 bits each, and the set 256 registers.  Texts of one set are
+   one class from here on, whatever their doc_ids; classes that share a doc_id are linked.
 2. Bands of six registers, empty ones filled from others, are bucket keys.  Two sets at the threshold of 0.85
    meet in none of the 42 bands with a chance of about 2e-9 (at 0.8, 3e-6).
 3. Each member of a bucket is compared with the bucket's smallest member on the full sets, and the links give
@@ -29,21 +29,27 @@ from .work import with_text, written
 
 BAND_ROWS = 6
 BLOCK = 512
+#: Sets that travel together.
+_SETS = 16
 #: Bits of the bucket number in the registers that estimates are made from.
 FINE_BITS = 10
 #: Standard errors below the threshold at which an estimate rules a pair out.
 ERRORS = 5.0
 
 
+def _set_key(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, registers = [], [], []
             for text in batch.column("text"):
                 own = S.shingle_set(text.as_py(), words)
-                sizes.append(len(own))
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                registers.append(S.registers(own).tobytes() if len(own) else None)
+                sizes.append(own.shape[1])
+                keys.append(_set_key(own) if own.shape[1] else None)
+                registers.append(S.registers(own[0]).tobytes() if own.shape[1] else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "registers"],
@@ -63,21 +69,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.concatenate(keys)),
                     pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))),
-                    pa.array(np.repeat(part.column("doc_id").to_numpy(), bands)),
+                    pa.array(np.repeat(part.column("class_id").to_numpy(), bands)),
                 ],
-                ["key", "band", "doc_id"],
+                ["key", "band", "class_id"],
             )
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(class_id, shingles) of the classes given, each made from a text of its representative."""
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (S.shingle_set(text.as_py(), words).tobytes() for text in batch.column("text"))
-            for doc_id, own in zip(batch.column("doc_id"), sets, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([own])], ["doc_id", "shingles"])
-
-    texts = with_text(docs).join(ids, "doc_id", "left_semi")
-    return written(texts.mapInArrow(full, "doc_id long, shingles binary"), "sets")
+            # A set may be as large as its text, so that few of them make a batch.
+            for at in range(0, batch.num_rows, _SETS):
+                texts = batch.column("text").slice(at, _SETS)
+                sets = [S.shingle_set(text.as_py(), words) for text in texts]
+                keys = [_set_key(own) for own in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())], ["set_key", "shingles"]
+                )
+
+    ids = classes.select(F.col("representative").alias("doc_id")).distinct()
+    made = with_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(full, "set_key binary, shingles binary")
+    # Rows that repeat a doc_id may have made a set several times.
+    rows = made.join(classes.select("set_key", "class_id"), "set_key").select("class_id", "shingles")
+    return written(rows.dropDuplicates(["class_id"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -87,25 +103,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                one = np.frombuffer(left.as_buffer(), np.uint64)
-                two = np.frombuffer(right.as_buffer(), np.uint64)
-                if len(one) > len(two):
-                    one, two = two, one
-                at = np.searchsorted(two, one)
-                both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                one, two = S.lanes(left.as_buffer()), S.lanes(right.as_buffer())
+                both = S.shared(one, two)
+                keep.append(100 * both >= percent * (one.shape[1] + two.shape[1] - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = (np.frombuffer(own.as_buffer(), np.uint64) for own in batch.column("shingles"))
+        sets = (S.lanes(own.as_buffer())[0] for own in batch.column("shingles"))
         fine = pa.array([S.registers(own, FINE_BITS).tobytes() for own in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fine], ["doc_id", "fine"])
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), fine], ["class_id", "fine"])
 
 
 def _least_estimate(used: np.ndarray, n: int, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -127,7 +139,8 @@ def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
     threshold = percent / 100
 
     def run(own: pa.Table) -> pa.RecordBatch:
-        ids, groups = own["doc_id"].to_numpy(), own["component"].to_numpy()
+        ids, groups = own["class_id"].to_numpy(), own["component"].to_numpy()
+        # A bucket of lent registers may hold a class twice, in two bands.
         _, unique = np.unique(ids, return_index=True)
         own = own.take(pa.array(unique))
         ids, groups, sizes = ids[unique], groups[unique], own["n_shingles"].to_numpy()
@@ -188,7 +201,7 @@ def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
             yield run(pa.Table.from_batches(held))
 
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64("doc_id"), blocks)
+    block = F.pmod(F.xxhash64("class_id"), blocks)
     dealt = (
         rows.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -213,43 +226,66 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.unionByName(new), "labels")
 
 
+def _classes(sketches: DataFrame) -> DataFrame:
+    """class_id, set_key, representative (its smallest doc_id), n_shingles, registers of every set that has a doc_id."""
+    linkable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    alike = linkable.groupBy("set_key").agg(
+        F.min("doc_id").alias("representative"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("registers").alias("registers"),
+    )
+    # Numbers are drawn once and written with their rows.
+    return written(alike.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+
+
+def _same_document(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a doc_id: all others of the doc_id with the first."""
+    of_rows = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    repeated = of_rows.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least < most")
+    several = of_rows.join(repeated, "doc_id").where("set_key <> least").select("least", "set_key").distinct()
+    a = classes.select(F.col("set_key").alias("least"), F.col("class_id").alias("a"))
+    return several.join(a, "least").join(classes.select("set_key", F.col("class_id").alias("b")), "set_key").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets; the component
     is the smallest doc_id that links reach.  A text without words, or null, has no shingle and is linked with
     nothing.  A row with a null doc_id is linked with nothing and has a null component; it is kept.  Rows that
-    repeat a doc_id are one document, with the links of all its texts.  An empty table gives no row; columns
-    other than ``doc_id`` and ``text`` are not read.
+    repeat a doc_id are one document, with the links of all its texts that have words.  An empty table gives no
+    row; columns other than ``doc_id`` and ``text`` are not read.
     """
     sketches = _sketches(docs, words)
-    linkable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("representative")), "classes")
-    chosen = classes.select("set_key", F.col("representative").alias("doc_id"))
-    one_of_each = linkable.join(chosen, ["set_key", "doc_id"], "left_semi")
-
-    bands = one_of_each.select("doc_id", "registers").mapInArrow(_bands, "key long, band int, doc_id long")
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("members"))
+    classes = _classes(sketches)
+    bands = classes.select("class_id", "registers").mapInArrow(_bands, "key long, band int, class_id long")
+    shared = bands.groupBy("key").agg(F.min("class_id").alias("pivot"), F.count("*").alias("members"))
     buckets = written(bands.join(shared.where("members > 1"), "key"), "buckets")
-    sets = _sets(docs, buckets.select("doc_id").distinct(), words)
+    met = classes.join(buckets.select("class_id").distinct(), "class_id", "left_semi")
+    sets = _sets(docs, met.select("class_id", "set_key", "representative"), words)
 
-    with_pivot = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(written(_confirmed(with_pivot.distinct(), sets, percent), "links"))
+    with_pivot = buckets.where("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b"))
+    confirmed = _confirmed(with_pivot.distinct(), sets, percent)
+    labels = components(written(confirmed.unionByName(_same_document(sketches, classes)), "links"))
 
-    fine = sets.mapInArrow(_fine, "doc_id long, fine binary")
-    coarse = one_of_each.select("doc_id", "n_shingles", "registers")
+    fine = sets.mapInArrow(_fine, "class_id long, fine binary")
+    coarse = classes.select("class_id", "n_shingles", "registers")
     for best_only in (True, False):
-        grouped = buckets.where("members > 2").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        grouped = grouped.withColumn("component", F.coalesce("component", "doc_id"))
+        grouped = buckets.where("members > 2").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
+        grouped = grouped.withColumn("component", F.coalesce("component", "class_id"))
         mixed = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         open_buckets = grouped.join(mixed.where("least < most").select("key"), "key")
-        rows = open_buckets.join(coarse, "doc_id").join(fine, "doc_id")
+        rows = open_buckets.join(coarse, "class_id").join(fine, "class_id")
         across = written(_across(rows, percent, best_only).distinct(), "across")
         labels = _joined(labels, written(_confirmed(across, sets, percent), "links"))
 
-    of_class = classes.join(labels.withColumnRenamed("id", "representative"), "representative", "left")
-    of_class = of_class.select("set_key", F.coalesce("component", "representative").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    of_class = classes.select("class_id", "set_key", "representative").join(
+        labels.withColumnRenamed("id", "class_id"), "class_id", "left"
+    )
+    of_class = of_class.withColumn("component", F.coalesce("component", "class_id"))
+    least = of_class.groupBy("component").agg(F.min("representative").alias("component_id"))
+    of_class = of_class.join(least, "component").select("set_key", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
         sketches.join(of_class, "set_key", "left")
         .select("doc_id", "n_shingles", component.alias("component_id"))

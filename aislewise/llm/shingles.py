@@ -1,4 +1,8 @@
-"""Word-shingle sets of whole texts as sorted 64-bit hashes, and HyperMinHash registers of such sets."""
+"""Word-shingle sets of whole texts as sorted 128-bit hashes, and HyperMinHash registers of such sets.
+
+A word's hash is a sum of its bytes, each times a number drawn for its place in the word, in two lanes of 64 bits
+whose numbers are drawn apart.  Such a sum has no texts that collide by their form, as a polynomial has.
+"""
 
 from __future__ import annotations
 
@@ -24,16 +28,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+#: Where the numbers of each lane begin in the sequence they are drawn from, and what joins words in it.
+_LANES = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+_JOINS = (_JOIN, _U(0x8EBC6AF09C88C6E3))
 _BYTE = mixed(np.arange(1, 257, dtype=_U) * _STEP) | _U(1)
-_powers = np.ones(1, _U)
+_drawn = np.empty((len(_LANES), 0), _U)
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
+def _places_to(n: int) -> np.ndarray:
+    """The number of each place in a word, for words of up to ``n`` bytes; one row a lane."""
+    global _drawn
+    if _drawn.shape[1] < n:
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.r_[_U(1), np.full(2 * n, _STEP)], dtype=_U)
-    return _powers
+            places = np.arange(2 * n, dtype=_U) * _STEP
+            _drawn = np.stack([mixed(places + lane) for lane in _LANES])
+    return _drawn
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -54,7 +63,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order; A-Z count as a-z."""
+    """A hash of each word, in order, one row a lane; A-Z count as a-z."""
     found = []
     for piece in _pieces(text.encode().lower()):
         codes = np.frombuffer(piece, np.uint8)
@@ -66,24 +75,64 @@ def word_hashes(text: str) -> np.ndarray:
         sizes = ends - starts
         first = np.cumsum(sizes) - sizes
         within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        values = _BYTE[codes[inside]]
         with np.errstate(over="ignore"):
-            values = _BYTE[codes[inside]] * _powers_to(int(sizes.max()))[within]
-            found.append(mixed(np.add.reduceat(values, first) + sizes.astype(_U)))
-    return np.concatenate(found) if found else np.empty(0, _U)
+            found.append(
+                np.stack([
+                    mixed(np.add.reduceat(values * places[within], first) + sizes.astype(_U))
+                    for places in _places_to(int(sizes.max()))
+                ])
+            )
+    return np.concatenate(found, axis=1) if found else np.empty((len(_LANES), 0), _U)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
-    """Distinct ``words``-word shingles, sorted; with fewer words, the whole sequence as one."""
+    """Distinct ``words``-word shingles, one a column, sorted; with fewer words, the whole sequence as one.
+
+    The first lane alone, ``[0]``, is a sorted set of 64-bit hashes, in which two shingles may meet.
+    """
     hashes = word_hashes(text)
-    if not len(hashes):
+    if not hashes.shape[1]:
         return hashes
-    size = min(words, len(hashes))
-    n = len(hashes) - size + 1
+    size = min(words, hashes.shape[1])
+    n = hashes.shape[1] - size + 1
+    lanes = []
     with np.errstate(over="ignore"):
-        joined = np.full(n, size, _U)
-        for i in range(size):
-            joined = joined * _JOIN + hashes[i : i + n]
-    return np.unique(mixed(joined))
+        for own, join in zip(hashes, _JOINS, strict=True):
+            joined = np.full(n, size, _U)
+            for i in range(size):
+                joined = joined * join + own[i : i + n]
+            lanes.append(mixed(joined))
+    return _distinct(*lanes)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    again = one[1:] == one[:-1]
+    if (two[1:][again] != two[:-1][again]).any():
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        again = one[1:] == one[:-1]
+    new = np.r_[True, ~again | (two[1:] != two[:-1])]
+    return np.stack([one[new], two[new]])
+
+
+def shared(one: np.ndarray, two: np.ndarray) -> int:
+    """Shingles that two sets have in common."""
+    if one.shape[1] > two.shape[1]:
+        one, two = two, one
+    if not one.shape[1]:
+        return 0
+    if any((own[0, 1:] == own[0, :-1]).any() for own in (one, two)):
+        return len(set(zip(*one.tolist())) & set(zip(*two.tolist())))
+    at = np.minimum(np.searchsorted(two[0], one[0]), two.shape[1] - 1)
+    return int(((two[0, at] == one[0]) & (two[1, at] == one[1])).sum())
+
+
+def lanes(own: memoryview | bytes) -> np.ndarray:
+    """A set as :func:`shingle_set` gives it, from its bytes."""
+    return np.frombuffer(own, np.uint64).reshape(len(_LANES), -1)
 
 
 # --- HyperMinHash ---------------------------------------------------------------------------------------------
