@@ -9,6 +9,7 @@ from aislewise.plans import jobs
 from aislewise.plans.registry import REPORTS
 from aislewise.plans.store import RollupStore
 from aislewise.session import build_session
+from aislewise.sources.counters import PassCounters
 from aislewise.sources.readers import FILES, read_relation, read_retail_folder
 
 
@@ -18,6 +19,10 @@ def _columnar(command: argparse.ArgumentParser) -> None:
     )
 
 
+def _counts(command: argparse.ArgumentParser) -> None:
+    command.add_argument("--counts", action="store_true", help="print how many lines each guard has met")
+
+
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="aislewise", description="Web-versus-store retail analytics")
     commands = main.add_subparsers(dest="command", required=True)
@@ -27,16 +32,19 @@ def parser() -> argparse.ArgumentParser:
     etl.add_argument("output")
     etl.add_argument("--table", action="store_true", help="write a columnar table instead of CSV")
     etl.add_argument("--tasks", type=int, help="deal the lines out to so many tasks (compressed logs)")
+    _counts(etl)
 
     presence = commands.add_parser("presence", help="tagged category presence")
     for name in ("weblog", "order_items", "products", "categories", "output"):
         presence.add_argument(name)
     _columnar(presence)
+    _counts(presence)
 
     coverage = commands.add_parser("coverage", help="product coverage")
     for name in ("weblog", "products", "output"):
         coverage.add_argument(name)
     _columnar(coverage)
+    _counts(coverage)
 
     for command, help_text in (
         ("clean-presence", "category presence on cleaned web categories"),
@@ -68,8 +76,9 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> None:
     given = parser().parse_args(arguments)
     spark = build_session()
+    counters = PassCounters() if getattr(given, "counts", False) else None
     if given.command == "etl":
-        jobs.convert_log(spark, given.logs, given.output, given.table, given.tasks)
+        jobs.convert_log(spark, given.logs, given.output, given.table, given.tasks, counters)
     elif given.command == "presence":
         jobs.presence_job(
             spark,
@@ -79,9 +88,10 @@ def main(arguments: list[str] | None = None) -> None:
             given.categories,
             given.output,
             given.columnar,
+            counters,
         )
     elif given.command == "coverage":
-        jobs.coverage_job(spark, given.weblog, given.products, given.output, given.columnar)
+        jobs.coverage_job(spark, given.weblog, given.products, given.output, given.columnar, counters)
     elif given.command == "update":
         store = RollupStore(spark, given.store, given.buckets)
         products = read_relation(spark, given.products, "products") if given.products else None
@@ -98,6 +108,8 @@ def main(arguments: list[str] | None = None) -> None:
             jobs.run_reports(
                 spark, tables, given.output, given.only, given.show, given.single_files
             )
+    for name, counts in (counters.counts() if counters else {}).items():
+        print(f"{name}: " + ", ".join(f"{counter} {lines}" for counter, lines in counts.items()))
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.text import CART_MARK, decode_url
+from aislewise.sources.counters import PassCounters
 
 # --- fixed values -----------------------------------------------------------
 # A line is a visit followed by one of four requests.  The requests are tried in this
@@ -63,7 +64,9 @@ _USUAL_REQUESTS = tuple(
 )
 
 
-def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
+def parse_access_log(
+    lines: DataFrame, line_column: str = "value", counters: PassCounters | None = None
+) -> DataFrame:
     """One row per line whose request matches and whose status is 200.
 
     A line that matches a pattern with another status is dropped; later patterns are
@@ -73,6 +76,9 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
     back; only what is left over is searched by the patterns.  Both give a list of parts.
     The one-element ``explode`` keeps the optimizer from copying this work into the filters
     above it, where it would run a second time.
+
+    ``counters`` count, as ``log``, the lines of each kind of request whatever their status,
+    those that match none, those dropped for their status, and those cut without a search.
     """
     line, cut = F.col("line"), F.col("cut")
     both = lines.select(F.col(line_column).alias("line"), _cut(F.col(line_column)).alias("cut"))
@@ -86,6 +92,16 @@ def parse_access_log(lines: DataFrame, line_column: str = "value") -> DataFrame:
 
     # Lines without a match have no parts.
     status = F.concat(*[part(name) for name in _STATUS_OF.values()])
+    if counters is not None:
+        kinds = {kind or "page": part(name) != "" for kind, name in _STATUS_OF.items()}
+        parsed = counters.watch(
+            "log",
+            parsed,
+            **kinds,
+            unmatched=status.isNull(),
+            other_status=status != OK_STATUS,
+            cut_directly=part("datetime") != "",
+        )
     parsed = parsed.where(status == OK_STATUS)
 
     raw_product = decode_url(part("product"))

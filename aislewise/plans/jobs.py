@@ -13,6 +13,7 @@ from aislewise.operators.weblog import parse_access_log
 from aislewise.plans.categories import category_presence_clean, category_presence_tagged
 from aislewise.plans.products import product_coverage
 from aislewise.plans.registry import REPORTS
+from aislewise.sources.counters import PassCounters
 from aislewise.sources.readers import (
     MIN_FIELDS_COVERAGE,
     MIN_FIELDS_PRESENCE,
@@ -32,10 +33,15 @@ from aislewise.sources.sinks import (
 
 
 def convert_log(
-    spark: SparkSession, logs: str, output: str, as_table: bool = False, tasks: int | None = None
+    spark: SparkSession,
+    logs: str,
+    output: str,
+    as_table: bool = False,
+    tasks: int | None = None,
+    counters: PassCounters | None = None,
 ) -> None:
     """Access log to structured rows, as header-less CSV or as a columnar table."""
-    weblog = parse_access_log(read_access_log(spark, logs, tasks))
+    weblog = parse_access_log(read_access_log(spark, logs, tasks), counters=counters)
     if as_table:
         write_weblog_table(weblog, output)
     else:
@@ -50,6 +56,7 @@ def presence_job(
     categories: str,
     output: str,
     columnar: Collection[str] = (),
+    counters: PassCounters | None = None,
 ) -> None:
     """Tagged category presence over CSV lines of sufficient width, without a header."""
     paths = {
@@ -58,16 +65,21 @@ def presence_job(
         "products": products,
         "categories": categories,
     }
-    tables = _line_tables(spark, paths, MIN_FIELDS_PRESENCE, columnar)
+    tables = _line_tables(spark, paths, MIN_FIELDS_PRESENCE, columnar, counters)
     write_presence_lines(category_presence_tagged(tables), output)
 
 
 def coverage_job(
-    spark: SparkSession, weblog: str, products: str, output: str, columnar: Collection[str] = ()
+    spark: SparkSession,
+    weblog: str,
+    products: str,
+    output: str,
+    columnar: Collection[str] = (),
+    counters: PassCounters | None = None,
 ) -> None:
     """Product coverage over CSV lines of sufficient width."""
     paths = {"weblog": weblog, "products": products}
-    tables = _line_tables(spark, paths, MIN_FIELDS_COVERAGE, columnar)
+    tables = _line_tables(spark, paths, MIN_FIELDS_COVERAGE, columnar, counters)
     write_coverage(product_coverage(tables), output)
 
 
@@ -81,16 +93,18 @@ def _line_tables(
     paths: dict[str, str],
     min_fields: dict[str, int],
     columnar: Collection[str],
+    counters: PassCounters | None,
 ) -> RetailTables:
     """CSV relations with the places of their rows, so that the last of a repeated id counts.
 
-    Relations named in ``columnar`` are Parquet, which has no lines and no width.
+    Relations named in ``columnar`` are Parquet, which has no lines and no width: nothing is
+    counted of them.
     """
 
     def opener(name: str, path: str):
         if name in columnar:
             return lambda: read_table(spark, path, name)
-        return lambda: read_relation(spark, path, name, min_fields[name], placed=True)
+        return lambda: read_relation(spark, path, name, min_fields[name], placed=True, counters=counters)
 
     return RetailTables({name: opener(name, path) for name, path in paths.items()})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aislewise.sources.counters import PassCounters
 from aislewise.sources.relations import PLACE, SCHEMAS, RetailTables
 
 _RAGGED = "_ragged_line"
@@ -49,6 +50,7 @@ def read_relation(
     relation: str,
     min_fields: int | None = None,
     placed: bool = False,
+    counters: PassCounters | None = None,
     **options: str,
 ) -> DataFrame:
     """A header-less CSV relation; empty fields, quoted or not, are NULL.
@@ -57,6 +59,10 @@ def read_relation(
     counted; a longer or shorter line that has enough of them stays, its missing fields
     NULL.  With ``placed``, a further column orders rows as they stand in the files, by the
     file's path, the block's start and the row within it.
+
+    ``counters`` count, under the relation's name, its lines, those too short to be used, and
+    those used although their width is not the relation's.  Blank lines are no lines.  Without
+    ``min_fields`` all lines are used, and none are counted.
     """
     schema = SCHEMAS[relation]
     more = []
@@ -77,6 +83,9 @@ def read_relation(
     # Only lines of an unexpected width carry their text, so only these are counted.
     given = [F.when(F.col(name).isNotNull(), i) for i, name in enumerate(schema.names, 1)]
     width = F.coalesce(field_count(F.col(_RAGGED)), F.greatest(*given))
+    if counters is not None:
+        used = F.coalesce(width >= min_fields, F.lit(False))
+        rows = counters.watch(relation, rows, too_short=~used, other_width=used & F.col(_RAGGED).isNotNull())
     return rows.where(width >= min_fields).drop(_RAGGED)
 
 

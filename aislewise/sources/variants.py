@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislewise.operators.weblog import parse_access_log
 from aislewise.plans.jobs import working_folder
 from aislewise.plans.store import RollupStore
-from aislewise.sources.readers import MIN_FIELDS_PRESENCE, read_relation
+from aislewise.sources.counters import PassCounters
+from aislewise.sources.readers import MIN_FIELDS_PRESENCE, read_relation, spread
 from aislewise.sources.relations import PLACE, RetailTables
 from aislewise.sources.storefront import access_log, storefront_tables
 
@@ -25,6 +27,14 @@ _PRODUCT_LINE = """
     END"""
 
 
+# Lines that match no request, and lines with something before the visitor.
+_UNTIDY_LINE = """
+    CASE length(value) % 7
+      WHEN 0 THEN replace(value, ' HTTP/', ' FTP/')
+      WHEN 1 THEN concat('proxy ', value)
+      ELSE value END AS value"""
+
+
 def untidy_order_dates(tables: RetailTables) -> RetailTables:
     """Order dates with a fraction, or with fields of one digit."""
     date = F.col("order_date")
@@ -53,11 +63,30 @@ def repeated_ids(tables: RetailTables) -> RetailTables:
 
 def products_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """product_id, cat_id, product_name of lines wide enough, written as text and read again."""
+    read = read_relation(spark, _product_lines(spark, sf_dir), "products", MIN_FIELDS_PRESENCE["products"], placed=True)
+    return read.select("product_id", "cat_id", "product_name")
+
+
+def _product_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a text file of product lines."""
     folder = f"{working_folder(spark, '/tmp')}/product-lines-{uuid.uuid4().hex}"
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     part.selectExpr(f"{_PRODUCT_LINE} AS value").write.text(folder)
-    read = read_relation(spark, folder, "products", MIN_FIELDS_PRESENCE["products"], placed=True)
-    return read.select("product_id", "cat_id", "product_name")
+    return folder
+
+
+def lines_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, counter, lines: what the pass over a log and over product lines, neither tidy, keeps and drops."""
+    counters = PassCounters()
+    events, part = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("events", "part"))
+    log = access_log(spread(events, spark.sparkContext.defaultParallelism), part).selectExpr(_UNTIDY_LINE)
+    products = read_relation(
+        spark, _product_lines(spark, sf_dir), "products", MIN_FIELDS_PRESENCE["products"], counters=counters
+    )
+    for rows in (parse_access_log(log, counters=counters), products):
+        rows.write.format("noop").mode("overwrite").save()
+    found = [(source, *count) for source, counts in counters.counts().items() for count in counts.items()]
+    return spark.createDataFrame(found, "source string, counter string, lines long")
 
 
 def stored_rollups(spark: SparkSession, sf_dir: str, buckets: int = 8) -> RetailTables:

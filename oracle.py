@@ -104,6 +104,32 @@ weblog AS (
          status AS respCode
   FROM pieces WHERE status = '200')"""
 
+_LINES_COUNTED = f""",
+untidy AS (
+  SELECT CASE length(value) % 7 WHEN 0 THEN replace(value, ' HTTP/', ' FTP/')
+                                WHEN 1 THEN concat('proxy ', value) ELSE value END AS value
+  FROM weblog_raw),
+untidy_kinds AS (SELECT value, {_KIND} AS kind FROM untidy),
+met AS (SELECT value, kind, CASE WHEN kind IS NOT NULL THEN {_STATUS} END AS status FROM untidy_kinds),
+lines AS (
+  SELECT 'log' AS source, unnest([
+    {{'counter': 'lines', 'lines': count(*)}},
+    {{'counter': 'product', 'lines': count(*) FILTER (kind = 'product')}},
+    {{'counter': 'category', 'lines': count(*) FILTER (kind = 'category')}},
+    {{'counter': 'department', 'lines': count(*) FILTER (kind = 'department')}},
+    {{'counter': 'page', 'lines': count(*) FILTER (kind = 'page')}},
+    {{'counter': 'unmatched', 'lines': count(*) FILTER (kind IS NULL)}},
+    {{'counter': 'other_status', 'lines': count(*) FILTER (status <> '200')}},
+    {{'counter': 'cut_directly', 'lines': count(*) FILTER (kind IS NOT NULL AND NOT starts_with(value, 'proxy '))}}]) AS count
+  FROM met
+  UNION ALL
+  SELECT 'products', unnest([
+    {{'counter': 'lines', 'lines': count(*)}},
+    {{'counter': 'too_short', 'lines': count(*) FILTER (p_partkey % 6 IN (1, 3, 5))}},
+    {{'counter': 'other_width', 'lines': count(*) FILTER (p_partkey % 6 IN (2, 4))}}])
+  FROM part)
+SELECT source, count.counter AS counter, count.lines AS lines FROM lines"""
+
 _CATEGORY_PAGES = "pageType IN ('add_to_cart', 'product', 'category') AND category IS NOT NULL AND category <> ''"
 _CART_ADDS = "pageType = 'add_to_cart' AND product IS NOT NULL AND product <> ''"
 _KEY = "lower(trim({}))".format
@@ -456,6 +482,7 @@ FROM tiers""",
             ),
             _HOUR_REPORT,
         ),
+        "lines_counted": _with(*base, _LINES_COUNTED),
         "products_from_lines": """
 SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_brand AS cat_id,
        CASE p_partkey % 6 WHEN 2 THEN concat(p_name, ', boxed') ELSE p_name END AS product_name

@@ -16,6 +16,8 @@ from aislewise.operators.channels import RAW_STAMP_TIME
 from aislewise.operators.presence import last_row_per_key
 from aislewise.plans import hours, jobs
 from aislewise.plans.registry import REPORTS
+from aislewise.sources import sinks
+from aislewise.sources.counters import PassCounters
 from aislewise.sources.readers import (
     field_count,
     read_access_log,
@@ -259,3 +261,83 @@ def test_working_folder_is_the_clusters(spark):
     assert jobs.working_folder(spark, "mine") == (configured or "mine")
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
     assert jobs.working_folder(unset, "mine") == "mine"
+
+
+def tasks_of_stages(spark, group):
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return [stage.numTasks for stage in stages if stage]
+
+
+@pytest.mark.parametrize("joins", [True, False])
+def test_one_file_of_many_parts(spark, tmp_path, monkeypatch, joins):
+    """A report of many sorted parts becomes one file, without a task that has all rows."""
+    if not joins:
+        monkeypatch.setattr(sinks, "_joins_files", lambda *_: False)
+    frame = spark.range(1000).selectExpr("id AS k", "if(id % 10 = 0, NULL, concat('é,', id)) AS name")
+    # Parts that are empty are no use to a file system that joins blocks.
+    parts = frame.repartitionByRange(7, "k").sortWithinPartitions("k").where("k < 150 OR k > 600")
+    path = tmp_path / "out" / "report"
+    group = f"one-file-{joins}"
+    for _ in range(2):
+        spark.sparkContext.setJobGroup(group, group)
+        write_report(parts, str(path), single_file=True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(glob.glob(f"{path}/part-*")) == 1 and os.listdir(path.parent) == ["report"]
+    assert not [name for name in os.listdir(path) if name.startswith("_") and name != "_SUCCESS"]
+    wanted = [f'{k},{chr(34)}{"" if k % 10 == 0 else f"é,{k}"}{chr(34)}' for k in range(1000) if k < 150 or k > 600]
+    assert text_of(path) == ["k,name", *wanted]
+    read = spark.read.csv(str(path), header=True)
+    assert read.columns == ["k", "name"] and read.count() == len(wanted)
+    if joins:
+        assert 1 not in tasks_of_stages(spark, group)
+
+
+def test_one_file_without_rows_or_with_odd_names(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 2)], ["a,b", 'say "x"'])
+    write_report(frame, str(tmp_path / "odd"), single_file=True)
+    frame.coalesce(1).write.csv(str(tmp_path / "plain"), header=True)
+    assert text_of(tmp_path / "odd")[0] == text_of(tmp_path / "plain")[0]
+    write_report(frame.where("`a,b` > 1"), str(tmp_path / "none"), single_file=True)
+    assert text_of(tmp_path / "none") == text_of(tmp_path / "odd")[:1]
+
+
+def test_a_failed_report_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "r")
+    write_report(spark.range(3), path, single_file=True)
+    with pytest.raises(Exception, match="stop here"):
+        write_report(spark.range(3).selectExpr("if(id = 2, raise_error('stop here'), id) AS id"), path, single_file=True)
+    assert text_of(path) == ["id", "0", "1", "2"] and os.listdir(tmp_path) == ["r"]
+
+
+def test_guards_are_counted_in_the_same_pass(spark, tmp_path, data, capsys):
+    log = [*LOG, "no line of a log", "", line("/home").replace("[", "{"), "x " + line("/home")]
+    (tmp_path / "more.log").write_text("\n".join(log) + "\n")
+    main(["etl", str(tmp_path / "more.log"), str(tmp_path / "weblog"), "--counts"])
+    assert capsys.readouterr().out.splitlines()[-1] == (
+        "log: lines 9, product 2, category 1, department 0, page 3, unmatched 3, other_status 1, cut_directly 5"
+    )
+    main(["etl", str(tmp_path / "access.log"), str(data / "weblog.csv")])
+    inputs = [str(data / name) for name in ("weblog.csv", "full_order_items.csv", "products.csv", "categories.csv")]
+    main(["presence", *inputs, str(tmp_path / "presence"), "--counts"])
+    printed = set(capsys.readouterr().out.splitlines())
+    assert "products: lines 3, too_short 1, other_width 0" in printed
+    assert "categories: lines 3, too_short 0, other_width 0" in printed
+    # Lines of the home page have six fields that are not empty, the status among them.
+    assert "weblog: lines 4, too_short 0, other_width 0" in printed
+    assert "order_items: lines 3, too_short 0, other_width 0" in printed
+
+
+def test_counters_of_no_lines_and_of_one_name_twice(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "wide.csv").write_text("1,2,c,d,9.0,u,more\n,,,,\n7\n5,6,a\n")
+    counters = PassCounters()
+    assert read_relation(spark, str(tmp_path / "empty.csv"), "products", 3, counters=counters).collect() == []
+    assert counters.counts() == {"products": {"lines": 0, "too_short": 0, "other_width": 0}}
+    with pytest.raises(ValueError, match="watched already"):
+        read_relation(spark, str(tmp_path / "empty.csv"), "products", 3, counters=counters)
+    counters = PassCounters()
+    rows_read = read_relation(spark, str(tmp_path / "wide.csv"), "products", 3, counters=counters)
+    # A frame that is used twice in a plan is counted once.
+    assert rows_read.join(rows_read.select("product_id"), "product_id").count() == 2
+    assert counters.counts() == {"products": {"lines": 4, "too_short": 2, "other_width": 2}}
