@@ -146,11 +146,11 @@ def write_token_files(
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path).encode_column
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(doc_ids, encode(t.as_py() for t in batch.column("text")), strict=True):
+            for doc_id, ids in zip(doc_ids, encode(batch.column("text")), strict=True):
                 writer = writer or _ShardWriter(folder, shard, sequence_tokens, wide)
                 writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer:

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import crc
 from tokenizers import Tokenizer
@@ -45,6 +46,31 @@ def test_piece_memo_gives_the_librarys_ids(byte_bpe, monkeypatch):
     assert found == library_ids(byte_bpe, texts)
 
 
+def test_columns_of_texts_give_the_librarys_ids(byte_bpe, monkeypatch):
+    """Each distinct piece of a slice is looked up once, and known ones do not meet the library again."""
+    texts = ["one two\nthree one", "x" * 70 + " one " + "x" * 70, "\n", " ", "\u2003a b"]
+    texts += [*random_texts(3000, seed=8), *texts]
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 3000)
+    encoder = tokens.PieceEncoder(queries.BYTE_BPE)
+    learnt = collections.Counter()
+    learn = encoder._learn
+    encoder._memo._learn = lambda pieces: learnt.update(pieces) or learn(pieces)
+    column = pa.array(["cut off", *texts]).slice(1)
+    found = [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_column(column)]
+    assert found == library_ids(byte_bpe, texts)
+    assert learnt["one"] == 1 and learnt["x" * 70] > 1
+    assert list(encoder.encode_column(pa.array([], pa.string()))) == []
+
+
+def test_special_strings_as_text(byte_bpe):
+    texts = random_texts(2000, seed=9)
+    plain = Tokenizer.from_file(queries.BYTE_BPE)
+    plain.encode_special_tokens = True
+    encoder = tokens.PieceEncoder(queries.BYTE_BPE, specials_as_text=True, memo_pieces=30)
+    found = [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)]
+    assert found == library_ids(plain, texts) != library_ids(byte_bpe, texts)
+
+
 def test_transducer_counts_as_the_library(byte_bpe, monkeypatch):
     texts = random_texts(4000)
     wanted = [len(i) for i in library_ids(byte_bpe, texts)]
