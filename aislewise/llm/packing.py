@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     arrow_schema = pa.schema([(f.name, pa.int64()) for f in SCHEMA])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path).encode_column
         sequence = TaskContext.get().partitionId() << WINDOW_BITS
         rows: list[tuple] = []
 
@@ -185,7 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
         packer = SumOfSquares(capacity, emit)
         for one in batches:
             ids = one.column("doc_id").to_pylist()
-            for doc_id, encoded in zip(ids, encode(t.as_py() for t in one.column("text")), strict=True):
+            for doc_id, encoded in zip(ids, encode(one.column("text")), strict=True):
                 encoded += end
                 packer.add(Piece(doc_id, 0, encoded, len(encoded) // 4))
                 if len(rows) >= BATCH_PIECES:
