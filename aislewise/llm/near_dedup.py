@@ -8,9 +8,10 @@
    components.  A bucket whose members are then in one component is done.
 4. In the others, members of different components are compared: first by the collision-corrected estimate from
    1,024 registers, which passes everything that is not five standard errors below the threshold, then on the
-   full sets.  Large buckets are cut into blocks, and every two blocks meet, so no task holds a whole bucket.
-   In a first round each member sends on its best partner alone, which joins most of what is one component;
-   in a second one all pairs that are still across components go on, each from the first band they share.
+   full sets.  Large buckets are cut into blocks, so no task holds a whole bucket.  In a first round each member
+   sends on its best partner in its own block alone, which joins most of what is one component.  In a second one
+   all pairs that are still across components go on, each from the first band they share: the blocks of a
+   bucket's largest component meet those of its other rows, and these meet each other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -131,10 +132,48 @@ def _least_estimate(used: np.ndarray, n: int, m: np.ndarray, threshold: float) -
     return threshold - ERRORS * error - 1 / np.maximum(used, 1)
 
 
+def _blocks(rows: str | Column) -> Column:
+    return F.ceil(rows / F.lit(BLOCK)).cast("long")
+
+
+def _mixed(grouped: DataFrame, best_only: bool) -> DataFrame:
+    """The keys of buckets with several components; but for ``best_only``, with the largest one and its rows."""
+    if best_only:
+        ends = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        return ends.where("least < most").select("key")
+    n_rows = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = n_rows.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n_components"))
+    return most.where("n_components > 1").select("key", F.col("most.n").alias("n_largest"), F.col("most.component").alias("largest"))
+
+
+def _dealt(rows: DataFrame, best_only: bool) -> DataFrame:
+    """The rows of every bucket with their ``block``, and the runs (key, low, high) of one block or two to be compared.
+
+    With ``best_only``, each block is a run of its own, so no row is repeated.  Otherwise a bucket's largest
+    component (``largest``, of ``n_largest`` rows) has blocks of its own behind those of all other rows, and only
+    the others' blocks meet every block: rows of that component are as many as before for up to ``BLOCK`` others.
+    """
+    number = F.xxhash64("class_id")
+    if best_only:
+        block = F.pmod(number, _blocks(F.col("members")))
+        return rows.withColumn("block", block).withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+    of_others, of_largest = _blocks(F.col("members") - F.col("n_largest")), _blocks(F.col("n_largest"))
+    other = F.col("component") != F.col("largest")
+    block = F.when(other, F.pmod(number, of_others)).otherwise(of_others + F.pmod(number, of_largest))
+    n_met = F.when(other, of_others + of_largest).otherwise(of_others)
+    return (
+        rows.withColumn("block", block)
+        .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), n_met - 1)))
+        .withColumn("low", F.least("block", "met"))
+        .withColumn("high", F.greatest("block", "met"))
+        .drop("met", "members", "largest", "n_largest")
+    )
+
+
 def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """Pairs (a, b) of different components in one bucket whose estimates do not rule them out.
 
-    With ``best_only``, each row's best partner in another component alone.
+    With ``best_only``, each row's best partner in another component alone, of those in its own block.
     """
     threshold = percent / 100
 
@@ -200,17 +239,9 @@ def _across(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
         if held:
             yield run(pa.Table.from_batches(held))
 
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64("class_id"), blocks)
-    dealt = (
-        rows.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .drop("other", "members")
-    )
     place = ["key", "low", "high"]
-    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(walk, "a long, b long")
+    dealt = _dealt(rows, best_only).repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(walk, "a long, b long")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -273,8 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for best_only in (True, False):
         grouped = buckets.where("members > 2").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
         grouped = grouped.withColumn("component", F.coalesce("component", "class_id"))
-        mixed = grouped.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        open_buckets = grouped.join(mixed.where("least < most").select("key"), "key")
+        mixed = _mixed(grouped, best_only)
+        open_buckets = grouped.join(mixed, "key")
         rows = open_buckets.join(coarse, "class_id").join(fine, "class_id")
         across = written(_across(rows, percent, best_only).distinct(), "across")
         labels = _joined(labels, written(_confirmed(across, sets, percent), "links"))

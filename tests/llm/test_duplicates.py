@@ -238,3 +238,26 @@ def test_lines_are_cut_out(make_docs):
 def test_line_join_runs_no_python(make_docs):
     plan = line_dedup.line_report(make_docs([(1, "a b\nc", None, None, None)]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_of_the_largest_component_are_dealt_once_for_each_block_of_others(spark, monkeypatch):
+    """All pairs across components meet in one run, and rows do not grow with the square of a bucket."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rows = [(7, i, 0 if i >= 20 else i + 1, 1000) for i in range(1000)] + [(8, i, i % 2, 3) for i in range(3)]
+    bucket = spark.createDataFrame(rows, "key long, class_id long, component long, members long")
+    largest = spark.createDataFrame([(7, 980, 0), (8, 2, 0)], "key long, n_largest long, largest long")
+    dealt = near_dedup._dealt(bucket.join(largest, "key"), best_only=False).collect()
+    assert len(dealt) <= 4 * 1000
+    runs = collections.defaultdict(list)
+    for row in dealt:
+        runs[row.key, row.low, row.high].append(row)
+    met = collections.Counter()
+    for (key, low, high), own in runs.items():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if a.component != b.component and (low == high or a.block != b.block):
+                    met[key, *sorted((a.class_id, b.class_id))] += 1
+    component = {(key, i): c for key, i, c, _ in rows}
+    wanted = {(key, i, j) for key, i in component for at, j in component if at == key and i < j and component[key, i] != component[key, j]}
+    assert set(met) == wanted and set(met.values()) == {1}
+    assert near_dedup._dealt(bucket.join(largest, "key"), best_only=True).count() == len(rows)
