@@ -29,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import entry_bytes
+from .tokens import PieceEncoder
 from .work import with_text, written
 
 BLOCK_CHARS = 2_000_000
+#: Pieces of a generation of A's memo.
+MEMO_PIECES = 60_000
 CELL_PAIRS = 8192
 BLOCKS_TOGETHER = 256
 FAN = 16
@@ -54,14 +56,11 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_file(a_path)
-        self._a.no_truncation()
-        self._a.no_padding()
-        self._a.encode_special_tokens = True
+        # A memo this small takes some 20 MB a worker.
+        self._a = PieceEncoder(a_path, specials_as_text=True, memo_pieces=MEMO_PIECES)
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a_bytes = entry_bytes(a_path, self._a.get_vocab())
+        self.a_bytes = self._a.entries
         entries = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.b_bytes = [
             bytes([int(entry[3:-1], 16)]) if self._b.is_byte(i) else entry.replace("▁", " ").encode()
@@ -74,17 +73,18 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none where the bytes of either differ from a space and the text."""
-        a = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        a = self._a.encode([" " + t for t in texts])
         b = self._b.encode(texts, num_threads=1)
+        none = np.empty(0, self.stored)
         out = []
-        for text, own_a, own_b in zip(texts, a, b, strict=True):
-            whole, ids = b" " + text.encode(), own_a.ids
+        for text, of_a, own_b in zip(texts, a, b, strict=True):
+            whole, own_a = b" " + text.encode(), np.frombuffer(of_a, "<u4")
             same = (
                 text != ""
-                and b"".join(map(self.a_bytes.__getitem__, ids)) == whole
+                and b"".join(map(self.a_bytes.__getitem__, own_a.tolist())) == whole
                 and b"".join(map(self.b_bytes.__getitem__, own_b)) == whole
             )
-            out.append((np.array(ids if same else [], self.stored), np.array(own_b if same else [], self.stored)))
+            out.append((own_a.astype(self.stored) if same else none, np.array(own_b, self.stored) if same else none))
         return out
 
 
