@@ -27,9 +27,13 @@ def byte_characters() -> list[str]:
 
 
 class Node:
-    """A place in the trie of tokens; ``token`` is the id of the one that ends there."""
+    """A place in the trie of tokens; ``token`` is the id of the one that ends there.
 
-    __slots__ = ("below", "token")
+    ``Merges.link`` adds the place's depth, the place of its longest proper ending that is in the trie, and the
+    tokens that end here, longest first, with their lengths.
+    """
+
+    __slots__ = ("below", "depth", "ending", "ends", "token")
 
     def __init__(self) -> None:
         self.below: dict[str, Node] = {}
@@ -61,7 +65,12 @@ class Merges:
                 node = node.below.setdefault(symbol, Node())
             node.token = token
         self.longest = max(map(len, self.symbols_of.values()))
-        self._may_follow: dict[tuple[int | None, int], bool] = {}
+        self._linked = False
+        # The pair that makes a text, with its rank; nothing where some text is made by more than one.
+        self._made = {a + b: (a, b, i) for (a, b), i in self.rank.items()} if len(made) == len(pairs) else {}
+        self._whole: dict[int, bool] = {}
+        #: Answers of ``may_follow`` so far.
+        self.followers: dict[tuple[int | None, int], bool] = {}
 
     def split(self, text: str) -> tuple[str, ...]:
         """The symbols of a token's text; the suffix belongs to the last one."""
@@ -92,14 +101,72 @@ class Merges:
                     heapq.heappush(waiting, (r, left, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
+    def link(self) -> Node:
+        """The trie's root, with every place linked to its longest ending."""
+        root = self.root
+        if self._linked:
+            return root
+        root.depth, root.ending, root.ends = 0, root, ()
+        level = [root]
+        while level:
+            following = []
+            for node in level:
+                for symbol, below in node.below.items():
+                    ending = node.ending
+                    while symbol not in ending.below and ending is not root:
+                        ending = ending.ending
+                    below.depth = node.depth + 1
+                    below.ending = ending.below.get(symbol, root) if node is not root else root
+                    below.ends = below.ending.ends
+                    if below.token is not None:
+                        below.ends = ((below.token, below.depth), *below.ends)
+                    following.append(below)
+            level = following
+        self._linked = True
+        return root
+
+    def _is_whole(self, token: int) -> bool:
+        """Whether the encoding of a token's text is the token."""
+        known = self._whole.get(token)
+        if known is None:
+            symbols = self.symbols_of[token]
+            known = self._whole[token] = self.merged(symbols) == ["".join(symbols)]
+        return known
+
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether no merge takes in both the end of one whole token and the start of the next.
+
+        Their merges are undone, the last one first: a merge across the border that comes before the one undone
+        would have been made in its place.  Of equal rank, the left one is made first.
+        """
+        rank, made = self.rank, self._made
+        limit = len(rank)
+        while True:
+            if rank.get((left, right), limit) < limit:
+                return False
+            of_left, of_right = made.get(left), made.get(right)
+            if of_left and (not of_right or of_left[2] > of_right[2]):
+                _, left, limit = of_left
+            elif of_right:
+                right, _, before = of_right
+                limit = before + 1
+            else:
+                return True
+
     def may_follow(self, last: int | None, token: int) -> bool:
         """Whether ``token`` can stand after ``last`` in an encoding; None is the start of a word."""
         key = (last, token)
-        known = self._may_follow.get(key)
+        known = self.followers.get(key)
         if known is None:
             left = () if last is None else self.symbols_of[last]
-            wanted = ["".join(part) for part in (left, self.symbols_of[token]) if part]
-            known = self._may_follow[key] = self.merged(left + self.symbols_of[token]) == wanted
+            right = self.symbols_of[token]
+            if self._made:
+                known = self._is_whole(token) and (
+                    last is None or (self._is_whole(last) and self._stay_apart("".join(left), "".join(right)))
+                )
+            else:
+                known = self.merged(left + right) == ["".join(part) for part in (left, right) if part]
+            self.followers[key] = known
         return known
 
     def sufficient_lookahead(self) -> int:

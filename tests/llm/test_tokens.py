@@ -115,6 +115,35 @@ def test_streaming_encoder_keeps_constant_memory(word_bpe):
     assert most <= 2 * (60 + merges.longest) + 1
 
 
+def test_learnt_words_have_the_librarys_ids_and_share_prefixes(word_bpe, monkeypatch):
+    codec = streaming_bpe.TextCodec(queries.WORD_BPE)
+    texts = [*random_texts(2000, seed=6), "string strings stringent strange", "x" * 60 + "a " + "x" * 60 + "b"]
+    pushed = []
+    push = streaming_bpe.StreamingEncoder.push
+    monkeypatch.setattr(
+        streaming_bpe.StreamingEncoder, "push", lambda own, *symbols: pushed.extend(symbols) or push(own, *symbols)
+    )
+    held = [codec.parts(text) for text in texts]
+    codec.learn(held)
+    own = [np.frombuffer(b"".join(codec.encode_parts(parts)), "<u4").tolist() for parts in held]
+    assert own == library_ids(word_bpe, texts)
+    pushed.clear()
+    codec.learn([codec.parts("mnopqrstuvwxya mnopqrstuvwxyb mnopqrstuvwxyc mnopqrstuvwxya")])
+    assert len(pushed) == 13 + 3
+
+
+def test_neighbours_are_told_without_replaying_merges():
+    merges = streaming_bpe.TextCodec(queries.WORD_BPE).merges
+    rnd = random.Random(4)
+    short = [token for token, symbols in merges.symbols_of.items() if len(symbols) < 4]
+    for pool in (short, list(merges.symbols_of)):
+        for _ in range(4000):
+            left, right = rnd.choice(pool), rnd.choice(pool)
+            texts = [merges.symbols_of[left], merges.symbols_of[right]]
+            replayed = merges.merged(texts[0] + texts[1]) == ["".join(text) for text in texts]
+            assert merges.may_follow(left, right) == replayed
+
+
 def test_byte_level_decoder_joins_bytes_across_tokens(byte_bpe):
     codec = streaming_bpe.TextCodec(queries.BYTE_BPE)
     for text in ["中文 😀 naïve", "a<|endoftext|>b", "", "½"]:
