@@ -33,6 +33,8 @@ from .tokens import PieceEncoder
 from .work import with_text, written
 
 BLOCK_CHARS = 2_000_000
+#: Characters, or tokens of both, whose documents are encoded or aligned at a time within a block.
+PORTION = 250_000
 #: Pieces of a generation of A's memo.
 MEMO_PIECES = 60_000
 CELL_PAIRS = 8192
@@ -216,6 +218,16 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
+def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of neighbouring documents, cut behind the one that reaches ``most``."""
+    start, held = 0, 0
+    for end, size in enumerate(sizes, 1):
+        held += size
+        if held >= most or end == len(sizes):
+            yield start, end
+            start, held = end, 0
+
+
 def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row for each block: its documents' tokens one after the other, and its distinct pairs."""
 
@@ -224,9 +236,16 @@ def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
 
         def block(number: int, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-            found = both.encode(texts)
+            found, counted = [], []
+            for start, end in _portions(list(map(len, texts)), PORTION):
+                some = both.encode(texts[start:end])
+                a, b = (np.concatenate(ids) for ids in zip(*some, strict=True))
+                counted.append(np.unique(Alignment(a, b, both.a_lengths, both.b_lengths).pairs(), return_counts=True))
+                found += some
             a, b = (np.concatenate(ids) for ids in zip(*found, strict=True))
-            pairs, links = np.unique(Alignment(a, b, both.a_lengths, both.b_lengths).pairs(), return_counts=True)
+            pairs, at = np.unique(np.concatenate([own for own, _ in counted]), return_inverse=True)
+            links = np.zeros(len(pairs), np.int64)
+            np.add.at(links, at, np.concatenate([n for _, n in counted]))
             longs = [doc_ids, [len(ids) for ids, _ in found], [len(ids) for _, ids in found], pairs, links]
             doc_id, n_a, n_b, pair, of_pair = (pa.array([values], pa.list_(pa.int64())) for values in longs)
             packed = [pa.array([_packed(ids)], pa.binary()) for ids in (a, b)]
@@ -356,7 +375,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def report(key: tuple, own: pa.Table, counted: pa.Table) -> pa.Table:
         both = _tokenizers(a_path, b_path)
-        return _report(both, own, counted["pair"].to_numpy(), counted["count"].to_numpy(), most)
+        return _report(both, own, counted["pair"].to_numpy(), counted["count"].to_numpy(), most, PORTION)
 
     documents = aligned.drop("pair", "links")
     return documents.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(report, _REPORT)
@@ -367,20 +386,43 @@ def _decimals(n: int) -> list[bytes]:
     return [b"%d%c" % (i, c) for i in range(n) for c in b",|;"]
 
 
-def _report(both: Tokenizers, own: pa.Table, pairs: np.ndarray, counts: np.ndarray, most: dict[int, int]) -> pa.Table:
+def _report(
+    both: Tokenizers, own: pa.Table, pairs: np.ndarray, counts: np.ndarray, most: dict[int, int], portion: int
+) -> pa.Table:
     """The rows of one block, with the counts of its pairs."""
     n_a, n_b = (own[name].combine_chunks().flatten().to_numpy() for name in ("n_a", "n_b"))
     a, b = (_unpacked(own[name][0].as_py(), both.stored) for name in ("a", "b"))
-    found = Alignment(a, b, both.a_lengths, both.b_lengths)
     order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order]
+    highest = np.zeros(len(both.b_bytes), np.int64)
+    highest[list(most)] = list(most.values())
+    doc_id = own["doc_id"].combine_chunks().flatten()
+    tables, a_start, b_start = [], 0, 0
+    for start, end in _portions((n_a + n_b).tolist(), portion):
+        of_a, of_b = n_a[start:end], n_b[start:end]
+        a_end, b_end = a_start + of_a.sum(), b_start + of_b.sum()
+        found = Alignment(a[a_start:a_end], b[b_start:b_end], both.a_lengths, both.b_lengths)
+        numbers = _portion_report(both, found, of_a, of_b, pairs, counts, highest)
+        tables.append(pa.table({"doc_id": doc_id[start:end], **numbers}))
+        a_start, b_start = a_end, b_end
+    return pa.concat_tables(tables)
+
+
+def _portion_report(
+    both: Tokenizers,
+    found: Alignment,
+    n_a: np.ndarray,
+    n_b: np.ndarray,
+    pairs: np.ndarray,
+    counts: np.ndarray,
+    highest: np.ndarray,
+) -> dict:
+    """The columns of some documents of a block; its pairs are sorted."""
     keys = found.pairs()
     at = np.searchsorted(pairs, keys)
     of_link = counts[at]
     if not np.array_equal(pairs[at], keys):
         raise ValueError("a pair has no count")
-    highest = np.zeros(len(both.b_bytes), np.int64)
-    highest[list(most)] = list(most.values())
 
     # Where documents end, among bytes and so among links, groups and codes.
     byte_ends = np.append(0, found.a_ends)[np.cumsum(n_a)]
@@ -397,15 +439,12 @@ def _report(both: Tokenizers, own: pa.Table, pairs: np.ndarray, counts: np.ndarr
         groups = b"".join(map(texts.__getitem__, codes[start:end].tolist()))[:-1]
         digests.append(hashlib.sha256(groups).hexdigest() if groups else "")
         start = end
-    return pa.table(
-        {
-            "doc_id": own["doc_id"].combine_chunks().flatten(),
-            "n_a": n_a,
-            "n_b": n_b,
-            "n_groups": np.diff(group_ends, prepend=0),
-            "n_links": np.diff(link_ends, prepend=0),
-            "n_best": per_document(of_link == highest[keys & 0xFFFFFFFF]),
-            "count_sum": per_document(of_link),
-            "groups_sha256": digests,
-        }
-    )
+    return {
+        "n_a": n_a,
+        "n_b": n_b,
+        "n_groups": np.diff(group_ends, prepend=0),
+        "n_links": np.diff(link_ends, prepend=0),
+        "n_best": per_document(of_link == highest[keys & 0xFFFFFFFF]),
+        "count_sum": per_document(of_link),
+        "groups_sha256": digests,
+    }

@@ -106,6 +106,14 @@ def test_awkward_rows(spark, awkward, awkward_rows, monkeypatch, small):
     assert found(token_alignment.align_tokens(docs, A, B)) == brute_force(rows)
 
 
+def test_blocks_are_aligned_by_portions_of_their_documents(make_docs, monkeypatch):
+    monkeypatch.setattr(token_alignment, "PORTION", 12)
+    assert list(token_alignment._portions([5, 7, 0, 30, 1], 12)) == [(0, 2), (2, 4), (4, 5)]
+    texts = ["the end", "", "the end of the end", None, "a▁b", "ends and ends", *ODD, "the end"]
+    docs = make_docs([(i, text, None, None, None) for i, text in enumerate(texts)]).coalesce(1)
+    assert found(token_alignment.align_tokens(docs, A, B)) == brute_force(list(enumerate(texts)))
+
+
 def test_empty_tables(make_docs):
     assert token_alignment.align_tokens(make_docs([]), A, B).count() == 0
     blank = make_docs([(1, None, None, None, None), (2, "", None, None, None)])
