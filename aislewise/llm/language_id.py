@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import removed, written
+from .work import kept_by_worker, removed, written
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -41,15 +40,18 @@ LIMIT_ROWS = 1_000
 #: Bins of a bit of excess.
 EXCESS_BINS = 256
 UNDETERMINED = "und"
-#: Characters of text that are scored at a time.
-SLICE_CHARS = 2_000_000
+#: Characters of text that are scored at a time; they take some hundred bytes each.
+SLICE_CHARS = 250_000
 #: Texts longer than this are no more certain than those of this many symbols.
 _STEADY_SYMBOLS = 400
 
 
-@lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
     """The symbol of each code point; 0 for all but letters."""
+    return kept_by_worker("symbols", _symbol_table)
+
+
+def _symbol_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     for code in range(0x110000):
         letter = chr(code)

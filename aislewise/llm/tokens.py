@@ -18,7 +18,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import byte_characters
+from .work import kept_by_worker
 
 #: Pieces of a generation of the memo (there are two), and the length up to which one is kept.
 MEMO_PIECES = 250_000
@@ -240,7 +240,6 @@ class PieceEncoder:
             yield from self.encode_column(pa.array(waiting, pa.large_string()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder, and so one memo, for each Python worker."""
-    return PieceEncoder(path)
+    return kept_by_worker(("encoder", path), lambda: PieceEncoder(path))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def kept_by_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for the later tasks of a Python worker until it asks for something else.
+
+    Workers outlive the steps of a job, so a step would otherwise run beside the tables of those before it.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def with_text(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, the text with null as empty, and the columns named; all others are left out."""
     return docs.select(

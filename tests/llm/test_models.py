@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aislewise.llm import language_id, quality, queries, top_k
+from aislewise.llm import language_id, quality, queries, tokens, top_k, work
 
 
 def test_languages_of_held_out_documents(spark, sf_dir):
@@ -163,3 +164,25 @@ def test_top_k_query(spark, sf_dir):
     vectors = [(r.vec_id, np.floor(1024 * np.array(r.embedding, float)).astype(int)) for r in table]
     found = {tuple(r) for r in queries.op5_top_k(spark, sf_dir).collect()}
     assert found == brute_force_top(vectors, {i: v for i, v in vectors if i % 100 == 0}, 10)
+
+
+def test_a_slice_of_texts_takes_little_memory():
+    words = "the quick brown fox jumps over the lazy dog " * 5
+    (texts,) = language_id._slices(iter([words] * (language_id.SLICE_CHARS // len(words) + 1)))
+    language_id.sequences(["a"])
+    tracemalloc.start()
+    language_id.sequences(texts)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 30_000_000
+
+
+def test_a_worker_keeps_one_thing():
+    made = []
+    for key in ("a", "a", "b", "a"):
+        assert work.kept_by_worker(key, lambda key=key: made.append(key) or key) == key
+    assert made == ["a", "b", "a"]
+    encoder = tokens.encoder(queries.BYTE_BPE)
+    assert tokens.encoder(queries.BYTE_BPE) is encoder
+    language_id.sequences(["a"])
+    assert tokens.encoder(queries.BYTE_BPE) is not encoder
