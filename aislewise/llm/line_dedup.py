@@ -1,37 +1,36 @@
 """Removal of lines that are near-duplicates of an earlier line, by an exact set-similarity join.
 
-A line is the set of its words, as 58-bit hashes whose order is that of rarity: the words' frequencies, counted
-over all lines in ``FREQUENCY_BUCKETS`` buckets, come first in the bits.  Two lines with a Jaccard similarity of
-4/5 share a word among the rarest n - ceil(4n/5) + 1 of each (the prefix).  Lines that share one are compared
-by length, by the positions of the shared word, and by the parities of their words in 64 groups (128 for long
-lines); what is left is verified on the whole sets.
-
-Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  A prefix
-word that stands in fewer than ``HOT_LINES`` lines is joined with itself: no line gets more partners than that
-from it.  Under a more frequent word, every line meets only the earliest lines of ``PIVOTS`` parts first, and
-lines that these do not remove meet all earlier ones.
-
-All of it is DataFrame functions.  What reaches the driver are tables of fixed size, one small number an entry,
-which come back to the tasks as literals: frequencies, frequent prefix words, and lines to be verified.  The
-last two only sort rows beforehand; joins on the exact values follow.
+A line is the set of its words, as hashes in an order that puts long words first, as those are rare.  A key is a
+pair of words that are neighbours in this order.  Where two lines have a Jaccard similarity of 4/5, with ``o`` words
+in both and ``d`` in one of them only, ``o`` is 4 * ``d`` or more, and each of the ``d`` words parts at most one pair
+of common words that follow each other.  So of the first d + 2 such pairs at least two are keys of both lines, and
+they stand among the first 2 * floor(n / 5) + 2 keys of a line of n words (one more where n % 5 is 4), which are the
+keys it posts.
+
+Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  Under each key
+every line meets the earliest line first.  Lines that this does not remove meet all earlier lines with a key, unless
+``HOT_LINES`` lines or more hold it: as similar lines share two keys, it takes two such keys of a line together to
+make them meet.  Pairs pass filters on length and on the parities of their words in 64 groups (128 for long lines);
+what is left is verified on the whole sets.
+
+All of it is DataFrame functions; nothing is sent to the driver or comes back to the tasks as a literal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import with_text, written
+from .work import removed, with_text, written
 
-FREQUENCY_BUCKETS = 1 << 17
-FLAG_BUCKETS = 1 << 19
-HOT_LINES = 64
-PIVOTS = 8
+#: Classes of words by their length in bytes, which stands for their frequency.
+FREQUENCY_BUCKETS = 32
+HOT_LINES = 1024
 #: Words from which a line has the parities of 128 groups.
 LONG_LINE = 48
 #: Jaccard similarity of at least 4/5.  With both sizes known, that is an overlap of 4/9 of their sum.
 _SIMILAR, _OF = 4, 5
-_PLACE = ["doc_id", "line"]
+_SPACES = "\t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,7 +39,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _split(line: Column) -> Column:
     """Words of a line, with empty ones; white space separates them and case does not count."""
-    return F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " ")
+    lower = F.lower(line)
+    # Most lines have blanks only, and to replace characters takes longer than to look for them.
+    other = F.lit(False)
+    for space in _SPACES:
+        other = other | F.contains(line, F.lit(space))
+    return F.split(F.when(other, F.translate(lower, _SPACES, " " * len(_SPACES))).otherwise(lower), " ")
 
 
 def _words(line: Column) -> Column:
@@ -49,44 +53,35 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
-def _bucket(value: Column, buckets: int) -> Column:
-    return value.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
-
-
-def _frequencies(docs: DataFrame) -> list[int]:
-    """For each bucket of words a number below 64 that grows with the logarithm of its count."""
-    words = _lines(docs).select(F.explode(_split(F.col("words"))).alias("word"))
-    bucket = _bucket(F.xxhash64("word"), FREQUENCY_BUCKETS).alias("bucket")
-    counts = words.groupBy(bucket).count()
-    level = F.least(F.lit(63), F.floor(2 * F.log2(F.col("count"))) + 1).cast("int")
-    table = [0] * FREQUENCY_BUCKETS
-    for at, value in counts.select("bucket", level).collect():
-        table[at] = value
-    return table
+def _ordered(line: Column) -> Column:
+    """Distinct words of a line, long ones first: the class of the length in the upper bits, a hash below."""
+    bits = (FREQUENCY_BUCKETS - 1).bit_length()
 
+    def ordered(word: Column) -> Column:
+        length = F.least(F.octet_length(word), F.lit(FREQUENCY_BUCKETS - 1)).cast("long")
+        return F.shiftrightunsigned(F.xxhash64(word), bits + 1) - length * F.lit(1 << (63 - bits)).cast("long")
 
-def _flags(rows: DataFrame, key: Column) -> bytes:
-    """One where some row's key falls in the bucket."""
-    table = bytearray(FLAG_BUCKETS)
-    for (bucket,) in rows.select(_bucket(key, FLAG_BUCKETS).alias("bucket")).distinct().collect():
-        table[bucket] = 1
-    return bytes(table)
+    # Only the empty word has a number from 0 on.
+    words = F.array_distinct(F.transform(_split(line), ordered))
+    return F.sort_array(F.array_remove(words, ordered(F.lit(""))))
 
 
-def _flagged(table: bytes, key: Column) -> Column:
-    entry = F.substring(F.lit(table), _bucket(key, FLAG_BUCKETS) + 1, F.lit(1))
-    return entry == F.lit(b"\x01")
+def _keys(ordered: Column, n: Column) -> Column:
+    """Hashes of the neighbours that a line of n words posts; sets of up to three words are similar only when equal."""
+    most = 2 * F.floor(n / _OF).cast("int") + 2 + F.when(n % _OF == _SIMILAR, 1).otherwise(0)
+    first = F.least(most, n - 1)
+    pairs = F.zip_with(F.slice(ordered, F.lit(1), first), F.slice(ordered, F.lit(2), first), lambda a, b: F.xxhash64(a, b))
+    return F.when(n >= _SIMILAR, pairs)
 
 
-def _by_rarity(words: Column, frequencies: list[int]) -> Column:
-    # The optimizer turns this into one array, which the tasks share.
-    tops = ",".join(str((level - 32) << 58) for level in frequencies)
-    levels = F.split(F.lit(tops), ",").cast("array<bigint>")
+def _parity(words: Column) -> Column:
+    one = F.lit(1).cast("long")
 
-    def ordered(word: Column) -> Column:
-        return F.get(levels, _bucket(word, FREQUENCY_BUCKETS)).bitwiseOR(F.shiftrightunsigned(word, 6))
+    def flipped(acc: Column, word: Column) -> Column:
+        group = word.bitwiseAND(F.lit(63).cast("long")).cast("int")
+        return acc.bitwiseXOR(F.call_function("shiftleft", one, group))
 
-    return F.sort_array(F.transform(words, ordered))
+    return F.aggregate(words, F.lit(0).cast("long"), flipped)
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -98,115 +93,118 @@ def _earlier(a: str, b: str) -> Column:
     return before | (same & (F.col(f"{a}.line") < F.col(f"{b}.line")))
 
 
+def _same_place(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
+
+
 def _candidate(a: str, b: str) -> Column:
-    """Line a is earlier, and length, position and parity filters let the pair pass."""
+    """Line a is earlier, and length and parity filters let the pair pass."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     length = (_OF * na >= _SIMILAR * nb) & (_OF * nb >= _SIMILAR * na)
-    # The first shared word has its place in both prefixes, and no more overlap than what follows it.
-    left = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-    position = (_OF + _SIMILAR) * left >= _SIMILAR * (na + nb)
     # Sets that differ in d words differ in the parities of d groups at most.
     low, high = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("low", "high"))
     most = (_OF - _SIMILAR) * (na + nb)
     few = (_OF + _SIMILAR) * F.bit_count(low.bitwiseXOR(high)) <= most
     in_all = (_OF + _SIMILAR) * (F.bit_count(low) + F.bit_count(high)) <= most
     short = (na <= LONG_LINE) | (nb <= LONG_LINE)
-    return length & position & few & (short | in_all) & _earlier(a, b)
+    return length & few & (short | in_all) & _earlier(a, b)
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidates (a earlier, b later) that share a prefix word."""
-    joined = left.alias("a").join(right.alias("b"), (F.col("a.token") == F.col("b.token")) & _candidate("a", "b"))
-    return joined.select(
-        F.struct("a.doc_id", "a.line").alias("a"), F.struct("b.doc_id", "b.line").alias("b")
-    ).distinct()
-
-
-def _place_key(place: Column) -> Column:
-    return F.xxhash64(place["doc_id"], place["line"])
+def _places(pairs: DataFrame) -> DataFrame:
+    """The places of joined rows ``a`` (the earlier line) and ``b``."""
+    return pairs.select(F.struct("a.doc_id", "a.line").alias("a"), F.struct("b.doc_id", "b.line").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The later places of the pairs that are similar.
-
-    The texts are read again, and of their lines few pass the flags.
-    """
-    places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    table = _flags(places, _place_key(F.col("place")))
-    here = F.struct("doc_id", "line").alias("place")
-    maybe = _lines(docs).select(here, "words").where(_flagged(table, _place_key(F.col("place"))))
-    named = maybe.join(places, "place", "left_semi")
-    sets = written(named.select("place", _words(F.col("words")).alias("set")), "line-sets")
+    """The later places of the pairs that are similar; the texts are read again, and sets made of the lines named."""
+    places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place.*")
+    named = _lines(docs).alias("t").join(places.alias("p"), _same_place("t", "p"), "left_semi")
+    sets = written(named.select(F.struct("doc_id", "line").alias("place"), _words(F.col("words")).alias("set")), "line-sets")
     left = sets.select(F.col("place").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("place").alias("b"), F.col("set").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     similar = (_OF + _SIMILAR) * both >= _SIMILAR * (F.size("left") + F.size("right"))
-    return pairs.join(left, "a").join(right, "b").where(similar).select(F.col("b").alias("place")).distinct()
-
+    found = written(pairs.join(left, "a").join(right, "b").where(similar).select("b.*").distinct(), "matched")
+    removed(sets)
+    return found
 
-def matched_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line with a Jaccard similarity of 4/5 or more to an earlier one.
 
-    Lines are numbered from 0 in each text and ordered by (doc_id, line), a null doc_id first; an earlier line
-    counts whether or not it is removed itself.  Lines without words match nothing.  Rows that repeat a doc_id
-    share their places: such a line goes where it goes in one of them.
-    """
-    frequencies = _frequencies(docs)
+def _marked(docs: DataFrame) -> DataFrame:
+    """Every line that has words, with n, parities, whether it is the first of its set, and if so the keys."""
     n, ordered = F.size("set"), F.col("set")
-    # n - ceil(4n / 5) + 1; sets of up to three words are similar only when equal, and need no prefix.
-    prefix = F.when(n >= _SIMILAR, F.slice(ordered, F.lit(1), n - F.ceil(_SIMILAR * n / _OF).cast("int") + 1))
-    one = F.lit(1).cast("long")
-
-    def parity(words: Column) -> Column:
-        def flipped(acc: Column, word: Column) -> Column:
-            group = word.bitwiseAND(F.lit(63).cast("long")).cast("int")
-            return acc.bitwiseXOR(F.call_function("shiftleft", one, group))
-
-        return F.aggregate(words, F.lit(0).cast("long"), flipped)
-
     # Of a long line, the words with a certain bit are in groups of their own.
     upper = F.filter(ordered, lambda w: w.bitwiseAND(F.lit(64).cast("long")) != 0)
-    high = F.when(n > LONG_LINE, parity(upper)).otherwise(F.lit(0).cast("long"))
-    # Told from the text, so that the sets are made once.
-    has_words = F.trim(F.translate("words", "\t\x0b\x0c\r", "    ")) != ""
-    sets = _lines(docs).where(has_words)
-    sets = sets.select("doc_id", "line", _by_rarity(_words(F.col("words")), frequencies).alias("set"))
+    high = F.when(n > LONG_LINE, _parity(upper)).otherwise(F.lit(0).cast("long"))
+    sets = _lines(docs).select("doc_id", "line", _ordered(F.col("words")).alias("set"))
     lines = written(
         sets.select(
             "doc_id", "line", F.xxhash64("set", n).alias("same"), F.hash("set").alias("check"),
-            n.alias("n"), parity(ordered).alias("every"), high.alias("high"), prefix.alias("prefix"),
+            n.alias("n"), _parity(ordered).alias("every"), high.alias("high"), _keys(ordered, n).alias("keys"),
         ).withColumn("low", F.col("every").bitwiseXOR(F.col("high"))).drop("every"),
         "lines",
     )
-    place = F.struct("doc_id", "line").alias("place")
-    equal = ["same", "check", "n"]
-    firsts = written(lines.groupBy(*equal).agg(F.min(place).alias("first")), "first-lines")
-    copies = lines.select(place, *equal).join(firsts, equal).where("place <> first").select("place")
-
-    posted = lines.where("prefix IS NOT NULL").select(
-        "doc_id", "line", "n", "low", "high", F.posexplode("prefix").alias("place", "token")
+    worded = lines.where("n > 0")
+    firsts = worded.groupBy("same", "check", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    firsts = firsts.select("same", "check", "first.*", F.lit(True).alias("found"))
+    at = _same_place("l", "f") & (F.col("l.same") == F.col("f.same")) & (F.col("l.check") == F.col("f.check"))
+    is_first = F.coalesce("f.found", F.lit(False))
+    marked = worded.alias("l").join(firsts.alias("f"), at, "left").select(
+        "l.doc_id", "l.line", "n", "low", "high", is_first.alias("first"), F.when(is_first, F.col("keys")).alias("keys")
     )
-    spread = F.xxhash64("token")
-    frequent = posted.groupBy("token").count().where(F.col("count") >= HOT_LINES)
-    table = _flags(frequent, spread)
-    rare = posted.where(~_flagged(table, spread))
-    pairs = written(_pairs(rare, rare), "line-pairs")
-
-    only_firsts = firsts.select("first.*")
-    at = [F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("p.line") == F.col("f.line")]
-    hot = posted.where(_flagged(table, spread)).alias("p").join(only_firsts.alias("f"), at, "left_semi")
-    hot = written(hot, "frequent-words")
-    part = F.pmod(F.xxhash64("doc_id", "line"), F.lit(PIVOTS)).alias("part")
-    pivots = hot.groupBy("token", part).agg(F.min(F.struct("doc_id", "line", "n", "low", "high", "place")).alias("pivot"))
-    pivots = pivots.select("token", "pivot.*")
-    first_pairs = written(_pairs(pivots, hot), "pivot-pairs")
-
-    removed = written(_verified(docs, written(pairs.unionByName(first_pairs).distinct(), "line-pairs")), "matched")
-
-    open_rows = hot.alias("p").join(removed.select("place.*").alias("f"), at, "left_anti")
-    rest = _pairs(hot, open_rows).join(first_pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, written(rest, "line-pairs"))
-    return copies.unionByName(removed).unionByName(more).distinct().select("place.*")
+    marked = written(marked, "marked-lines")
+    removed(lines)
+    return marked
+
+
+def _meetings(shared: DataFrame, matched: DataFrame, signs: DataFrame) -> DataFrame:
+    """Candidates (a, b) of lines b that are not matched yet: those that share a key, or two keys that are frequent."""
+    rows = shared.alias("p").join(signs.alias("s"), _same_place("p", "s"))
+    rows = rows.select("p.*", "s.n", "s.low", "s.high")
+    few = rows.where((F.col("held") > 2) & (F.col("held") < HOT_LINES) & (F.col("at") > 1)).drop("first", "held")
+    later = few.where("at > 2").alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
+    pairs = few.alias("a").join(later.alias("b"), (F.col("a.key") == F.col("b.key")) & _candidate("a", "b"))
+    hot = shared.where(F.col("held") >= HOT_LINES).groupBy("doc_id", "line")
+    hot = hot.agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    hot = hot.alias("p").join(signs.alias("s"), _same_place("p", "s")).select("p.*", "s.n", "s.low", "s.high")
+    hot = hot.withColumn("one", F.explode("keys"))
+    others = F.filter("keys", lambda key: key > F.col("one"))
+    hot = hot.select("doc_id", "line", "n", "low", "high", "one", F.explode(others).alias("two"))
+    open_rows = hot.alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
+    both = (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two"))
+    more = hot.alias("a").join(open_rows.alias("b"), both & _candidate("a", "b"))
+    return _places(pairs).unionByName(_places(more)).distinct()
+
+
+def matched_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line) of every line with a Jaccard similarity of 4/5 or more to an earlier one.
+
+    Lines are numbered from 0 in each text and ordered by (doc_id, line), a null doc_id first; an earlier line
+    counts whether or not it is removed itself.  Lines without words match nothing.  Rows that repeat a doc_id
+    share their places: such a line goes where it goes in one of them.
+    """
+    lines = _marked(docs)
+    posted = lines.select("doc_id", "line", F.explode("keys").alias("key"))
+    by_place = Window.partitionBy("key").orderBy("doc_id", "line")
+    group = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct("doc_id", "line")
+    posted = posted.select(
+        "*", F.row_number().over(by_place).alias("at"), F.count(F.lit(1)).over(group).alias("held"),
+        F.first(place).over(group).alias("first"),
+    )
+    shared = written(posted.where("held > 1"), "shared-keys")
+    named = written(lines.drop("keys"), "line-signs")
+    removed(lines)
+    copies = named.where("NOT first").select("doc_id", "line")
+    signs = named.where(F.col("first") & (F.col("n") >= _SIMILAR)).drop("first")
+
+    heads = shared.where("at > 1").select("first", place.alias("own")).distinct()
+    a = heads.alias("h").join(signs.alias("a"), _same_place("h.first", "a"))
+    a = a.select(F.col("h.own").alias("own"), F.struct("a.*").alias("a"))
+    first_pairs = a.alias("h").join(signs.alias("b"), _same_place("h.own", "b"))
+    first_pairs = first_pairs.select("h.a", F.struct("b.*").alias("b")).where(_candidate("a", "b"))
+    matched = _verified(docs, written(_places(first_pairs), "line-pairs"))
+    more = _verified(docs, written(_meetings(shared, matched, signs), "line-pairs"))
+    return copies.unionByName(matched).unionByName(more).distinct()
 
 
 def line_report(docs: DataFrame) -> DataFrame:
