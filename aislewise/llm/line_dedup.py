@@ -7,17 +7,19 @@ of common words that follow each other.  So of the first d + 2 such pairs at lea
 they stand among the first 2 * floor(n / 5) + 2 keys of a line of n words (one more where n % 5 is 4), which are the
 keys it posts.
 
-Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  Under each key
-every line meets the earliest line first.  Lines that this does not remove meet all earlier lines with a key, unless
-``HOT_LINES`` lines or more hold it: as similar lines share two keys, it takes two such keys of a line together to
-make them meet.  Pairs pass filters on length and on the parities of their words in 64 groups (128 for long lines);
-what is left is verified on the whole sets.
+Only whether a line has an earlier match matters, so groups of near copies need not become pairs.  Under a key that
+``HOT_LINES`` lines or fewer hold, every line meets all earlier ones.  Under a more frequent key it meets the earliest
+line first; lines that this does not remove meet all earlier lines with which they share two such keys, as they do
+with every similar line that they have not met.  Pairs pass filters on length and on the parities of their words in
+64 groups (128 for long lines); what is left is verified on the whole sets.
 
 All of it is DataFrame functions; nothing is sent to the driver or comes back to the tasks as a literal.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ from .work import removed, with_text, written
 
 #: Classes of words by their length in bytes, which stands for their frequency.
 FREQUENCY_BUCKETS = 32
-HOT_LINES = 1024
+HOT_LINES = 32
+#: The keys are dealt out in so many rounds, each of which holds the shuffle files of its part only.
+_ROUNDS = 2
 #: Words from which a line has the parities of 128 groups.
 LONG_LINE = 48
 #: Jaccard similarity of at least 4/5.  With both sizes known, that is an overlap of 4/9 of their sum.
@@ -97,21 +101,25 @@ def _same_place(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
 
 
+def _near(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
+    """Length and parity filters let the two lines pass: sets that differ in d words differ in the parities of d groups at most."""
+    length = (_OF * a["n"] >= _SIMILAR * b["n"]) & (_OF * b["n"] >= _SIMILAR * a["n"])
+    differ = F.bit_count(a["every"].bitwiseXOR(b["every"]))
+    return length & ((_OF + _SIMILAR) * differ <= (_OF - _SIMILAR) * (a["n"] + b["n"]))
+
+
 def _candidate(a: str, b: str) -> Column:
-    """Line a is earlier, and length and parity filters let the pair pass."""
+    """Line a is earlier, and length and parity filters let the pair pass, those of long lines too."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    length = (_OF * na >= _SIMILAR * nb) & (_OF * nb >= _SIMILAR * na)
-    # Sets that differ in d words differ in the parities of d groups at most.
     low, high = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("low", "high"))
-    most = (_OF - _SIMILAR) * (na + nb)
-    few = (_OF + _SIMILAR) * F.bit_count(low.bitwiseXOR(high)) <= most
-    in_all = (_OF + _SIMILAR) * (F.bit_count(low) + F.bit_count(high)) <= most
+    in_all = (_OF + _SIMILAR) * (F.bit_count(low) + F.bit_count(high)) <= (_OF - _SIMILAR) * (na + nb)
     short = (na <= LONG_LINE) | (nb <= LONG_LINE)
-    return length & few & (short | in_all) & _earlier(a, b)
+    left, right = ({c: F.col(f"{row}.{c}") for c in ("n", "every")} for row in (a, b))
+    return _near(left, right) & (short | in_all) & _earlier(a, b)
 
 
 def _places(pairs: DataFrame) -> DataFrame:
-    """The places of joined rows ``a`` (the earlier line) and ``b``."""
+    """The places of the lines ``a`` (the earlier one) and ``b``."""
     return pairs.select(F.struct("a.doc_id", "a.line").alias("a"), F.struct("b.doc_id", "b.line").alias("b")).distinct()
 
 
@@ -156,23 +164,38 @@ def _marked(docs: DataFrame) -> DataFrame:
     return marked
 
 
-def _meetings(shared: DataFrame, matched: DataFrame, signs: DataFrame) -> DataFrame:
-    """Candidates (a, b) of lines b that are not matched yet: those that share a key, or two keys that are frequent."""
-    rows = shared.alias("p").join(signs.alias("s"), _same_place("p", "s"))
-    rows = rows.select("p.*", "s.n", "s.low", "s.high")
-    few = rows.where((F.col("held") > 2) & (F.col("held") < HOT_LINES) & (F.col("at") > 1)).drop("first", "held")
-    later = few.where("at > 2").alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
-    pairs = few.alias("a").join(later.alias("b"), (F.col("a.key") == F.col("b.key")) & _candidate("a", "b"))
-    hot = shared.where(F.col("held") >= HOT_LINES).groupBy("doc_id", "line")
-    hot = hot.agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
-    hot = hot.alias("p").join(signs.alias("s"), _same_place("p", "s")).select("p.*", "s.n", "s.low", "s.high")
-    hot = hot.withColumn("one", F.explode("keys"))
+def _shared_keys(posted: DataFrame) -> DataFrame:
+    """Of postings: the lines that others have a key in common with, and the earlier ones among these that pass the filters.
+
+    Under a frequent key only the earliest line is looked at, and every line is named.
+    """
+    by_place = Window.partitionBy("key").orderBy("doc_id", "line")
+    group = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = F.struct("doc_id", "line", "n", "every")
+    held = posted.select(
+        "key", line.alias("own"), "doc_id", "line", F.row_number().over(by_place).alias("at"),
+        F.count(F.lit(1)).over(group).alias("held"), F.first(line).over(group).alias("first"),
+    ).where("held > 1")
+    frequent = F.col("held") > HOT_LINES
+    few = held.withColumn("lines", F.collect_list(F.when(~frequent, F.col("own"))).over(group))
+    earlier = F.when(~frequent, F.slice("lines", F.lit(1), F.col("at") - 1)).when(F.col("at") > 1, F.array("first"))
+    near = F.filter(F.coalesce(earlier, F.array().cast(few.schema["lines"].dataType)), lambda a: _near(a, F.col("own")))
+    found = few.select("key", "doc_id", "line", frequent.alias("frequent"), near.alias("near"))
+    return found.where(F.col("frequent") | (F.size("near") > 0))
+
+
+def _meetings(frequent: DataFrame, matched: DataFrame, signs: DataFrame) -> DataFrame:
+    """Candidates (a, b) with two frequent keys in common, of lines b that are not matched yet."""
+    unmatched = frequent.alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
+    live = frequent.join(unmatched.select("key").distinct(), "key", "left_semi")
+    lines = live.groupBy("doc_id", "line").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    lines = lines.alias("p").join(signs.alias("s"), _same_place("p", "s")).select("s.*", "keys")
+    lines = lines.select("*", F.explode("keys").alias("one"))
     others = F.filter("keys", lambda key: key > F.col("one"))
-    hot = hot.select("doc_id", "line", "n", "low", "high", "one", F.explode(others).alias("two"))
-    open_rows = hot.alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
+    lines = lines.select(*signs.columns, "one", F.explode(others).alias("two"))
+    later = lines.alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
     both = (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two"))
-    more = hot.alias("a").join(open_rows.alias("b"), both & _candidate("a", "b"))
-    return _places(pairs).unionByName(_places(more)).distinct()
+    return _places(lines.alias("a").join(later.alias("b"), both & _candidate("a", "b")))
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
@@ -183,27 +206,22 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     share their places: such a line goes where it goes in one of them.
     """
     lines = _marked(docs)
-    posted = lines.select("doc_id", "line", F.explode("keys").alias("key"))
-    by_place = Window.partitionBy("key").orderBy("doc_id", "line")
-    group = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.struct("doc_id", "line")
-    posted = posted.select(
-        "*", F.row_number().over(by_place).alias("at"), F.count(F.lit(1)).over(group).alias("held"),
-        F.first(place).over(group).alias("first"),
-    )
-    shared = written(posted.where("held > 1"), "shared-keys")
+    every = F.col("low").bitwiseXOR(F.col("high")).alias("every")
+    posted = lines.select("doc_id", "line", "n", every, F.explode("keys").alias("key"))
+    turns = [F.pmod("key", F.lit(_ROUNDS)) == turn for turn in range(_ROUNDS)]
+    rounds = [written(_shared_keys(posted.where(turn)), "shared-keys") for turn in turns]
+    shared = reduce(DataFrame.unionByName, rounds)
     named = written(lines.drop("keys"), "line-signs")
     removed(lines)
     copies = named.where("NOT first").select("doc_id", "line")
-    signs = named.where(F.col("first") & (F.col("n") >= _SIMILAR)).drop("first")
-
-    heads = shared.where("at > 1").select("first", place.alias("own")).distinct()
-    a = heads.alias("h").join(signs.alias("a"), _same_place("h.first", "a"))
-    a = a.select(F.col("h.own").alias("own"), F.struct("a.*").alias("a"))
-    first_pairs = a.alias("h").join(signs.alias("b"), _same_place("h.own", "b"))
-    first_pairs = first_pairs.select("h.a", F.struct("b.*").alias("b")).where(_candidate("a", "b"))
-    matched = _verified(docs, written(_places(first_pairs), "line-pairs"))
-    more = _verified(docs, written(_meetings(shared, matched, signs), "line-pairs"))
+    signs = named.where(F.col("first") & (F.col("n") >= _SIMILAR)).select("doc_id", "line", "n", "low", "high", every)
+
+    met = _places(shared.select(F.explode("near").alias("a"), F.struct("doc_id", "line").alias("b")))
+    a = met.alias("p").join(signs.alias("s"), _same_place("p.a", "s")).select(F.struct("s.*").alias("a"), "b")
+    first_pairs = a.alias("p").join(signs.alias("s"), _same_place("p.b", "s")).select("a", F.struct("s.*").alias("b"))
+    matched = _verified(docs, written(_places(first_pairs.where(_candidate("a", "b"))), "line-pairs"))
+    frequent = shared.where("frequent").select("key", "doc_id", "line")
+    more = _verified(docs, written(_meetings(frequent, matched, signs), "line-pairs"))
     return copies.unionByName(matched).unionByName(more).distinct()
 
 
