@@ -172,12 +172,13 @@ def _shared_keys(posted: DataFrame) -> DataFrame:
     by_place = Window.partitionBy("key").orderBy("doc_id", "line")
     group = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     line = F.struct("doc_id", "line", "n", "every")
-    held = posted.select(
-        "key", line.alias("own"), "doc_id", "line", F.row_number().over(by_place).alias("at"),
-        F.count(F.lit(1)).over(group).alias("held"), F.first(line).over(group).alias("first"),
-    ).where("held > 1")
+    # Lines are made structs only here, where most postings are gone: rows are shuffled and sorted without them.
+    held = posted.select("*", F.row_number().over(by_place).alias("at"), F.count(F.lit(1)).over(group).alias("held"))
     frequent = F.col("held") > HOT_LINES
-    few = held.withColumn("lines", F.collect_list(F.when(~frequent, F.col("own"))).over(group))
+    few = held.where("held > 1").select(
+        "*", line.alias("own"), F.first(line).over(group).alias("first"),
+        F.collect_list(F.when(~frequent, line)).over(group).alias("lines"),
+    )
     earlier = F.when(~frequent, F.slice("lines", F.lit(1), F.col("at") - 1)).when(F.col("at") > 1, F.array("first"))
     near = F.filter(F.coalesce(earlier, F.array().cast(few.schema["lines"].dataType)), lambda a: _near(a, F.col("own")))
     found = few.select("key", "doc_id", "line", frequent.alias("frequent"), near.alias("near"))
@@ -192,10 +193,12 @@ def _meetings(frequent: DataFrame, matched: DataFrame, signs: DataFrame) -> Data
     lines = lines.alias("p").join(signs.alias("s"), _same_place("p", "s")).select("s.*", "keys")
     lines = lines.select("*", F.explode("keys").alias("one"))
     others = F.filter("keys", lambda key: key > F.col("one"))
-    lines = lines.select(*signs.columns, "one", F.explode(others).alias("two"))
+    lines = lines.select(*signs.columns, "keys", "one", F.explode(others).alias("two"))
     later = lines.alias("p").join(matched.alias("f"), _same_place("p", "f"), "left_anti")
     both = (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two"))
-    return _places(lines.alias("a").join(later.alias("b"), both & _candidate("a", "b")))
+    # Of all keys in common the first two make a pair, so that it is made once.
+    once = F.slice(F.array_intersect("a.keys", "b.keys"), 1, 2) == F.array("a.one", "a.two")
+    return _places(lines.alias("a").join(later.alias("b"), both & _candidate("a", "b") & once))
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import numpy as np
 import pytest
 from helpers import LOWER, matched_lines, near_components
+from pyspark.sql import DataFrame
 
 from aislewise.llm import components, exact_dedup, line_dedup, near_dedup, queries, shingles
 
@@ -221,6 +222,36 @@ def test_lines_of_four_words_match_those_of_five(make_docs, monkeypatch, hot):
     assert line_rows(line_dedup.line_report(make_docs(rows).repartition(4))) == wanted
 
 
+def test_nothing_of_the_line_join_reaches_the_driver(make_docs, monkeypatch):
+    """No table is collected, and no plan holds one as a literal, however many words there are."""
+    collected, plans = [], []
+    write = line_dedup.written
+    monkeypatch.setattr(DataFrame, "collect", lambda frame: collected.append(frame) or [])
+
+    def written(frame, name):
+        plans.append(frame._jdf.queryExecution().toString())
+        return write(frame, name)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    rows = [(i, " ".join(f"w{i * j}" for j in range(12)), None, None, None) for i in range(300)]
+    line_dedup.matched_lines(make_docs(rows).repartition(4)).schema
+    assert not collected
+    assert max(map(len, plans)) < 200_000
+
+
+def test_pairs_under_many_frequent_keys_are_made_once(spark, monkeypatch):
+    """Lines with many frequent keys in common make one pair, not one for every two of these."""
+    monkeypatch.setattr(line_dedup, "_places", lambda pairs: pairs.select("a.doc_id", "b.doc_id"))
+    keys = list(range(8))
+    frequent = spark.createDataFrame([(key, d, 0) for d in (1, 2, 3) for key in keys], "key long, doc_id long, line int")
+    signs = spark.createDataFrame(
+        [(d, 0, 20, 0, 0, 0) for d in (1, 2, 3)], "doc_id long, line int, n int, low long, high long, every long"
+    )
+    matched = spark.createDataFrame([(2, 0)], "doc_id long, line int")
+    met = line_dedup._meetings(frequent, matched, signs)
+    assert sorted(map(tuple, met.collect())) == [(1, 3), (2, 3)]
+
+
 def test_lines_are_cut_out(make_docs):
     rows = [
         (1, "a b c d e\nkeep me here", "en", None, None),
