@@ -27,7 +27,7 @@ from .work import removed, with_text, written
 
 #: Classes of words by their length in bytes, which stands for their frequency.
 FREQUENCY_BUCKETS = 32
-HOT_LINES = 32
+HOT_LINES = 128
 #: The keys are dealt out in so many rounds, each of which holds the shuffle files of its part only.
 _ROUNDS = 2
 #: Words from which a line has the parities of 128 groups.
@@ -63,7 +63,7 @@ def _ordered(line: Column) -> Column:
 
     def ordered(word: Column) -> Column:
         length = F.least(F.octet_length(word), F.lit(FREQUENCY_BUCKETS - 1)).cast("long")
-        return F.shiftrightunsigned(F.xxhash64(word), bits + 1) - length * F.lit(1 << (63 - bits)).cast("long")
+        return F.shiftrightunsigned(F.xxhash64(word), bits + 1) - F.shiftleft(length, 63 - bits)
 
     # Only the empty word has a number from 0 on.
     words = F.array_distinct(F.transform(_split(line), ordered))
@@ -126,8 +126,13 @@ def _places(pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The later places of the pairs that are similar; the texts are read again, and sets made of the lines named."""
     places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place.*")
-    named = _lines(docs).alias("t").join(places.alias("p"), _same_place("t", "p"), "left_semi")
-    sets = written(named.select(F.struct("doc_id", "line").alias("place"), _words(F.col("words")).alias("set")), "line-sets")
+    named = places.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    texts = with_text(docs).alias("t").join(named.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")))
+    # Of rows that repeat a doc_id, one may have fewer lines than a place names.
+    split = texts.select("t.doc_id", "lines", F.split("text", "\n").alias("words"))
+    at = F.explode(F.filter("lines", lambda line: line < F.size("words"))).alias("line")
+    chosen = split.select("doc_id", "words", at).select("doc_id", "line", F.get("words", F.col("line")).alias("words"))
+    sets = written(chosen.select(F.struct("doc_id", "line").alias("place"), _words(F.col("words")).alias("set")), "line-sets")
     left = sets.select(F.col("place").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("place").alias("b"), F.col("set").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -137,8 +142,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """Every line that has words, with n, parities, whether it is the first of its set, and if so the keys."""
+def _firsts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first line of each set of words, with n, parities and keys, and the places of all other lines that have words."""
     n, ordered = F.size("set"), F.col("set")
     # Of a long line, the words with a certain bit are in groups of their own.
     upper = F.filter(ordered, lambda w: w.bitwiseAND(F.lit(64).cast("long")) != 0)
@@ -152,16 +157,13 @@ def _marked(docs: DataFrame) -> DataFrame:
         "lines",
     )
     worded = lines.where("n > 0")
-    firsts = worded.groupBy("same", "check", "n").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    firsts = firsts.select("same", "check", "first.*", F.lit(True).alias("found"))
+    # Lines of one set have the same numbers and keys, so that these come along with the first place.
+    first = F.min(F.struct("doc_id", "line", "low", "high", "keys")).alias("first")
+    firsts = written(worded.groupBy("same", "check", "n").agg(first).select("same", "check", "n", "first.*"), "first-lines")
     at = _same_place("l", "f") & (F.col("l.same") == F.col("f.same")) & (F.col("l.check") == F.col("f.check"))
-    is_first = F.coalesce("f.found", F.lit(False))
-    marked = worded.alias("l").join(firsts.alias("f"), at, "left").select(
-        "l.doc_id", "l.line", "n", "low", "high", is_first.alias("first"), F.when(is_first, F.col("keys")).alias("keys")
-    )
-    marked = written(marked, "marked-lines")
+    copies = written(worded.alias("l").join(firsts.alias("f"), at, "left_anti").select("doc_id", "line"), "copied-lines")
     removed(lines)
-    return marked
+    return firsts.drop("same", "check"), copies
 
 
 def _shared_keys(posted: DataFrame) -> DataFrame:
@@ -172,11 +174,11 @@ def _shared_keys(posted: DataFrame) -> DataFrame:
     by_place = Window.partitionBy("key").orderBy("doc_id", "line")
     group = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     line = F.struct("doc_id", "line", "n", "every")
-    # Lines are made structs only here, where most postings are gone: rows are shuffled and sorted without them.
-    held = posted.select("*", F.row_number().over(by_place).alias("at"), F.count(F.lit(1)).over(group).alias("held"))
+    # Most postings are alone under their key; they are sorted by it only, which takes less than an order of places.
+    held = posted.select("*", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("held"))
     frequent = F.col("held") > HOT_LINES
     few = held.where("held > 1").select(
-        "*", line.alias("own"), F.first(line).over(group).alias("first"),
+        "*", line.alias("own"), F.row_number().over(by_place).alias("at"), F.first(line).over(group).alias("first"),
         F.collect_list(F.when(~frequent, line)).over(group).alias("lines"),
     )
     earlier = F.when(~frequent, F.slice("lines", F.lit(1), F.col("at") - 1)).when(F.col("at") > 1, F.array("first"))
@@ -208,16 +210,15 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     counts whether or not it is removed itself.  Lines without words match nothing.  Rows that repeat a doc_id
     share their places: such a line goes where it goes in one of them.
     """
-    lines = _marked(docs)
+    lines, copies = _firsts(docs)
     every = F.col("low").bitwiseXOR(F.col("high")).alias("every")
     posted = lines.select("doc_id", "line", "n", every, F.explode("keys").alias("key"))
     turns = [F.pmod("key", F.lit(_ROUNDS)) == turn for turn in range(_ROUNDS)]
     rounds = [written(_shared_keys(posted.where(turn)), "shared-keys") for turn in turns]
     shared = reduce(DataFrame.unionByName, rounds)
-    named = written(lines.drop("keys"), "line-signs")
+    signs = lines.where(F.col("n") >= _SIMILAR).select("doc_id", "line", "n", "low", "high", every)
+    signs = written(signs, "line-signs")
     removed(lines)
-    copies = named.where("NOT first").select("doc_id", "line")
-    signs = named.where(F.col("first") & (F.col("n") >= _SIMILAR)).select("doc_id", "line", "n", "low", "high", every)
 
     met = _places(shared.select(F.explode("near").alias("a"), F.struct("doc_id", "line").alias("b")))
     a = met.alias("p").join(signs.alias("s"), _same_place("p.a", "s")).select(F.struct("s.*").alias("a"), "b")
@@ -235,7 +236,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     ``doc_id`` and ``text`` are not read.
     """
     gone = matched_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    counted = with_text(docs).select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counted = with_text(docs).select("doc_id", (ends + 1).alias("n_lines"))
     joined = counted.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     lines = F.coalesce("gone", F.array().cast("array<int>"))
     return joined.select(

@@ -252,6 +252,31 @@ def test_pairs_under_many_frequent_keys_are_made_once(spark, monkeypatch):
     assert sorted(map(tuple, met.collect())) == [(1, 3), (2, 3)]
 
 
+def test_lines_under_a_key_of_a_hundred_lines_meet_there(make_docs, monkeypatch):
+    """Such a key is not frequent, so no rows are made of its pairs with other keys."""
+    counted = []
+    meetings = line_dedup._meetings
+    monkeypatch.setattr(line_dedup, "_meetings", lambda frequent, *more: counted.append(frequent.count()) or meetings(frequent, *more))
+    # All lines post the key of their longest words; the words after these differ, but for every tenth line.
+    tails = [" ".join(f"{'abcdefghij'[k]}{i - (i % 10 == 9)}" for k in range(8)) for i in range(100)]
+    rows = [(i, f"longestwordofall longestwordbutone {tail}", None, None, None) for i, tail in enumerate(tails)]
+    rows = [(i, f"{text} x{i}" if i % 10 == 9 else text, *more) for i, text, *more in rows]
+    wanted = matched_lines(with_ids(rows))
+    assert sum(removed != "" for _, _, removed in wanted) == 10
+    assert line_rows(line_dedup.line_report(make_docs(rows).repartition(4))) == wanted
+    assert counted == [0]
+
+
+def test_lines_verified_are_looked_up_in_every_row_of_a_doc_id(make_docs):
+    """Of rows that repeat a doc_id or have none, one may have fewer lines than another's match is at."""
+    five, four = "q w e r t", "q w e r"
+    rows = [(1, f"a\n{five}", None, None, None), (2, "b", None, None, None), (2, f"c\n\n{four}", None, None, None)]
+    rows += [(None, f"d\n{four} z", None, None, None), (None, None, None, None, None), (3, f"{five}\n\n", None, None, None)]
+    found = sorted((r.doc_id or 0, r.n_lines, r.removed_lines) for r in line_dedup.line_report(make_docs(rows)).collect())
+    # 4/6 of the words are too few for the line of the null doc_id and that of document 1, but four of five are not.
+    assert found == [(0, 1, ""), (0, 2, ""), (1, 2, ""), (2, 1, "2"), (2, 3, "2"), (3, 3, "0")]
+
+
 def test_lines_are_cut_out(make_docs):
     rows = [
         (1, "a b c d e\nkeep me here", "en", None, None),
